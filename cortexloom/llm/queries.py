@@ -1,10 +1,13 @@
 """The registered queries of this package, and the SQL that gives the same rows."""
 
-from cortexloom.llm import simhash, topk
+from cortexloom.llm import language_id, quality_classifier, sentencepiece_codec, simhash, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_quality": quality_classifier.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op7_language": language_id.op7_language,
+    "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
 }
 
 SQL = {
