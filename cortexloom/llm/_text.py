@@ -49,3 +49,10 @@ def pieces(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iter
         step = max(1, max_bytes // per_row)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not use yet."""
+    while base in df.columns:
+        base += "_"
+    return base
