@@ -30,10 +30,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}_{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # keeps the frame's table findable for drop()
         return out
