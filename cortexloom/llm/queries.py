@@ -1,6 +1,6 @@
 """The registered queries of this package, and the SQL that gives the same rows."""
 
-from cortexloom.llm import language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, topk
+from cortexloom.llm import language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_language": language_id.op7_language,
+    "op8_lm": maxent_lm.op8_lm,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
 }
