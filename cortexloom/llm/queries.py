@@ -1,11 +1,12 @@
 """The registered queries of this package, and the SQL that gives the same rows."""
 
-from cortexloom.llm import language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, topk
+from cortexloom.llm import language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, surrogates, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_quality": quality_classifier.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op4_surrogates": surrogates.op4_surrogates,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_language": language_id.op7_language,

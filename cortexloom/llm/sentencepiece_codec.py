@@ -24,6 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cortexloom.llm._text import pieces, table
 
@@ -191,7 +192,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
             ids = [[int(x) for p in parts if c.known[p][1] for x in c.known[p][1].split(b",")] for parts in c.learn(texts)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in kept] + [pa.array(ids, pa.list_(pa.int32()))], [*kept, ids_col])
 
-    schema = docs.select(kept).schema.add(ids_col, "array<int>")
+    schema = docs.select(kept).schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema)
 
 
