@@ -1,4 +1,9 @@
 """Registered queries and their SQL, by name."""
 
+from cortexloom.plans import sequencing
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (sequencing,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
