@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -16,23 +17,39 @@ import numpy as np
 REMEMBERED = 300_000
 
 
-def grams(word: bytes, low: int, high: int, buckets: int, whole: bool = True) -> list[int]:
+def grams(word: bytes, low: int, high: int, buckets: int) -> list[int]:
     """Hash buckets of a word and of its character n-grams, its edges marked by < and >."""
-    w = "<" + word.decode("utf-8", "replace") + ">"
-    if len(w) > 66:  # a run without spaces: every n-gram of it, but no hash of the whole
-        whole = False
-    out = [zlib.crc32(word, 1) % buckets] if whole else []
     crc = zlib.crc32
-    for n in range(low, high + 1):
-        out += [crc(w[i : i + n].encode(), n) % buckets for i in range(len(w) - n + 1)]
-    return out or [zlib.crc32(word, 1) % buckets]
+    if word.isascii():  # a byte is a character
+        w = b"<%b>" % word
+        out = [crc(word, 1) % buckets] if len(w) <= 66 else []
+        for n in range(low, high + 1):
+            out += [crc(w[i : i + n], n) % buckets for i in range(len(w) - n + 1)]
+    else:
+        t = f"<{word.decode('utf-8', 'replace')}>"
+        out = [crc(word, 1) % buckets] if len(t) <= 66 else []  # a longer run without spaces has no hash of the whole
+        for n in range(low, high + 1):
+            out += [crc(t[i : i + n].encode(), n) % buckets for i in range(len(t) - n + 1)]
+    return out or [crc(word, 1) % buckets]
+
+
+def mean_rows(words: list[bytes], ids_of: Callable[[bytes], list[int]], table: np.ndarray) -> np.ndarray:
+    """For each word the mean of its buckets' rows in ``table``."""
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    step = max(64, (1 << 19) // max(1, table.shape[1]) // 32)
+    for at in range(0, len(words), step):
+        ids = [ids_of(w) for w in words[at : at + step]]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        out[at : at + step] = np.add.reduceat(table[flat], np.cumsum(n) - n) / n[:, None]
+    return out
 
 
 class WordTable:
-    """Rows of numbers by word, filled by ``row_of(word)`` on first sight."""
+    """Rows of numbers by word, filled by ``rows_of(words)`` on first sight."""
 
-    def __init__(self, row_of: Callable[[bytes], np.ndarray], width: int):
-        self.row_of, self.width = row_of, width
+    def __init__(self, rows_of: Callable[[list[bytes]], np.ndarray], width: int):
+        self.rows_of, self.width = rows_of, width
         self.clear()
 
     def clear(self) -> None:
@@ -52,9 +69,8 @@ class WordTable:
             at, new = self.at, list(dict.fromkeys(words))
         if len(at) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), self.width), np.float32)])
-        for w in new:
-            self.rows[len(at)] = self.row_of(w)
-            at[w] = len(at)
+        self.rows[len(at) : len(at) + len(new)] = self.rows_of(new)
+        at.update(zip(new, range(len(at), len(at) + len(new))))
         return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
 

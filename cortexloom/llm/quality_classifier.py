@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexloom.llm._linear import WordTable, blocks, grams
+from cortexloom.llm._linear import WordTable, blocks, grams, mean_rows
 from cortexloom.llm._text import held_out, pieces, raw, table, to_learn
 
 LOW, HIGH, BUCKETS, BACK = 3, 4, 1 << 17, 4
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], positive: int = 1) -> D
     def run(batches):
         m = shared.value
         scores = (m["E"] @ m["W"]).astype(np.float32)  # each bucket's share of the classes' logits
-        words = WordTable(lambda w: scores[_word_ids(w)].mean(axis=0), scores.shape[1])
+        words = WordTable(lambda ws: mean_rows(ws, _word_ids, scores), scores.shape[1])
         for b in pieces(batches):
             out = np.zeros(b.num_rows)
             for i, t in enumerate(raw(b.column(1))):
