@@ -42,6 +42,8 @@ SYLLABLES = {"latin": "ba bel cor dan der fal gor han kel lin mar nor per ras se
 _HON = {h: g for g, hs in HONORIFICS.items() for h in hs.split()}
 _NAME = r"[^\W\d_a-z][^\W\d_]{1,30}"
 _PERSON = re.compile(rf"\b({'|'.join(sorted(_HON, key=len, reverse=True))})\b\.?[  ]({_NAME}(?:[  -]{_NAME}){{0,2}})")
+#: What a text must hold for the slower patterns to be tried at all.
+_HON_ENDS, _SECRET_WORDS = [h + end for h in _HON for end in ". \xa0"], ("token", "secret", "passw", "key")
 _LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=-]{8,400})")
@@ -78,13 +80,15 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if start < at:
                 out.append((start, b.end(), "email", text[start : b.end()].lower()))
         at = text.find("@", at + 1)
-    for m in _SECRET.finditer(text):
-        out.append((m.start(1), m.end(1), "secret", m[1].lower()))
-    for m in _IBAN.finditer(text):
+    if ("=" in text or ":" in text) and any(k in low for low in (text.lower(),) for k in _SECRET_WORDS):
+        for m in _SECRET.finditer(text):
+            out.append((m.start(1), m.end(1), "secret", m[1].lower()))
+    numbers = any(d in text for d in "0123456789")
+    for m in _IBAN.finditer(text) if numbers else ():
         s = m[0].replace(" ", "")
         if 15 <= len(s) <= 34 and iban_check(s[:2], s[4:]) == s[2:4]:
             out.append((m.start(), m.end(), "iban", s))
-    for m in _NUMBER.finditer(text):
+    for m in _NUMBER.finditer(text) if numbers else ():
         kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
         if kind == "ipv4" and all(int(p) < 256 for p in m[0].split(".")):
             out.append((m.start(), m.end(), kind, ".".join(str(int(p)) for p in m[0].split("."))))
@@ -92,7 +96,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), kind, digits))
         elif kind == "ssn" or kind == "phone" and 7 <= len(digits) <= 15:
             out.append((m.start(), m.end(), kind, "+" * m[0].startswith("+") + digits))
-    for m in _PERSON.finditer(text):
+    for m in _PERSON.finditer(text) if any(h in text for h in _HON_ENDS) else ():
         out.append((m.start(2), m.end(2), "person", f"{_HON[m[1]]}:{m[2].casefold()}"))
     out.sort(key=lambda e: (e[0], -e[1]))
     kept: list[tuple[int, int, str, str]] = []
