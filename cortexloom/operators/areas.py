@@ -118,7 +118,9 @@ def homog_across_area(bc: DataFrame, area_vol: DataFrame, alpha: float = 1.0, bi
         for pdf in batches:
             y = np.array(pdf["y"].tolist(), float).reshape(len(pdf), len(samples))
             if binary:
-                w = _logistic(y, design, 1.0, rounds, tol)
+                w = _logistic(y, design, scale, rounds, tol)  # penalty 1 on coefficients of the unscaled volumes
+                span = w.max(axis=1, keepdims=True) - w.min(axis=1, keepdims=True)
+                w = np.divide(w - w.min(axis=1, keepdims=True), span, out=np.zeros_like(w), where=span > 0)
             else:
                 y = y / np.maximum(y.sum(axis=1, keepdims=True), 1e-300)
                 w = _lasso(y, design, alpha, rounds, tol)

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BY = Window.partitionBy("barcode")
+def _by() -> object:
+    return Window.partitionBy("barcode")
 
 
 def filter_total_counts(bc: DataFrame, min_total: float = 100) -> DataFrame:
     """Barcodes whose row total is at least ``min_total``."""
-    return bc.withColumn("_t", F.sum("value").over(_BY)).where(F.col("_t") >= min_total).drop("_t")
+    return bc.withColumn("_t", F.sum("value").over(_by())).where(F.col("_t") >= min_total).drop("_t")
 
 
 def zero_low_counts(bc: DataFrame, min_value: int = 2) -> DataFrame:
@@ -21,14 +22,14 @@ def zero_low_counts(bc: DataFrame, min_value: int = 2) -> DataFrame:
 
 def filter_min_samples(bc: DataFrame, more_than: int = 2) -> DataFrame:
     """Barcodes seen in more than ``more_than`` samples."""
-    return bc.withColumn("_n", F.count_if(F.col("value") != 0).over(_BY)).where(F.col("_n") > more_than).drop("_n")
+    return bc.withColumn("_n", F.count_if(F.col("value") != 0).over(_by())).where(F.col("_n") > more_than).drop("_n")
 
 
 def highest_second(bc: DataFrame) -> DataFrame:
     """(barcode, highest, second): repeats count, absent cells are 0; one aggregation, no sort."""
     top = F.max("value").alias("highest")
     at = F.count_if(F.col("value") == F.col("m"))
-    wide = bc.withColumn("m", F.max("value").over(_BY))
+    wide = bc.withColumn("m", F.max("value").over(_by()))
     below = F.max(F.when(F.col("value") < F.col("m"), F.col("value")))
     return wide.groupBy("barcode").agg(top, F.when(at > 1, F.max("value")).otherwise(F.coalesce(below, F.lit(0.0))).alias("second"))
 
@@ -143,7 +144,7 @@ def scale_rows(p: DataFrame, n_columns: int, how: str = "range", value: str = "v
 
 def scale_by_second_unique(bc: DataFrame) -> DataFrame:
     """Values over the row's second largest distinct value (0 of absent cells counts); null without one, or if it is 0."""
-    distinct = F.sort_array(F.array_distinct(F.array_append(F.collect_set("value").over(_BY), F.lit(0.0))), asc=False)
+    distinct = F.sort_array(F.array_distinct(F.array_append(F.collect_set("value").over(_by()), F.lit(0.0))), asc=False)
     return bc.withColumn("value", F.col("value") / F.nullif(F.get(distinct, F.lit(1)), F.lit(0.0)))
 
 
