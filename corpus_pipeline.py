@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortexloom.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, simhash
-from cortexloom.llm._text import table
+from cortexloom.llm._text import free_name, table
 from cortexloom.plans.scratch import Scratch
 
 
@@ -33,9 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     scratch = Scratch(spark, "groups")
     found = scratch.save(simhash.near_duplicates(docs).select("doc_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes")))
     ids = scratch.save(found.groupBy("doc_id").agg(F.min("goes").alias("goes"), F.count("*").alias("n")))
-    gone = ids.where("goes").select(F.col("doc_id").alias("_gone"))
+    mark = free_name(docs, "_gone")
+    gone = ids.where("goes").select(F.col("doc_id").alias(mark))
     gone = F.broadcast(gone) if gone.count() <= line_dedup.BROADCAST_ROWS else gone
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(mark)), "left_anti")
     if ids.where("n > 1 and not goes").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])
