@@ -1,9 +1,10 @@
 """Fuzzy line deduplication by MinHash, in SQL functions only.
 
-1. One scan: every line gets its hash and its signature. The signature is a one-permutation
-   MinHash over character shingles that start at words (all shingles where a line has hardly any
-   words): the hash range is cut into ``BANDS * ROWS`` bins, each bin keeps its smallest hash,
-   and ``ROWS`` neighbouring bins make a band. Equal lines become one line at once.
+1. One scan: every line gets its hash and its signature over the character shingles that start
+   at words: the hash range has BANDS starting points, and the ROWS smallest hashes from a
+   starting point on (around the end of the range) make a band. Lines of few words get some
+   bands more, of all their hashes dealt by remainder, so that one changed word cannot touch
+   every band. Equal lines become one line at once.
 2. Lines that share a band are candidates. Each band bucket first compares its lines with one
    of them (a star, so a group of n lines costs n comparisons, not n * n). Candidates are
    verified by the exact Jaccard similarity of their full character-shingle sets.
@@ -30,12 +31,15 @@ from cortexloom.llm._text import free_name, table
 from cortexloom.operators.components import connected_components
 from cortexloom.plans.scratch import Scratch
 
-SHINGLE, THRESHOLD, BANDS, ROWS, MIN_CHARS = 8, 0.8, 8, 3, 24
+SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
+#: MinHash bands, each of ROWS neighbouring minima; besides, lines of few shingles: (least, most shingles, bands that keep all hashes).
+BANDS, ROWS = 10, 4
+WHOLE = ((0, 15, 3), (12, 34, 5))
+_MOST = BANDS + 8  # bands of a line that has all kinds
 #: Rows up to which a table of (id, a few numbers) is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 _ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
-_AT_WORDS = rf"(?s)(?<![^\x20\x09])(?=(.{{{SHINGLE}}}))"
 
 
 def _let(value: Column, f) -> Column:
@@ -49,20 +53,28 @@ def shingles(line: Column) -> Column:
 
 
 def bands(line: Column) -> Column:
-    """The line's band hashes, BANDS of them; null for a band without a shingle."""
-    bin_, band = (1 << 63) // (BANDS * ROWS) + 1, ((1 << 63) // (BANDS * ROWS) + 1) * ROWS
-    some = F.regexp_extract_all(line, F.lit(_AT_WORDS), 1)
-    picked = _let(some, lambda s: F.when(F.size(s) * 16 >= F.least(F.length(line), F.lit(64)), s).otherwise(F.regexp_extract_all(line, F.lit(_ALL), 1)))
-    hashes = F.sort_array(F.transform(picked, lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 63) - 1))))
+    """The line's band hashes."""
 
-    def least(h: Column) -> Column:
-        return F.filter(h, lambda x, i: (i == 0) | (F.call_function("div", x, F.lit(bin_)) != F.call_function("div", F.get(h, i - 1), F.lit(bin_))))
+    def hashes(w: Column) -> Column:
+        start = lambda x, i: F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, SHINGLE)
+        few = F.size(w) * 32 < F.length(line)  # hardly any words: all shingles
+        picked = F.when(few, F.transform(F.regexp_extract_all(line, F.lit(_ALL), 1), lambda x: F.xxhash64(x))).otherwise(F.transform(w, lambda x, i: F.xxhash64(start(x, i))))
+        return F.sort_array(F.array_distinct(F.transform(picked, lambda x: x.bitwiseAND(F.lit((1 << 63) - 1)))))
 
-    def cut(m: Column) -> Column:
-        own = lambda b: F.filter(m, lambda x: F.call_function("div", x, F.lit(band)) == b)
-        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: _let(own(b), lambda o: F.when(F.size(o) > 0, F.xxhash64(o))))
+    def dealt(h: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.filter(h, lambda x: x % n == b))
 
-    return _let(_let(hashes, least), cut)
+    def cut(h: Column) -> Column:
+        step = ((1 << 31) // BANDS + 1) << 32
+        part = lambda x: F.call_function("div", x, F.lit(step))
+        first = F.filter(h, lambda x, i: (i < ROWS) | (part(x) != part(F.get(h, i - ROWS))))  # all that any band can hold
+        starts = F.array(*[F.lit(j * step) for j in range(BANDS)])
+        out = _let(first, lambda m: F.transform(starts, lambda at: F.slice(F.concat(F.filter(m, lambda x: x >= at), m), 1, ROWS)))
+        for low, high, n in WHOLE:
+            out = F.when((F.size(h) >= low) & (F.size(h) <= high), F.concat(out, dealt(h, n))).otherwise(out)
+        return F.array_distinct(F.transform(F.filter(out, lambda o: F.size(o) > 0), lambda o: F.xxhash64(o)))
+
+    return _let(_let(F.split(line, " "), hashes), cut)
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -90,8 +102,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(src, dst) of the pairs (a, b) of line hashes whose lines are similar."""
     pairs = scratch.save(pairs, "pairs")
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "ids")
-    texts = scratch.save(_lines(docs).join(_sized(ids), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "texts")
-    left = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+    texts = scratch.save(_lines(docs).join(_sized(ids), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("m", F.size(shingles(F.col("line")))), "texts")
+    left = pairs.join(texts.select(F.col("h").alias("a"), F.col("m").alias("ma")), "a")
+    sized = left.join(texts.select(F.col("h").alias("b"), F.col("m").alias("mb")), "b").where(F.least("ma", "mb") >= THRESHOLD * F.greatest("ma", "mb"))  # else too unlike in size
+    sized = scratch.save(sized.select("a", "b"), "sized")
+    left = sized.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return scratch.save(both.where(similar(F.col("x"), F.col("y"))).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
@@ -101,13 +116,9 @@ def removals(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
     seen = _lines(docs).withColumn("b", bands(F.col("line")))
-    reps = scratch.save(
-        seen.select("h", "doc_id", "line_no", *[F.col("b")[i].alias(f"b{i}") for i in range(BANDS)])
-        .groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)]),
-        "reps",
-    )
-    banded = reps.select("h", F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band", "key")).where("key is not null")
-    banded = banded.select("h", F.xxhash64("band", "key").alias("bucket"))
+    first = seen.select("h", *[F.get("b", F.lit(i)).alias(f"b{i}") for i in range(_MOST)])  # columns of their own keep the grouping a hash aggregation
+    reps = scratch.save(first.groupBy("h").agg(F.count("*").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(_MOST)]), "reps")
+    banded = reps.select("h", F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(_MOST)]))).alias("bucket"))
     stars = scratch.save(banded.groupBy("bucket").agg(F.min("h").alias("star"), F.count("*").alias("m")).where("m > 1").select("bucket", "star"), "stars")
     members = scratch.save(banded.join(_sized(stars), "bucket"), "members")
     found = _verified(members.where("h <> star").select(F.col("star").alias("a"), F.col("h").alias("b")).distinct(), docs, scratch)
@@ -124,11 +135,12 @@ def removals(docs: DataFrame) -> DataFrame:
     more = _verified(across, docs, scratch)
     comps = scratch.save(connected_components(found.unionAll(more)), "components")
 
-    grouped = reps.select("h", "first", "n").join(comps.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or component is not null")
-    grouped = scratch.save(grouped.select("h", "first", F.coalesce("component", "h").alias("c")), "grouped")
-    keeper = scratch.save(grouped.groupBy("c").agg(F.min("first").alias("keep")), "keepers")
-    kept = scratch.save(grouped.join(keeper, "c").select("h", F.col("keep.doc_id").alias("kd"), F.col("keep.line_no").alias("kl")), "kept")
-    gone = _lines(docs).select("doc_id", "line_no", "h").join(_sized(kept), "h").where("not (doc_id <=> kd and line_no = kl)")
+
+    grouped = reps.select("h", "n").join(_sized(comps.withColumnRenamed("node", "h")), "h", "left").where("n > 1 or component is not null")
+    grouped = scratch.save(grouped.select("h", F.coalesce("component", "h").alias("c")), "grouped")
+    again = scratch.save(_lines(docs).select("doc_id", "line_no", "h").join(_sized(grouped), "h").select("c", "doc_id", "line_no"), "again")
+    keep = scratch.save(again.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("k")).select("c", F.col("k.doc_id").alias("kd"), F.col("k.line_no").alias("kl")), "keep")
+    gone = again.join(_sized(keep), "c").where("not (doc_id <=> kd and line_no = kl)")
     return scratch.save(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
 
 
