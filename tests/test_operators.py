@@ -1,0 +1,234 @@
+"""Hand cases, properties and equivalences of the sequencing, atlas and null operators."""
+
+import gzip
+import itertools
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cortexloom.functions import sequences
+from cortexloom.operators import areas, atlas, cluster, components, matrix, molecules, null, reads, stats
+from cortexloom.operators.params import MoleculeParams, ReadParams
+from cortexloom.plans import brain, sequencing
+from cortexloom.sources import fastq, fixtures, sinks
+from cortexloom.streaming import ingest
+
+
+def clusters(spark, counts, length):
+    df = spark.createDataFrame([("s", q, n) for q, n in counts.items()], "sample string, seq string, n bigint")
+    return {r["seq"]: r["head"] for r in cluster.directional_clusters(df, ["sample"], length).collect()}
+
+
+@pytest.mark.parametrize(
+    ("counts", "heads"),
+    [
+        ({"AAA": 9, "AAT": 5, "ATT": 3}, {"AAA": "AAA", "AAT": "AAA", "ATT": "AAA"}),
+        ({"AAA": 8, "AAT": 5}, {"AAA": "AAA", "AAT": "AAT"}),
+        ({"AAA": 1, "AAT": 1}, {"AAA": "AAA", "AAT": "AAA"}),
+    ],
+)
+def test_directional_hand_cases(spark, counts, heads):
+    assert clusters(spark, counts, 3) == heads
+
+
+def test_directional_clusters_equal_greedy(spark):
+    rng = np.random.default_rng(3)
+    want, rows = {}, []
+    for g in range(25):
+        seqs = {"".join(rng.choice(list("ACGT"), 4)) for _ in range(20)}
+        counts = {s: int(rng.choice([1, 1, 1, 2, 3, 5, 9, 20])) for s in sorted(seqs)}
+        order = sorted(counts, key=lambda s: (-counts[s], s))
+        edge = lambda a, b: sum(x != y for x, y in zip(a, b)) == 1 and counts[a] >= 2 * counts[b] - 1
+        head = {}
+        for s in order:  # take everything reachable that is not yet taken
+            if s not in head:
+                head[s], todo = s, [s]
+                while todo:
+                    a = todo.pop()
+                    for b in order:
+                        if b not in head and edge(a, b):
+                            head[b] = s
+                            todo.append(b)
+        want |= {(g, s): h for s, h in head.items()}
+        rows += [(g, s, n) for s, n in counts.items()]
+    df = spark.createDataFrame(rows, "sample int, seq string, n bigint")
+    got = {(r["sample"], r["seq"]): r["head"] for r in cluster.directional_clusters(df, ["sample"], 4).collect()}
+    assert got == want
+    heads = {h for h in got.values()}
+    assert all(got[(g, h)] == h for (g, _), h in got.items()) and heads
+
+
+def test_components_on_paths_stars_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(7, 7), (None, 3), (5, 1), (5, 1)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert all(got[i] == 100 for i in range(100, 161)) and all(got[k] == 1 for k in range(1, 40)) and len(got) == 61 + 39
+    assert components.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_best_tag_ties_and_limits(spark):
+    tags = [("a", "AAAA"), ("b", "AATT"), ("c", "TTTT")]
+    df = spark.createDataFrame([("AAAT",), ("TTTT",), ("GGGG",), ("AAAN",), ("AAA",)], "tag string")
+    got = {r["tag"]: r["s"] for r in df.select("tag", reads.best_tag(F.col("tag"), tags, 2).alias("s")).collect()}
+    assert got == {"AAAT": "a", "TTTT": "c", "GGGG": None, "AAAN": "a", "AAA": None}
+
+
+def test_template_switch_at_the_threshold(spark):
+    rows = [(1, "N1", "U")] * 80 + [(2, "N2", "U")] * 10 + [(1, "N1", "V")] * 81 + [(2, "N2", "V")] * 10 + [(2, "N1", "W")] * 3
+    df = spark.createDataFrame(rows, "sample int, corrected_neuron string, corrected_umi string")
+    kept = molecules.resolve_template_switch(df, molecules.umi_switch_summary(df), 8.0)
+    assert {(r["sample"], r["corrected_neuron"], r["corrected_umi"]): r["count"] for r in kept.groupBy("sample", "corrected_neuron", "corrected_umi").count().collect()} == {(1, "N1", "V"): 81, (2, "N1", "W"): 3}
+
+
+def test_classify_may_overlap(spark):
+    df = spark.createDataFrame([("A" * 24 + "ATCAGTCA",), ("A" * 30 + "CT",), ("A" * 32,)], "neuron string")
+    p = MoleculeParams()
+    assert sorted(r["kind"] for r in reads.classify(df, p.spike_pattern, p.neuron_pattern).collect()) == ["neuron", "spike"]
+    assert reads.classify(df, "^A", "^A").count() == 6
+
+
+def test_crop_none_keeps_the_mate(spark):
+    df = spark.createDataFrame([("A" * 37 + "GCGGC" + "TT", "C" * 40)], "r1 string, r2 string")
+    p = ReadParams(r1_crop=None, r2_crop=(0, 10))
+    assert reads.crop_concat(reads.filter_consensus(df, p), p).first()["full_read"] == "A" * 37 + "GCGGCTT" + "C" * 10
+
+
+def test_paired_fastq(spark, tmp_path):
+    def put(name, seqs):
+        with gzip.open(tmp_path / name, "wt") as f:
+            for i, s in enumerate(seqs):
+                f.write(f"@r{i}\n{s}\n+\n@{'I' * (len(s) - 1)}\n")  # a quality line may begin with @
+
+    put("run1_R1_001.fastq.gz", [f"A{i}" for i in range(50)])
+    put("run1_R2_001.fastq.gz", [f"C{i}" for i in range(48)])
+    put("run2_R1_001.fastq.gz", ["G"])
+    got = fastq.read_paired_fastq(spark, str(tmp_path), "run1")
+    assert sorted((r["read_no"], r["r1"], r["r2"]) for r in got.collect()) == [(i, f"A{i}", f"C{i}") for i in range(48)]
+    with pytest.raises(ValueError, match="R2"):
+        fastq.read_paired_fastq(spark, str(tmp_path), ["run1", "run2"])
+
+
+def test_other_sources(spark, tmp_path):
+    (tmp_path / "tags.txt").write_text("BC1\tAAAA\nBC2\tCCCC\n")
+    assert fastq.read_tags(spark, str(tmp_path / "tags.txt")) == [("BC1", "AAAA"), ("BC2", "CCCC")]
+    (tmp_path / "rois.csv").write_text("roi,volume_um3,regions,breakdown\n1,10.0,\"['A', 'B']\",\"[0.75, 0.25]\"\n")
+    assert sorted(tuple(r) for r in fastq.read_roi_regions(spark, str(tmp_path / "rois.csv")).collect()) == [(1, 10.0, "A", 0.75), (1, 10.0, "B", 0.25)]
+    (tmp_path / "s.json").write_text(json.dumps({"slices": [{"filename": "b_s012.jpg", "anchoring": list(range(9)), "markers": [[1, 2, 3, 4]], "height": 5, "width": 6}]}))
+    r = fastq.read_sections(spark, str(tmp_path / "s.json")).first()
+    assert (r["name"], r["section"], r["anchoring"][8], r["markers"], r["height"]) == ("b_s012", 12, 8.0, [[1.0, 2.0, 3.0, 4.0]], 5)
+    for n in (3, 11):
+        (tmp_path / f"template_switching_chunk_{n}.csv").write_text("umi,total\nAC,5\n")
+    assert sorted(r["chunk"] for r in fastq.read_switch_chunks(spark, str(tmp_path)).collect()) == [3, 11]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "sample int, corrected_neuron string")
+    at = str(tmp_path / "corrected")
+    sinks.write_corrected(rows, at)
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_corrected(rows, at)
+    sinks.write_corrected(rows.where("sample = 2").withColumn("corrected_neuron", F.lit("c")), at, overwrite=True)
+    assert sorted((r["sample"], r["corrected_neuron"]) for r in fastq.read_corrected(spark, at).collect()) == [(1, "a"), (2, "c")]
+    stat = spark.createDataFrame([("x", 1.0)], "stat string, value double")
+    for run in (1, 2, 2):
+        sinks.write_null_stats(stat, str(tmp_path / "null"), run)
+    assert spark.read.parquet(str(tmp_path / "null")).count() == 2
+    assert sinks.write_reused(stat, str(tmp_path / "r")).count() == sinks.write_reused(stat.limit(0), str(tmp_path / "r"), overwrite=False).count() == 1
+    assert sinks.combine_mice({"m1": stat, "m2": stat}).select("mouse").distinct().count() == 2
+
+
+def test_rank_abundance_is_global(spark):
+    rows = [(i, 1, float(v)) for i, v in enumerate([5, 5, 900, 0.5, 70, 70.5, 1e6])]
+    got = [r["barcode"] for r in matrix.rank_abundance(spark.createDataFrame(rows, "barcode int, sample int, value double")).orderBy("rank").collect()]
+    assert got == [6, 2, 5, 4, 0, 1, 3]
+
+
+def test_matrix_edges(spark):
+    m = spark.createDataFrame([("a", 1, 8.0), ("a", 2, 8.0), ("b", 1, 3.0), ("c", 1, 1.0), ("c", 2, 2.0)], "barcode string, sample int, value double")
+    assert {r["barcode"]: (r["highest"], r["second"]) for r in matrix.highest_second(m).collect()} == {"a": (8.0, 8.0), "b": (3.0, 0.0), "c": (2.0, 1.0)}
+    assert {r["barcode"]: r["sample"] for r in matrix.argmax_sample(m).collect()} == {"a": 1, "b": 1, "c": 2}
+    assert matrix.filter_min_samples(m, 2).count() == 0
+    assert sorted(r["value"] for r in matrix.zero_low_counts(m, 2).collect()) == [2.0, 3.0, 8.0, 8.0]
+    assert {(r["barcode"], r["sample"]): r["value"] for r in matrix.scale_by_second_unique(m).collect()} == {("a", 1): None, ("a", 2): None, ("b", 1): None, ("c", 1): 1.0, ("c", 2): 2.0}
+    assert {(r["barcode"], r["sample"]): r["value"] for r in matrix.scale_rows(m, 2).collect()} == {("a", 1): 0.0, ("a", 2): 0.0, ("b", 1): 1.0, ("c", 1): 1.0, ("c", 2): 2.0}
+    assert matrix.failed_samples(m, [1, 2, 3]) == [3]
+
+
+def test_column_shuffle_keeps_columns(spark):
+    m = fixtures.matrix(spark, "/root/testdata/sf0.001")
+    s = matrix.column_shuffle(m, list(range(1, 13)), 3)
+    cells = lambda df: sorted((r["sample"], r["value"]) for r in df.collect())
+    assert cells(s) == cells(m) and sorted(s.collect()) != sorted(m.select(s.columns).collect())
+
+
+def test_rollup_cases(spark):
+    rows = [(997, "root", [997]), (1, "HPF", [997, 1]), (2, "CA", [997, 1, 2]), (3, "CA1", [997, 1, 2, 3]), (4, "VIS", [997, 4]), (5, "VIS6a", [997, 4, 5]), (6, "MOB", [997, 6]), (7, "X", [997, 7])]
+    df = spark.createDataFrame(rows, "id int, acronym string, structure_id_path array<int>")
+    got = {r["id"]: r["area"] for r in atlas.rollup_acronym(df, ("HPF", "MOB")).collect()}
+    assert got == {997: "root", 1: "HPF", 2: "HPF", 3: "HPF", 4: "VIS", 5: "VIS", 6: "OB", 7: "X"}
+
+
+def test_area_threshold_keeps_equal_shares(spark):
+    df = spark.createDataFrame([(1, "A", 0.9, 100.0), (1, "B", 0.1, 100.0), (2, "Contra-A", 0.5, 10.0), (2, "Contra-B", 0.5, 10.0), (3, "root", 1.0, 5.0)], "roi int, area string, fraction double, volume_um3 double")
+    assert sorted((r["roi"], r["area"], r["vol"]) for r in atlas.area_volumes(df).collect()) == [(1, "A", 90.0), (1, "B", 10.0), (2, "Contra", 10.0)]
+    assert sorted((r["roi"], r["area"]) for r in atlas.area_volumes(df, main_only=True).collect()) == [(1, "A"), (2, "Contra")]
+
+
+def test_closing_contains_its_input(spark):
+    block = list(itertools.product((0, 1), (0, 1), (0, 1))) + [(x + 3, y, z) for x, y, z in itertools.product((0, 1), (0, 1), (0, 1))]
+    v = spark.createDataFrame([(x, y, z, 1) for x, y, z in block], "x int, y int, z int, label int")
+    filled = {(r["x"], r["y"], r["z"]) for r in atlas.fill_label_holes(v).collect()}
+    assert set(block) <= filled and {(2, y, z) for y in (0, 1) for z in (0, 1)} <= filled
+
+
+def test_curveball_keeps_margins():
+    rng = np.random.default_rng(0)
+    for shape in ((40, 7), (5, 30)):
+        m = (rng.random(shape) < 0.3).astype(np.int8)
+        s = null.shuffle_presence(m, 5)
+        assert (s.sum(0) == m.sum(0)).all() and (s.sum(1) == m.sum(1)).all() and (s != m).any()
+        assert (null.shuffle_presence(m, 5) == s).all()
+
+
+def test_lasso_meets_its_conditions(spark):
+    rng = np.random.default_rng(1)
+    a, y = rng.random((8, 4)) * 50, rng.random((6, 8))
+    w = areas._lasso(y, a, 0.01, 5000, 1e-14)
+    grad = (w @ a.T - y) @ a / len(a) + 0.01
+    assert (w >= 0).all() and (np.abs(grad[w > 0]) < 1e-6).all() and (grad[w == 0] > -1e-6).all()
+
+
+def test_statistics_bounds(spark):
+    p = spark.createDataFrame([(b, a, 1) for b in range(12) for a in "ABC" if (b + ord(a)) % (ord(a) - 63)], "barcode int, area string, strength int")
+    c = stats.co_occurrence(p)
+    probs = stats.conditional_probability(c)
+    assert all(r["p"] == 1 for r in probs.where("area_a = area_b").collect())
+    assert all(0 <= r["cosine"] <= 1 + 1e-12 for r in stats.cosine_similarity(probs).collect())
+    alone = spark.createDataFrame([("A", "A", 1.0), ("B", "B", 1.0)], "area_a string, area_b string, p double")
+    assert stats.cosine_similarity(alone).first()["cosine"] == 0
+
+
+def test_null_counts_equal_statistics_of_the_shuffles(spark):
+    sf = "/root/testdata/sf0.001"
+    bc, links = brain._brains(spark, sf), brain._area_samples(spark, sf)
+    shuffled = null.curveball_shuffle(bc, 2)
+    p = shuffled.join(links, ["mouse", "sample"]).select("mouse", "replicate", "barcode", "area").distinct().withColumn("strength", F.lit(1))
+    direct = {tuple(r) for r in stats.co_occurrence(p, ["mouse", "replicate"]).select("mouse", "replicate", "area_a", "area_b", "n").collect()}
+    assert {tuple(r) for r in null.shuffled_counts(bc, links, 2).select("mouse", "replicate", "area_a", "area_b", "n").collect()} == direct
+
+
+def test_entropy_and_at(spark):
+    df = spark.createDataFrame([("ACGT",), ("AAAA",), ("AATT",)], "s string")
+    got = {r["s"]: (r["e"], r["a"]) for r in df.select("s", sequences.shannon_entropy(F.col("s")).alias("e"), sequences.at_content(F.col("s")).alias("a")).collect()}
+    assert got == {"ACGT": (2.0, 0.5), "AAAA": (0.0, 1.0), "AATT": (1.0, 1.0)}
+
+
+def test_stream_equals_batch(spark, sf, tmp_path):
+    raw = fixtures.reads(spark, sf).withColumn("acq_id", F.lit("a")).select("acq_id", "read_no", "r1", "r2")
+    raw.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = ingest.demultiplex_stream(ingest.stream_reads(spark, str(tmp_path / "in"), 1), fixtures.whitelist())
+    ingest.append_corrected_input(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    cols = ["read_no", "sample", "neuron", "umi"]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(cols).collect())
+    assert got == sorted(tuple(r) for r in sequencing.q_demultiplex(spark, sf).select(cols).collect())
