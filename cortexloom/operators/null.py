@@ -39,66 +39,83 @@ def shuffle_presence(present: np.ndarray, seed: object, trades_per_row: int = 5)
     return out.T if flip else out
 
 
-def _population(bc: DataFrame) -> dict[object, tuple[list, list[int], np.ndarray]]:
-    """Presence matrix of each mouse: one brain's barcodes that passed all filters (some thousands) by its samples."""
-    out = {}
-    for mouse, pdf in bc.where("value <> 0").select("mouse", "barcode", "sample").distinct().toPandas().groupby("mouse"):
-        wide = pd.crosstab(pdf["barcode"], pdf["sample"]).clip(upper=1).sort_index()
-        out[mouse] = (list(wide.index), [int(c) for c in wide.columns], wide.to_numpy().astype(np.int8))
-    return out
+#: Presence cells up to which the brains travel to the tasks whole; beyond, they are dealt by (mouse, replicate).
+MAX_CELLS = 2_000_000
 
 
-def curveball_shuffle(bc: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+def _cells(bc: DataFrame) -> DataFrame:
+    return bc.where("value <> 0").select("mouse", "barcode", "sample").distinct()
+
+
+def _presence(pdf: pd.DataFrame) -> tuple[list, list[int], np.ndarray]:
+    wide = pd.crosstab(pdf["barcode"], pdf["sample"]).clip(upper=1).sort_index()
+    return list(wide.index), [int(c) for c in wide.columns], wide.to_numpy().astype(np.int8)
+
+
+def _shuffled(mouse, replicate: int, brain: tuple, seed: int) -> pd.DataFrame:
+    barcodes, samples, m = brain
+    r, c = np.nonzero(shuffle_presence(m, (seed, mouse, replicate)))
+    return pd.DataFrame({"mouse": mouse, "replicate": replicate, "barcode": np.array(barcodes, object)[r], "sample": np.array(samples)[c]})
+
+
+def curveball_shuffle(bc: DataFrame, replicates: int, seed: int = 1, max_cells: int = MAX_CELLS) -> DataFrame:
     """(mouse, replicate, barcode, sample) of ``replicates`` shuffled matrices a mouse.
 
     ``bc``: mouse, barcode, sample, value. The chain inside a replicate is sequential, so tasks
-    are replicates; the brains' presence matrices go to the tasks once.
+    are replicates. A brain has some thousands of barcodes after the filters: up to ``max_cells``
+    present cells (counted first) all brains are broadcast; more are shuffled by mouse and replicate.
     """
-    spark = bc.sparkSession
-    brains = spark.sparkContext.broadcast(_population(bc))
-    kind = dict(bc.dtypes)
+    spark, kind, cells = bc.sparkSession, dict(bc.dtypes), _cells(bc)
+    schema = f"mouse {kind['mouse']}, replicate bigint, barcode {kind['barcode']}, sample int"
+    if cells.count() > max_cells:
+        each = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+        return each.groupBy("mouse", "replicate").applyInPandas(lambda pdf: _shuffled(pdf["mouse"].iloc[0].item() if hasattr(pdf["mouse"].iloc[0], "item") else pdf["mouse"].iloc[0], int(pdf["replicate"].iloc[0]), _presence(pdf), seed), schema)
+    brains = spark.sparkContext.broadcast({m: _presence(g) for m, g in cells.toPandas().groupby("mouse")})
 
     def run(batches):
         for pdf in batches:
             for replicate in pdf["id"]:
-                for mouse, (barcodes, samples, m) in brains.value.items():
-                    r, c = np.nonzero(shuffle_presence(m, (seed, mouse, replicate)))
-                    yield pd.DataFrame({"mouse": mouse, "replicate": replicate, "barcode": np.array(barcodes, object)[r], "sample": np.array(samples)[c]})
+                for mouse, brain in brains.value.items():
+                    yield _shuffled(mouse, int(replicate), brain, seed)
 
     parts = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, replicates, 1, parts).mapInPandas(run, f"mouse {kind['mouse']}, replicate bigint, barcode {kind['barcode']}, sample int")
+    return spark.range(0, replicates, 1, parts).mapInPandas(run, schema)
 
 
-def shuffled_counts(bc: DataFrame, area_samples: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+def shuffled_counts(bc: DataFrame, area_samples: DataFrame, replicates: int, seed: int = 1, max_cells: int = MAX_CELLS) -> DataFrame:
     """(mouse, replicate, area_a, area_b, n): co-occurrence counts of shuffled brains.
 
     ``area_samples``: (mouse, sample, area) with a weight. A binary projection has an area exactly
     if the barcode is present in one of its samples, so counts are made where the shuffle is and
-    no shuffled matrix leaves its task.
+    no shuffled matrix leaves its task. Brains of more than ``max_cells`` present cells are
+    shuffled as tables, and counted by joins.
     """
-    spark = bc.sparkSession
-    brains = _population(bc)
-    links = {m: g for m, g in area_samples.select("mouse", "sample", "area").distinct().toPandas().groupby("mouse")}  # samples x areas of one brain
-    shared = spark.sparkContext.broadcast((brains, links))
-    kind = dict(bc.dtypes)["mouse"]
+    spark, cells = bc.sparkSession, _cells(bc)
+    links = area_samples.select("mouse", "sample", "area").distinct()
+    if cells.count() > max_cells:
+        hit = curveball_shuffle(bc, replicates, seed, max_cells).join(links, ["mouse", "sample"])
+        p = hit.select("mouse", "replicate", "barcode", "area").distinct().withColumn("strength", F.lit(1))
+        return stats.co_occurrence(p, ["mouse", "replicate"])
+    brains = {m: _presence(g) for m, g in cells.toPandas().groupby("mouse")}
+    into_areas = {}
+    for mouse, g in links.toPandas().groupby("mouse"):  # samples x areas of one brain
+        if mouse in brains:
+            samples, areas = brains[mouse][1], sorted(g["area"].unique())
+            m = np.zeros((len(samples), len(areas)), np.int32)
+            for s, a in zip(g["sample"], g["area"]):
+                if s in samples:
+                    m[samples.index(s), areas.index(a)] = 1
+            into_areas[mouse] = (np.array(areas, object), m)
+    shared, kind = spark.sparkContext.broadcast((brains, into_areas)), dict(bc.dtypes)["mouse"]
 
     def run(batches):
         for pdf in batches:
             for replicate in pdf["id"]:
-                for mouse, (_, samples, m) in shared.value[0].items():
-                    g = shared.value[1].get(mouse)
-                    if g is None:
-                        continue
-                    areas = sorted(g["area"].unique())
-                    place, col = {s: i for i, s in enumerate(samples)}, {a: i for i, a in enumerate(areas)}
-                    into = np.zeros((len(samples), len(areas)), np.int32)
-                    for s, a in zip(g["sample"], g["area"]):
-                        if s in place:
-                            into[place[s], col[a]] = 1
-                    has = (shuffle_presence(m, (seed, mouse, replicate)).astype(np.int32) @ into > 0).astype(np.int64)
+                for mouse, (names, into) in shared.value[1].items():
+                    present = shuffle_presence(shared.value[0][mouse][2], (seed, mouse, int(replicate)))
+                    has = (present.astype(np.int32) @ into > 0).astype(np.int64)
                     c = has.T @ has
                     i, j = np.nonzero(c)
-                    names = np.array(areas, object)
                     yield pd.DataFrame({"mouse": mouse, "replicate": replicate, "area_a": names[i], "area_b": names[j], "n": c[i, j]})
 
     parts = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))

@@ -215,7 +215,10 @@ def test_null_counts_equal_statistics_of_the_shuffles(spark):
     shuffled = null.curveball_shuffle(bc, 2)
     p = shuffled.join(links, ["mouse", "sample"]).select("mouse", "replicate", "barcode", "area").distinct().withColumn("strength", F.lit(1))
     direct = {tuple(r) for r in stats.co_occurrence(p, ["mouse", "replicate"]).select("mouse", "replicate", "area_a", "area_b", "n").collect()}
-    assert {tuple(r) for r in null.shuffled_counts(bc, links, 2).select("mouse", "replicate", "area_a", "area_b", "n").collect()} == direct
+    for limit in (10**9, 0):  # broadcast brains, and brains dealt by mouse and replicate
+        got = null.shuffled_counts(bc, links, 2, max_cells=limit).select("mouse", "replicate", "area_a", "area_b", "n").collect()
+        assert {tuple(r) for r in got} == direct
+    assert sorted(null.curveball_shuffle(bc, 2, max_cells=0).collect()) == sorted(shuffled.collect())
 
 
 def test_entropy_and_at(spark):
