@@ -49,10 +49,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, round_trip): the token ids, and whether they decode to the text."""
-    model = sentencepiece_codec.model_bytes()
-    encoded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text").withColumn("original", F.col("text")), model)
-    decoded = sentencepiece_codec.decode(encoded, model)
-    return decoded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.coalesce("original", F.lit("")) == F.col("text")).alias("round_trip"))
+    encoded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), sentencepiece_codec.model_bytes(), round_trip_col="round_trip")
+    return encoded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -19,7 +19,9 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,7 @@ _PARTS = (
 )
 #: Distinct words that a worker remembers; when full it starts anew, which costs time only.
 REMEMBERED = 400_000
+_PIECE = 4 << 20  # bytes of a batch worked on at a time
 
 
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -63,7 +66,7 @@ class Codec:
         if 0 <= self.unk < len(names):
             self.bytes_of[self.unk] = " ⁇ ".encode()
         self.parts = next(p for p in map(re.compile, _PARTS) if self.safe(p))
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known: dict[str, tuple[int, bytes, bytes, bytes]] = {}
 
     def safe(self, parts: re.Pattern) -> bool:
         """Whether no piece reaches across an edge at which ``parts`` cuts."""
@@ -155,7 +158,7 @@ class Codec:
         ids = [self.merge(p) for p in new]
         self.check(new, ids)
         for p, own in zip(new, ids):
-            self.known[p] = (len(own), ",".join(map(str, own)).encode(), b"".join([self.bytes_of[i] for i in own]))
+            self.known[p] = (len(own), ",".join(map(str, own)).encode(), b"".join([self.bytes_of[i] for i in own]), array("i", own).tobytes())
         return parts
 
 
@@ -181,19 +184,28 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with an array of ids appended (an existing column of that name is replaced). Null text: no ids."""
-    kept = [c for c in docs.columns if c != ids_col]
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", round_trip_col: str | None = None) -> DataFrame:
+    """``docs`` with an array of ids appended (an existing column of that name is replaced). Null text: no ids.
+
+    With ``round_trip_col`` the ids are decoded again, and that column says whether they give the text.
+    """
+    more = [ids_col] + ([round_trip_col] if round_trip_col else [])
+    kept = [c for c in docs.columns if c not in more]
 
     def run(batches):
         c = codec(model)
-        for b in pieces(batches):
+        for b in pieces(batches, _PIECE):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            ids = [[int(x) for p in parts if c.known[p][1] for x in c.known[p][1].split(b",")] for parts in c.learn(texts)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in kept] + [pa.array(ids, pa.list_(pa.int32()))], [*kept, ids_col])
+            packed = [b"".join([c.known[p][3] for p in parts]) for parts in c.learn(texts)]
+            ids = np.frombuffer(b"".join(packed), np.int32)
+            ends = np.cumsum([0] + [len(p) // 4 for p in packed])
+            cols = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+            if round_trip_col:
+                cols.append(pa.array([c.decode(ids[x:y].tolist()) == t for x, y, t in zip(ends, ends[1:], texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in kept] + cols, [*kept, *more])
 
-    schema = docs.select(kept).schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(run, schema)
+    schema = docs.select([F.col(f"`{k}`") for k in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, schema.add(round_trip_col, T.BooleanType()) if round_trip_col else schema)
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -202,11 +214,11 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 
     def run(batches):
         c = codec(model)
-        for b in pieces(batches):
-            texts = [c.decode(ids or []) for ids in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
+        for b in pieces(batches, _PIECE):
+            texts = [c.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in b.column(b.schema.get_field_index(ids_col))]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in kept] + [pa.array(texts, pa.string())], [*kept, text_col])
 
-    return rows.mapInArrow(run, rows.select(kept).schema.add(text_col, "string"))
+    return rows.mapInArrow(run, rows.select([F.col(f"`{k}`") for k in kept]).schema.add(text_col, "string"))
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
@@ -218,7 +230,7 @@ def digests(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches):
         c = codec(model)
-        for b in pieces(batches):
+        for b in pieces(batches, _PIECE):
             n, ids_sha, text_sha = [], [], []
             for parts in c.learn([t or "" for t in b.column(1).to_pylist()]):
                 got = [c.known[p] for p in parts]
