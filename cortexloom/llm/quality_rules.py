@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexloom.llm._text import SPACES, free_name, table
+from cortexloom.llm._text import SPACES, table
 
 # Phrases of page furniture (lower case) that mark a short line as boilerplate.
 BOILERPLATE = (
@@ -86,9 +86,9 @@ def repeat_words(words: Column, window: int = 8) -> Column:
     return F.transform(F.array(words), of)[0].cast("bigint")
 
 
-def _measured(docs: DataFrame, text_col: str, q: str = "_q") -> DataFrame:
-    """``docs`` with one struct column ``q`` of counts and kept lines."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+def _measure(text: Column, then) -> Column:
+    """``then(m)`` of the struct m of a text's counts and kept lines, which is worked out once."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
 
     def counts(w: Column) -> Column:
         solid = F.array_join(w, "")
@@ -105,35 +105,44 @@ def _measured(docs: DataFrame, text_col: str, q: str = "_q") -> DataFrame:
             F.size(worded).cast("bigint").alias("n_lines"),
             (F.size(worded) - F.size(F.array_distinct(worded))).cast("bigint").alias("n_dup_lines"),
             F.transform(F.filter(ls, lambda x: ~line_fails(x["s"], x["w"])), lambda x: x["s"]).alias("left"),
-            one(F.flatten(F.transform(ls, lambda x: x["w"])), counts).alias("c"),
+            _once(F.flatten(F.transform(ls, lambda x: x["w"])), counts).alias("c"),
         )
 
-    one = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  names a value once inside an expression
-    return docs.withColumn(q, one(F.transform(lines, lambda x: F.struct(x.alias("s"), _words(x).alias("w"))), by_line))
+    return _once(_once(F.transform(lines, lambda x: F.struct(x.alias("s"), _words(x).alias("w"))), by_line), then)
 
 
-def _verdict(q: str = "_q") -> tuple[Column, Column, Column]:
-    c, ln = F.col(f"{q}.c"), F.col(q)
+def _once(c: Column, f) -> Column:
+    """f(c), with c named inside the expression so that it is worked out once."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _verdict(m: Column) -> tuple[Column, Column, Column]:
+    c = m["c"]
     base_failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-    left_chars = F.length(F.regexp_replace(F.array_join(ln["left"], "\n"), SPACES, ""))
-    ok = (left_chars >= MIN_KEPT * c["word_chars"]) & (ln["n_dup_lines"] <= MAX_DUP_LINES * ln["n_lines"])
+    left_chars = F.length(F.regexp_replace(F.array_join(m["left"], "\n"), SPACES, ""))
+    ok = (left_chars >= MIN_KEPT * c["word_chars"]) & (m["n_dup_lines"] <= MAX_DUP_LINES * m["n_lines"])
     return base_failed, ~base_failed & ok, left_chars
 
 
 def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, left_chars) for every row."""
-    base_failed, kept, left = _verdict()
-    rows = _measured(docs.select(F.col("doc_id"), F.col(text_col).cast("string").alias("text")), "text")
-    c = F.col("_q.c")
-    return rows.select("doc_id", c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), F.col("_q.n_dup_lines").alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), base_failed.alias("base_failed"), kept.alias("kept"), left.cast("bigint").alias("left_chars"))
+
+    def row(m: Column) -> Column:
+        base_failed, kept, left = _verdict(m)
+        c = m["c"]
+        return F.struct(c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), base_failed.alias("base_failed"), kept.alias("kept"), left.cast("bigint").alias("left_chars"))
+
+    return docs.select("doc_id", F.inline(F.array(_measure(F.col(text_col).cast("string"), row))))
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The kept documents, all columns as they came, their text without the failed lines."""
-    names, q = docs.columns, free_name(docs, "_q")
-    _, kept, _ = _verdict(q)
-    rows = _measured(docs, text_col, q).where(kept)
-    return rows.select(*[F.array_join(f"{q}.left", "\n").alias(n) if n == text_col else F.col(f"`{n}`") for n in names])
+    """The kept documents, all columns as they came, their text without the failed lines.
+
+    A document gives one text or none, so the rules run once and no filter repeats them.
+    """
+    none = F.array().cast("array<string>")
+    texts = _measure(F.col(text_col).cast("string"), lambda m: F.when(_verdict(m)[1], F.array(F.array_join(m["left"], "\n"))).otherwise(none))
+    return docs.select(*[F.explode(texts).alias(n) if n == text_col else F.col(f"`{n}`") for n in docs.columns])
 
 
 OP5_SQL = rf"""
