@@ -68,8 +68,12 @@ def bands(line: Column) -> Column:
         step = ((1 << 31) // BANDS + 1) << 32
         part = lambda x: F.call_function("div", x, F.lit(step))
         first = F.filter(h, lambda x, i: (i < ROWS) | (part(x) != part(F.get(h, i - ROWS))))  # all that any band can hold
-        starts = F.array(*[F.lit(j * step) for j in range(BANDS)])
-        out = _let(first, lambda m: F.transform(starts, lambda at: F.slice(F.concat(F.filter(m, lambda x: x >= at), m), 1, ROWS)))
+
+        def minima(m: Column) -> Column:  # a band from the first hash of each part on; empty parts would only repeat the next one
+            begins = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (part(F.get(m, i)) != part(F.get(m, i - 1))))
+            return F.transform(begins, lambda i: F.slice(F.concat(m, m), i + 1, ROWS))
+
+        out = F.when(F.size(h) > 0, _let(first, minima)).otherwise(F.array().cast("array<array<bigint>>"))
         for low, high, n in WHOLE:
             out = F.when((F.size(h) >= low) & (F.size(h) <= high), F.concat(out, dealt(h, n))).otherwise(out)
         return F.array_distinct(F.transform(F.filter(out, lambda o: F.size(o) > 0), lambda o: F.xxhash64(o)))
@@ -77,14 +81,10 @@ def bands(line: Column) -> Column:
     return _let(_let(F.split(line, " "), hashes), cut)
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Whether the Jaccard similarity of two lines' shingle sets reaches THRESHOLD."""
-
-    def of(x: Column) -> Column:
-        both = F.size(F.array_intersect(x["a"], x["b"]))
-        return both >= THRESHOLD * (F.size(x["a"]) + F.size(x["b"]) - both)
-
-    return _let(F.struct(shingles(a).alias("a"), shingles(b).alias("b")), of)
+def similar(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether the Jaccard similarity of two lines' shingle sets, of ``n_a`` and ``n_b`` members, reaches THRESHOLD."""
+    every = lambda line: F.regexp_extract_all(line, F.lit(_ALL), 1)
+    return _let(F.size(F.array_intersect(every(a), every(b))), lambda both: both >= THRESHOLD * (n_a + n_b - both))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -105,10 +105,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.save(_lines(docs).join(_sized(ids), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("m", F.size(shingles(F.col("line")))), "texts")
     left = pairs.join(texts.select(F.col("h").alias("a"), F.col("m").alias("ma")), "a")
     sized = left.join(texts.select(F.col("h").alias("b"), F.col("m").alias("mb")), "b").where(F.least("ma", "mb") >= THRESHOLD * F.greatest("ma", "mb"))  # else too unlike in size
-    sized = scratch.save(sized.select("a", "b"), "sized")
+    sized = scratch.save(sized.select("a", "b", "ma", "mb"), "sized")
     left = sized.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return scratch.save(both.where(similar(F.col("x"), F.col("y"))).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    return scratch.save(both.where(similar(F.col("x"), F.col("y"), F.col("ma"), F.col("mb"))).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
 
 def removals(docs: DataFrame) -> DataFrame:
