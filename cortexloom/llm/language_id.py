@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cortexloom.llm._linear import WordTable, blocks, grams
+from cortexloom.llm._linear import WordTable, blocks, grams, mean_rows
 from cortexloom.llm._text import held_out, lower_words, pieces, raw, table, to_learn
 
 # Language families by language code.
@@ -112,7 +112,8 @@ def fit(docs: DataFrame, keep: Column | None = None, per_lang: int = 600, sample
     n = common.count()
     each = max(1, min(per_lang, sample_rows // max(1, n)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = some.join(F.broadcast(common.select("lang")), "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
+    near = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < 2_000_000 * each / F.col("count")  # about twice the rows to rank, in every language
+    chosen = some.join(F.broadcast(common), "lang").where(near).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
     chosen = chosen.select("doc_id", "lang").distinct()  # at most sample_rows rows
 
     def run(batches):
@@ -157,7 +158,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         m = shared.value
         w = m["W"]
-        words = WordTable(lambda x: w[_word_ids(x)].mean(axis=0), w.shape[1])
+        words = WordTable(lambda ws: mean_rows(ws, _word_ids, w), w.shape[1])
         for b in pieces(batches):
             lang, score = [], np.zeros(b.num_rows)
             for i, t in enumerate(raw(b.column(1))):
