@@ -4,7 +4,10 @@
    at words: the hash range has BANDS starting points, and the ROWS smallest hashes from a
    starting point on (around the end of the range) make a band. Lines of few words get some
    bands more, of all their hashes dealt by remainder, so that one changed word cannot touch
-   every band. Equal lines become one line at once.
+   every band. Equal lines become one line at once. Lines that are short, or have few or long
+   words, also get bands of all their character shingles: up to PARTED shingles these are dealt
+   into more parts than two similar lines can differ in, so that one part is equal in both; from
+   SPREAD shingles on there are minima as above.
 2. Lines that share a band are candidates. Each band bucket first compares its lines with one
    of them (a star, so a group of n lines costs n comparisons, not n * n). Candidates are
    verified by the exact Jaccard similarity of their full character-shingle sets.
@@ -24,6 +27,8 @@ an empty table gives an empty result. Very long lines cost time in proportion to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,10 @@ SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
 BANDS, ROWS = 10, 4
 WHOLE = ((0, 15, 3), (12, 34, 5))
 _MOST = BANDS + 8  # bands of a line that has all kinds
+#: Lines up to so many code points, with fewer words or with longer words on average, also get bands of all character shingles.
+SHORT_CHARS, FEW_WORDS, WORD_CHARS = 110, 16, 12
+#: Least shingles of the classes whose lines are dealt into parts, the end of the last class, and the shingles from which on there are minima.
+PARTED, SPREAD = (1, 5, 9, 13, 17, 21, 26, 32, 40, 50, 57), 40
 #: Rows up to which a table of (id, a few numbers) is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -52,35 +61,82 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(line, F.lit(_ALL), 1))
 
 
+def _positive(hashes: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda x: x.bitwiseAND(F.lit((1 << 63) - 1)))))
+
+
+def _hashed(out: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(out, lambda o: F.size(o) > 0), lambda o: F.xxhash64(o)))
+
+
+def _minima(h: Column) -> Column:
+    """The bands of neighbouring minima of sorted hashes."""
+    step = ((1 << 31) // BANDS + 1) << 32
+    part = lambda x: F.call_function("div", x, F.lit(step))
+    first = F.filter(h, lambda x, i: (i < ROWS) | (part(x) != part(F.get(h, i - ROWS))))  # all that any band can hold
+
+    def minima(m: Column) -> Column:  # a band from the first hash of each part on; empty parts would only repeat the next one
+        begins = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (part(F.get(m, i)) != part(F.get(m, i - 1))))
+        return F.transform(begins, lambda i: F.slice(F.concat(m, m), i + 1, ROWS))
+
+    return F.when(F.size(h) > 0, _let(first, minima)).otherwise(F.array().cast("array<array<bigint>>"))
+
+
 def bands(line: Column) -> Column:
-    """The line's band hashes."""
+    """The line's band hashes, of the shingles that start at words."""
 
     def hashes(w: Column) -> Column:
         start = lambda x, i: F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, SHINGLE)
-        few = F.size(w) * 32 < F.length(line)  # hardly any words: all shingles
-        picked = F.when(few, F.transform(F.regexp_extract_all(line, F.lit(_ALL), 1), lambda x: F.xxhash64(x))).otherwise(F.transform(w, lambda x, i: F.xxhash64(start(x, i))))
-        return F.sort_array(F.array_distinct(F.transform(picked, lambda x: x.bitwiseAND(F.lit((1 << 63) - 1)))))
+        return _positive(F.transform(w, lambda x, i: F.xxhash64(start(x, i))))
 
     def dealt(h: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.filter(h, lambda x: x % n == b))
 
     def cut(h: Column) -> Column:
-        step = ((1 << 31) // BANDS + 1) << 32
-        part = lambda x: F.call_function("div", x, F.lit(step))
-        first = F.filter(h, lambda x, i: (i < ROWS) | (part(x) != part(F.get(h, i - ROWS))))  # all that any band can hold
-
-        def minima(m: Column) -> Column:  # a band from the first hash of each part on; empty parts would only repeat the next one
-            begins = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (part(F.get(m, i)) != part(F.get(m, i - 1))))
-            return F.transform(begins, lambda i: F.slice(F.concat(m, m), i + 1, ROWS))
-
-        out = F.when(F.size(h) > 0, _let(first, minima)).otherwise(F.array().cast("array<array<bigint>>"))
+        out = _minima(h)
         for low, high, n in WHOLE:
             out = F.when((F.size(h) >= low) & (F.size(h) <= high), F.concat(out, dealt(h, n))).otherwise(out)
-        return F.array_distinct(F.transform(F.filter(out, lambda o: F.size(o) > 0), lambda o: F.xxhash64(o)))
+        return _hashed(out)
 
     return _let(_let(F.split(line, " "), hashes), cut)
 
 
+def parted() -> list[tuple[int, int, int]]:
+    """(least, most shingles, parts) of the classes: lines of a and b >= a shingles are similar only if b <= a / THRESHOLD and they differ in at most (a + b) * (1 - THRESHOLD) / (1 + THRESHOLD) shingles."""
+    out = []
+    for low, end in zip(PARTED, PARTED[1:]):
+        high = math.floor((end - 1) / THRESHOLD + 1e-9)
+        out.append((low, high, math.floor((end - 1 + high) * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9) + 1))
+    return out
+
+
+def wordless(line: Column) -> Column:
+    """Whether the shingles at words may be too few to find the line."""
+    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return (F.length(line) <= SHORT_CHARS) | (words < FEW_WORDS) | (words * WORD_CHARS < F.length(line))
+
+
+def all_bands(line: Column) -> Column:
+    """Band hashes of all the line's character shingles."""
+
+    def dealt(h: Column, low: int, n: int) -> Column:  # sorted by part, cut where the part changes
+        part = lambda x: F.shiftright(x, 56)
+        keyed = F.sort_array(F.transform(h, lambda x: F.shiftleft(x % n, 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))))
+
+        def slices(k: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (part(F.get(k, i)) != part(F.get(k, i - 1))))
+            return _let(begins, lambda at: F.transform(at, lambda i, j: F.concat(F.array(F.lit(low).cast("bigint")), F.slice(k, i + 1, F.coalesce(F.get(at, j + 1), F.size(k)) - i))))
+
+        return _let(keyed, slices)
+
+    def cut(h: Column) -> Column:
+        none = F.array().cast("array<array<bigint>>")
+        kinds = [F.when((F.size(h) >= low) & (F.size(h) <= high), dealt(h, low, n)).otherwise(none) for low, high, n in parted()]
+        return _hashed(F.concat(F.when(F.size(h) >= SPREAD, _minima(h)).otherwise(none), *kinds))
+
+    return _let(_positive(F.transform(F.regexp_extract_all(line, F.lit(_ALL), 1), lambda x: F.xxhash64(x))), cut)
+
+
 def similar(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     """Whether the Jaccard similarity of two lines' shingle sets, of ``n_a`` and ``n_b`` members, reaches THRESHOLD."""
     every = lambda line: F.regexp_extract_all(line, F.lit(_ALL), 1)
@@ -119,6 +175,8 @@ def removals(docs: DataFrame) -> DataFrame:
     first = seen.select("h", *[F.get("b", F.lit(i)).alias(f"b{i}") for i in range(_MOST)])  # columns of their own keep the grouping a hash aggregation
     reps = scratch.save(first.groupBy("h").agg(F.count("*").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(_MOST)]), "reps")
     banded = reps.select("h", F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(_MOST)]))).alias("bucket"))
+    sparse = _lines(docs).where(wordless(F.col("line"))).select("h", "line").distinct()
+    banded = scratch.save(banded.unionAll(sparse.select("h", F.explode(all_bands(F.col("line"))).alias("bucket"))), "banded")
     stars = scratch.save(banded.groupBy("bucket").agg(F.min("h").alias("star"), F.count("*").alias("m")).where("m > 1").select("bucket", "star"), "stars")
     members = scratch.save(banded.join(_sized(stars), "bucket"), "members")
     found = _verified(members.where("h <> star").select(F.col("star").alias("a"), F.col("h").alias("b")).distinct(), docs, scratch)

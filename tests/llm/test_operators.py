@@ -437,3 +437,35 @@ def test_mixing_counts_follow_poisson(spark, docs, clash, empty):
     assert mixing.mix(empty, {"a": 1.0}).count() == 0 and mixing.mix(docs, {}, other=0.0).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": -1.0})
+
+
+def near_lines(kind, n, seed):
+    """Pairs of short lines of Jaccard similarity 0.8 to 0.95."""
+    rng = np.random.default_rng(seed)
+    letters, out = "abcdefghijklmnopqrstuvwxyz", []
+    word = lambda: "".join(letters[i] for i in rng.integers(0, 26, int(rng.integers(4, 10))))
+    grams = lambda x: {x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)}
+    while len(out) < n:
+        if kind == "cjk":
+            a = "".join(chr(0x4E00 + i) for i in rng.integers(0, 5000, int(rng.integers(24, 33))))
+            b = "界" + a[1:]
+        elif kind == "numbered":
+            a, b = (" ".join(ws) for ws in zip(*[(w, w) for w in (word() for _ in range(rng.integers(3, 10)))], (str(rng.integers(0, 10)), str(rng.integers(0, 10)))))
+        else:
+            ws = [word() for _ in range(rng.integers(9, 13))]
+            at = int(rng.integers(0, len(ws)))
+            a, b = " ".join(ws), " ".join(ws[:at] + [word()] + ws[at + 1 :])
+        x, y = grams(a), grams(b)
+        if min(len(a), len(b)) >= line_dedup.MIN_CHARS and 0.8 <= len(x & y) / len(x | y) <= 0.95:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["cjk", "numbered", "word"])
+def test_line_dedup_finds_short_near_lines(spark, kind):
+    pairs = near_lines(kind, 150, 3)
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    missed = sum(got[2 * i + 1] != "" for i in range(len(pairs)))
+    print(kind, "missed", missed, "of", len(pairs))
+    assert missed <= (0 if kind != "word" else 1) and all(got[2 * i] == p[0] for i, p in enumerate(pairs))
