@@ -29,17 +29,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the smallest doc_id; of rows that share this id, one."""
-    scratch = Scratch(spark, "groups")
-    found = scratch.save(simhash.near_duplicates(docs).select("doc_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes")))
-    ids = scratch.save(found.groupBy("doc_id").agg(F.min("goes").alias("goes"), F.count("*").alias("n")))
-    mark = free_name(docs, "_gone")
-    gone = ids.where("goes").select(F.col("doc_id").alias(mark))
+    """One document of each SimHash group: the smallest by doc_id (null ids last), then text hash; of rows equal in both, one."""
+    scratch, row = Scratch(spark, "groups"), line_dedup.row_hash(F.col("text"))
+    found = scratch.save(simhash.grouped_rows(docs, row))
+    keys = scratch.save(found.groupBy("root", "doc_id", "row").agg(F.count("*").alias("n")))
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
+    first = scratch.save(first.select("root", F.col("k.doc_id").alias("kd"), F.col("k.row").alias("kr")))
+    mark, t = free_name(docs, "_gone"), free_name(docs, "_text_hash")
+    gone = keys.join(first, "root").where("not (doc_id <=> kd and row = kr)").select(F.col("doc_id").alias(mark), F.col("row").alias(t))
+    gone = scratch.save(gone)
     gone = F.broadcast(gone) if gone.count() <= line_dedup.BROADCAST_ROWS else gone
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(mark)), "left_anti")
-    if ids.where("n > 1 and not goes").isEmpty():
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(mark)) & (line_dedup.row_hash(docs["text"]) == F.col(t)), "left_anti")
+    again = keys.where("n > 1").join(first, "root").where("doc_id <=> kd and row = kr")
+    if again.isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id"])
+    return kept.withColumn(t, row).dropDuplicates(["doc_id", t]).drop(t)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,13 +14,14 @@
 3. Links go to the distributed union-find (``connected_components``). Buckets whose lines are
    then still in different components compare the lines across those components, so a link that
    the star has missed is found too; pairs inside a component are never listed.
-4. Each component keeps its first line, by (doc_id, line number); the others are removed.
+4. Each component keeps its first line, by (doc_id, text hash, line number); the others are removed.
 
 Lines shorter than ``MIN_CHARS`` code points are left alone: they hold too few shingles to be
 told apart, and short lines repeat by nature. Lines are known by a 64-bit hash.
 
-Defined cases: null and empty texts have no line to remove and stay as they are. Rows that share
-a doc_id count as one document: their equal lines at equal places are the same line; null ids
+Defined cases: null and empty texts have no line to remove and stay as they are. Rows are known
+by doc_id and a hash of their text, so different texts of one id (or of none) lose their own lines
+only. Rows equal in both count as one document, all of whose copies are treated alike; null ids
 sort first. Ties cannot occur beyond that. Other columns pass through ``dedup_lines`` untouched;
 an empty table gives an empty result. Very long lines cost time in proportion to their length.
 """
@@ -143,9 +144,14 @@ def similar(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     return _let(F.size(F.array_intersect(every(a), every(b))), lambda both: both >= THRESHOLD * (n_a + n_b - both))
 
 
+def row_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(text.cast("string"), F.lit(6))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h) of the lines that take part."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= MIN_CHARS)
+    """(doc_id, t, line_no, line, h) of the lines that take part."""
+    each = docs.select("doc_id", row_hash(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= MIN_CHARS)
     return each.withColumn("h", F.xxhash64("line"))
 
 
@@ -168,7 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines that a document loses; documents that lose none are absent."""
+    """(doc_id, t, gone): the numbers of the lines that a document loses; documents that lose none are absent."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
     seen = _lines(docs).withColumn("b", bands(F.col("line")))
@@ -196,10 +202,10 @@ def removals(docs: DataFrame) -> DataFrame:
 
     grouped = reps.select("h", "n").join(_sized(comps.withColumnRenamed("node", "h")), "h", "left").where("n > 1 or component is not null")
     grouped = scratch.save(grouped.select("h", F.coalesce("component", "h").alias("c")), "grouped")
-    again = scratch.save(_lines(docs).select("doc_id", "line_no", "h").join(_sized(grouped), "h").select("c", "doc_id", "line_no"), "again")
-    keep = scratch.save(again.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("k")).select("c", F.col("k.doc_id").alias("kd"), F.col("k.line_no").alias("kl")), "keep")
-    gone = again.join(_sized(keep), "c").where("not (doc_id <=> kd and line_no = kl)")
-    return scratch.save(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
+    again = scratch.save(_lines(docs).select("doc_id", "t", "line_no", "h").join(_sized(grouped), "h").select("c", "doc_id", "t", "line_no"), "again")
+    keep = scratch.save(again.groupBy("c").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("k")).select("c", F.col("k.doc_id").alias("kd"), F.col("k.t").alias("kt"), F.col("k.line_no").alias("kl")), "keep")
+    gone = again.join(_sized(keep), "c").where("not (doc_id <=> kd and t = kt and line_no = kl)")
+    return scratch.save(gone.groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone")), "gone")
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
@@ -208,10 +214,10 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     A document whose lines are all removed stays, with an empty text.
     """
     gone = removals(docs)
-    n, g, k = gone.count(), free_name(docs, "_gone"), free_name(docs, "_id")
-    small = gone.select(F.col("doc_id").alias(k), F.col("gone").alias(g))
+    n, g, k, t = gone.count(), free_name(docs, "_gone"), free_name(docs, "_id"), free_name(docs, "_text_hash")
+    small = gone.select(F.col("doc_id").alias(k), F.col("t").alias(t), F.col("gone").alias(g))
     small = F.broadcast(small) if n <= BROADCAST_ROWS else small
-    both = docs.join(small, docs["doc_id"].cast("bigint").eqNullSafe(F.col(k)), "left")
+    both = docs.join(small, docs["doc_id"].cast("bigint").eqNullSafe(F.col(k)) & (row_hash(docs["text"]) == F.col(t)), "left")
     split = F.split(F.col("text").cast("string"), "\n")
     cleaned = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(g, i)), "\n"))
     out = [cleaned.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]

@@ -24,7 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortexloom.llm._text import lower_words, pieces, raw, table
@@ -51,15 +51,17 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * over > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp): fp holds the fingerprint's 64 bits as a long; with ``row``, also that long of each row."""
+    extra = [] if row is None else [row.alias("row")]
+    names = ["doc_id", "fp", *["row" for _ in extra]]
 
     def run(batches):
         for b in pieces(batches):
             fp = np.array([fingerprint(t, shingle, seed) for t in raw(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,14 +181,26 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, shingle, seed), "fingerprints")
+    named = _groups(rows, scratch, radius, leaf_rows).select("fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def grouped_rows(docs: DataFrame, row: Column, radius: int = 3, shingle: int = 3, seed: int = 42, leaf_rows: int = 2048) -> DataFrame:
+    """(doc_id, row, root) for every row of ``docs``: ``row`` as given, a long, and the group's own number, also where ids are null or shared."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.save(fingerprints(docs, shingle, seed, row), "fingerprints")
+    return rows.join(_groups(rows, scratch, radius, leaf_rows).select("fp", "root"), "fp").select("doc_id", "row", "root")
+
+
+def _groups(rows: DataFrame, scratch: Scratch, radius: int, leaf_rows: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of ``rows``."""
     fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = links(fps.select("fp"), fps.count(), scratch, radius, leaf_rows)
     comps = scratch.save(connected_components(found), "components")
     rooted = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     rooted = scratch.save(rooted.select("fp", "root", "first_id"), "rooted")
     least = scratch.save(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    named = scratch.save(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return scratch.save(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -469,3 +469,14 @@ def test_line_dedup_finds_short_near_lines(spark, kind):
     missed = sum(got[2 * i + 1] != "" for i in range(len(pairs)))
     print(kind, "missed", missed, "of", len(pairs))
     assert missed <= (0 if kind != "word" else 1) and all(got[2 * i] == p[0] for i, p in enumerate(pairs))
+
+
+def test_line_dedup_keeps_rows_of_shared_ids_apart(spark):
+    for shared in (None, 7):
+        texts = [f"{prose(100 + i, 20)}\n{prose(200 + i, 20)}\n{prose(300 + i, 20)}" for i in range(10)]
+        double = texts[0] + "\n" + texts[0].split("\n")[1]  # its fourth line repeats its second
+        same = prose(400, 20)
+        rows = [(shared, x + "\n" + prose(500 + i, 20)) for i, x in enumerate(texts[1:])] + [(shared, double), (shared, same + "\n" + prose(601, 20)), (shared, same + "\n" + prose(602, 20))]
+        got = collections.Counter(r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+        assert all(got[x] == 1 for _, x in rows[:9]) and got[texts[0]] == 1
+        assert sum(same in x for x in got) == 1 and prose(601, 20) in "\n".join(got) and prose(602, 20) in "\n".join(got)

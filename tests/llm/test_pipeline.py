@@ -60,3 +60,14 @@ def test_registration():
 @pytest.mark.parametrize("n", range(1, 11))
 def test_one_query_an_operator(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.QUERIES) == 1
+
+
+def test_near_duplicates_of_shared_ids(spark, sf):
+    from test_operators import prose
+
+    for shared in (None, 7):
+        texts = [prose(100 + i, 80) for i in range(6)]
+        rows = [(shared, x, "en", "src0", 1) for x in [*texts, texts[0]]] + [(8, texts[1], "en", "src0", 1)]  # a copy of the same id, one of another
+        got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()]
+        assert sorted(x for _, x in got) == sorted(texts)
+        assert (8 if shared is None else 7, texts[1]) in got
