@@ -16,8 +16,9 @@
    the star has missed is found too; pairs inside a component are never listed.
 4. Each component keeps its first line, by (doc_id, text hash, line number); the others are removed.
 
-Lines shorter than ``MIN_CHARS`` code points are left alone: they hold too few shingles to be
-told apart, and short lines repeat by nature. Lines are known by a 64-bit hash.
+Lines shorter than ``MIN_CHARS`` code points hold too few shingles for similarity. With ``short``
+their exact repeats are removed (blank lines stay); else they are left alone. Lines are known by a
+64-bit hash.
 
 Defined cases: null and empty texts have no line to remove and stay as they are. Rows are known
 by doc_id and a hash of their text, so different texts of one id (or of none) lose their own lines
@@ -149,9 +150,9 @@ def row_hash(text: Column) -> Column:
     return F.xxhash64(text.cast("string"), F.lit(6))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line_no, line, h) of the lines that take part."""
-    each = docs.select("doc_id", row_hash(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= MIN_CHARS)
+def _lines(docs: DataFrame, least: Column | None = None) -> DataFrame:
+    """(doc_id, t, line_no, line, h) of the lines that take part: those of MIN_CHARS or more, or for which ``least`` holds."""
+    each = docs.select("doc_id", row_hash(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= MIN_CHARS if least is None else least)
     return each.withColumn("h", F.xxhash64("line"))
 
 
@@ -173,7 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(both.where(similar(F.col("x"), F.col("y"), F.col("ma"), F.col("mb"))).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, t, gone): the numbers of the lines that a document loses; documents that lose none are absent."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
@@ -202,18 +203,22 @@ def removals(docs: DataFrame) -> DataFrame:
 
     grouped = reps.select("h", "n").join(_sized(comps.withColumnRenamed("node", "h")), "h", "left").where("n > 1 or component is not null")
     grouped = scratch.save(grouped.select("h", F.coalesce("component", "h").alias("c")), "grouped")
-    again = scratch.save(_lines(docs).select("doc_id", "t", "line_no", "h").join(_sized(grouped), "h").select("c", "doc_id", "t", "line_no"), "again")
+    worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    if short:  # equal short lines are groups of their own
+        brief = _lines(docs, (F.length("line") < MIN_CHARS) & worded).groupBy("h").count().where("count > 1")
+        grouped = scratch.save(grouped.unionAll(brief.select("h", F.col("h").alias("c"))), "grouped")
+    again = scratch.save(_lines(docs, (F.length("line") >= MIN_CHARS) | worded if short else None).select("doc_id", "t", "line_no", "h").join(_sized(grouped), "h").select("c", "doc_id", "t", "line_no"), "again")
     keep = scratch.save(again.groupBy("c").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("k")).select("c", F.col("k.doc_id").alias("kd"), F.col("k.t").alias("kt"), F.col("k.line_no").alias("kl")), "keep")
     gone = again.join(_sized(keep), "c").where("not (doc_id <=> kd and t = kt and line_no = kl)")
     return scratch.save(gone.groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone")), "gone")
 
 
-def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """``docs`` with each near-duplicate line kept once; with ``counts`` also n_lines and n_removed.
+def dedup_lines(docs: DataFrame, counts: bool = False, short: bool = False) -> DataFrame:
+    """``docs`` with each near-duplicate line kept once; with ``counts`` also n_lines and n_removed, with ``short`` exact repeats of short lines go too.
 
     A document whose lines are all removed stays, with an empty text.
     """
-    gone = removals(docs)
+    gone = removals(docs, short)
     n, g, k, t = gone.count(), free_name(docs, "_gone"), free_name(docs, "_id"), free_name(docs, "_text_hash")
     small = gone.select(F.col("doc_id").alias(k), F.col("t").alias(t), F.col("gone").alias(g))
     small = F.broadcast(small) if n <= BROADCAST_ROWS else small
@@ -227,4 +232,4 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, short=True)

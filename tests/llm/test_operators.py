@@ -480,3 +480,9 @@ def test_line_dedup_keeps_rows_of_shared_ids_apart(spark):
         got = collections.Counter(r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
         assert all(got[x] == 1 for _, x in rows[:9]) and got[texts[0]] == 1
         assert sum(same in x for x in got) == 1 and prose(601, 20) in "\n".join(got) and prose(602, 20) in "\n".join(got)
+
+
+def test_line_dedup_removes_exact_repeats_of_short_lines(spark):
+    rows = [(1, "今日は天気がいい\n \nHome page\n" + prose(1, 20)), (2, "Home page\n \n今日は天気がいい\nHome pages"), (3, None), (None, "今日は天気がいい")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), short=True).collect()}
+    assert got == {None: "今日は天気がいい", 1: " \nHome page\n" + prose(1, 20), 2: " \nHome pages", 3: None}
