@@ -9,7 +9,9 @@ of an entity get the same one in every document (coreference). It keeps the ment
 (separators, case, length, grouping, checksum), an address's domain structure and private
 range, and a name's gender and script. Distinctness is checked over the whole corpus: surrogates
 that equal another entity's surrogate or any real entity of their type lose to the smaller
-canonical form and try their next candidate, until no collision is left. Only those exceptions
+canonical form and try their next candidate, until no collision is left. Where a range of addresses
+or numbers is too full for that, all its entities take a keyed permutation of the range instead:
+distinct, and none its own, though it may be another's. Only those exceptions
 travel back to the documents; all others are recomputed where they are needed.
 """
 
@@ -46,7 +48,12 @@ _PERSON = re.compile(rf"\b({'|'.join(sorted(_HON, key=len, reverse=True))})\b\.?
 _HON_ENDS, _SECRET_WORDS = [h + end for h in _HON for end in ". \xa0"], ("token", "secret", "passw", "key")
 _LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=-]{8,400})")
+# A quoted value to its closing quote, any other to the next space, at any length; the last group leaves out closing punctuation.
+_SECRET = re.compile(
+    r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}"
+    r"(?:\"((?:[^\"\\\n]|\\.){8,})\"|'((?:[^'\\\n]|\\.){8,})'|[\"']?(\S{8,}))"
+)
+_CLOSING, _DIGIT = ".,;:!?)]}>\"'", re.compile(r"\d")
 _NUMBER = re.compile(
     r"(?P<ipv4>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -82,14 +89,17 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         at = text.find("@", at + 1)
     if ("=" in text or ":" in text) and any(k in low for low in (text.lower(),) for k in _SECRET_WORDS):
         for m in _SECRET.finditer(text):
-            out.append((m.start(1), m.end(1), "secret", m[1].lower()))
-    numbers = any(d in text for d in "0123456789")
+            n = m.lastindex
+            value = m[n].rstrip(_CLOSING) if n == 3 else m[n]
+            if len(value) >= 8:
+                out.append((m.start(n), m.start(n) + len(value), "secret", value))
+    numbers = _DIGIT.search(text) is not None
     for m in _IBAN.finditer(text) if numbers else ():
         s = m[0].replace(" ", "")
-        if 15 <= len(s) <= 34 and iban_check(s[:2], s[4:]) == s[2:4]:
+        if 15 <= len(s) <= 34 and int(iban_check(s[:2], s[4:])) == int(s[2:4]):
             out.append((m.start(), m.end(), "iban", s))
     for m in _NUMBER.finditer(text) if numbers else ():
-        kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
+        kind, digits = m.lastgroup, "".join(str(int(c)) for c in m[0] if c.isdecimal())
         if kind == "ipv4" and all(int(p) < 256 for p in m[0].split(".")):
             out.append((m.start(), m.end(), kind, ".".join(str(int(p)) for p in m[0].split("."))))
         elif kind == "card" and 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1:
@@ -121,10 +131,11 @@ class Draw:
 
     def like(self, s: str, hexadecimal: bool = False) -> str:
         """Digits for digits, letters for letters of the same case (hexadecimal ones for such), the rest as it is."""
-        out = []
+        out, upper = [], not any(c.islower() for c in s)
         for c in s:
-            if hexadecimal and c in "0123456789abcdef":
-                out.append("0123456789abcdef"[self.below(16)])
+            if hexadecimal and c in "0123456789abcdefABCDEF":
+                x = "0123456789abcdef"[self.below(16)]
+                out.append(x.upper() if upper else x)
             elif c.isdecimal():
                 out.append(str(self.below(10)))
             elif c.isalpha():
@@ -136,13 +147,51 @@ class Draw:
         return "".join(out)
 
 
+def place(kind: str, canon: str) -> tuple[str, int, int] | None:
+    """(prefix, size, index) of an entity in the range that its surrogate keeps, if that can run out."""
+    if kind == "ipv4":
+        p = [int(x) for x in canon.split(".")]
+        if p[0] in (10, 127):
+            return f"{p[0]}.", 1 << 24, p[1] << 16 | p[2] << 8 | p[3]
+        if p[:2] == [192, 168] or (p[0] == 172 and 16 <= p[1] < 32):
+            return f"{p[0]}.{p[1]}.", 1 << 16, p[2] << 8 | p[3]
+    elif kind in ("phone", "ssn"):
+        keep = 0 if canon[0] != "+" else 2 if canon[1] in "17" else 3
+        return canon[:keep] + "*" * (len(canon) - keep), 10 ** (len(canon) - keep), int(canon[keep:])
+    return None
+
+
+def permuted(key: bytes, kind: str, canon: str) -> str:
+    """The entity's place in a keyed permutation without fixed points: a Feistel network F and one step, F'(F(x) + 1)."""
+    prefix, size, x = place(kind, canon)
+    half = ((size - 1).bit_length() + 1) // 2
+    mask = (1 << half) - 1
+    f = lambda r, v: Draw(key, "permute", kind, prefix, r, v).below(1 << half)
+
+    def network(v: int, rounds: list[int], back: bool) -> int:
+        while True:  # walks on until inside the range again
+            a, b = v >> half, v & mask
+            for r in rounds:
+                a, b = (b ^ f(r, a), a) if back else (b, a ^ f(r, b))
+            v = a << half | b
+            if v < size:
+                return v
+
+    y = network((network(x, [0, 1, 2, 3], False) + 1) % size, [3, 2, 1, 0], True)
+    if kind == "ipv4":
+        return prefix + ".".join(str(y >> s & 255) for s in range(16 if size > 1 << 16 else 8, -1, -8))
+    return prefix.rstrip("*") + str(y).zfill(prefix.count("*"))
+
+
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    """The canonical form of an entity's surrogate."""
+    """The canonical form of an entity's surrogate; attempt -1 stands for the permutation of its range."""
+    if attempt < 0:
+        return permuted(key, kind, canon)
     d = Draw(key, kind, canon, attempt)
     if kind == "email":
         local, domain = canon.rsplit("@", 1)
         names, top = domain.rsplit(".", 1)
-        return f"{d.like(local)}@{Draw(key, 'domain', domain).like(names)}.{top}"
+        return f"{d.like(local + 'a' * (attempt // 8))}@{Draw(key, 'domain', domain).like(names)}.{top}"
     if kind == "ipv4":
         p = [int(x) for x in canon.split(".")]
         keep = 1 if p[0] in (10, 127) else 2 if p[:2] == [192, 168] or (p[0] == 172 and 16 <= p[1] < 32) else 0
@@ -155,14 +204,16 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         rest = d.like(canon[4:])
         return canon[:2] + iban_check(canon[:2], rest) + rest
     if kind == "secret":
-        return d.like(canon, hexadecimal=not re.search(r"[g-z]", canon))
+        if sum(c.isalnum() for c in canon) < 8:  # too few letters and digits for a value of its own
+            return d.like("".join(c if c.isalnum() or c.isspace() else "a" for c in canon))
+        return d.like(canon, hexadecimal=not any(c.isalpha() and c not in "abcdefABCDEF" for c in canon))
     if kind == "person":
         gender, name = canon.split(":", 1)
         script = "cyrillic" if re.search(r"[Ѐ-ӿ]", name) else "latin"
         words = re.split(r"[  -]", name)
         g = gender if gender != "n" else "mf"[Draw(key, "gender", canon).below(2)]
         given, syl = GIVEN[script, g].split(), SYLLABLES[script].split()
-        family = lambda: "".join(syl[d.below(len(syl))] for _ in range(2 + (attempt > 2) + d.below(2)))
+        family = lambda: "".join(syl[d.below(len(syl))] for _ in range(2 + (attempt > 2) + attempt // 8 + d.below(2)))
         new = [given[d.below(len(given))].casefold() for _ in words[:-1]] + [family()]
         return f"{gender}:{' '.join(new)}"
     if canon[0] == "+":  # the country code stays: one digit for the zones 1 and 7, else two
@@ -176,12 +227,26 @@ def dressed(surface: str, kind: str, new: str) -> str:
     if kind == "person":
         words = iter(new.split(":", 1)[1].split(" "))
         return re.sub(r"[^  -]+", lambda m: next(words).upper() if m[0].isupper() and len(m[0]) > 1 else next(words).capitalize(), surface)
-    if kind in ("email", "secret"):
+    if kind == "secret":
+        return new
+    if kind == "email":
         return "".join(n.upper() if s.isupper() else n for s, n in zip(surface, new)) if len(surface) == len(new) else new
+    local = lambda c, like: chr(ord(like) - int(like) + int(c)) if c.isdecimal() and like.isdecimal() else c
     if kind == "ipv4":
-        return new
+        return "".join(local(c, surface[0]) for c in new)
     chars = iter(new.lstrip("+"))
-    return "".join(next(chars) if c.isalnum() else c for c in surface)
+    return "".join(local(next(chars), c) if c.isalnum() else c for c in surface)
+
+
+def _ranges(entities: DataFrame) -> DataFrame:
+    """(kind, canon, range) of entities; the range is null where it cannot run out."""
+
+    def run(batches):
+        for b in batches:
+            found = [place(k, c) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f and f[0] for f in found], pa.string())], ["kind", "canon", "range"])
+
+    return entities.select("kind", "canon").mapInArrow(run, "kind string, canon string, range string")
 
 
 def collisions(entities: DataFrame, key: bytes, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
@@ -210,7 +275,11 @@ def collisions(entities: DataFrame, key: bytes, scratch: Scratch, max_rounds: in
         if waiting.isEmpty():
             break
     else:
-        raise RuntimeError(f"surrogates still collide after {max_rounds} candidates each")
+        full = scratch.save(_ranges(waiting).select("kind", "range").distinct(), "full")
+        if not full.where("range is null").isEmpty():
+            raise RuntimeError(f"surrogates still collide after {max_rounds} candidates each")
+        inside = scratch.save(_ranges(entities).join(F.broadcast(full), ["kind", "range"]).select("kind", "canon", F.lit(-1).alias("attempt")), "permuted")
+        return inside if moved is None else moved.join(inside, ["kind", "canon"], "left_anti").unionAll(inside)
     return moved if moved is not None else entities.select("kind", "canon", F.lit(0).alias("attempt")).where(F.lit(False))
 
 

@@ -486,3 +486,33 @@ def test_line_dedup_removes_exact_repeats_of_short_lines(spark):
     rows = [(1, "今日は天気がいい\n \nHome page\n" + prose(1, 20)), (2, "Home page\n \n今日は天気がいい\nHome pages"), (3, None), (None, "今日は天気がいい")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), short=True).collect()}
     assert got == {None: "今日は天気がいい", 1: " \nHome page\n" + prose(1, 20), 2: " \nHome pages", 3: None}
+
+
+def test_surrogates_take_whole_secrets_and_all_digits():
+    key, jwt = "k9" * 450, "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM_x-y"
+    for text, value in ((f"token={key} end", key), (f'token = "{jwt}"', jwt), (f"token: {jwt}.", jwt), ("password: Tr0ub!dor&3xyzabc", "Tr0ub!dor&3xyzabc"), ("password='two words, here'", "two words, here")):
+        ((start, end, kind, canon),) = surrogates.find(text)
+        assert (text[start:end], kind, canon) == (value, "secret", value)
+        new = surrogates.dressed(value, kind, surrogates.surrogate(b"k", kind, canon))
+        assert len(new) == len(value) and new != value
+    assert surrogates.find("token=abcdefgH")[0][3] != surrogates.find("token=abcdefgh")[0][3]
+    assert surrogates.surrogate(b"k", "secret", "!!!!!!!!") != "!!!!!!!!"
+    text = "٤١١١١١١١١١١١١١١١"
+    ((start, end, kind, canon),) = surrogates.find(text)
+    assert (kind, canon) == ("card", "4111111111111111")
+    new = surrogates.dressed(text, kind, surrogates.surrogate(b"k", kind, canon))
+    assert new != text and surrogates.find(new)[0][2] == "card" and all("٠" <= c <= "٩" for c in new)
+
+
+def test_surrogates_of_a_full_range_are_a_permutation(spark):
+    from cortexloom.plans.scratch import Scratch
+
+    ents = [("phone", f"+49{i:02d}") for i in range(100)]
+    moved = {(r["kind"], r["canon"]): r["attempt"] for r in surrogates.collisions(spark.createDataFrame(ents, "kind string, canon string"), b"k", Scratch(spark, "t"), 2).collect()}
+    final = [surrogates.surrogate(b"k", k, c, moved.get((k, c), 0)) for k, c in ents]
+    assert len(set(final)) == 100 and all(a != c for a, (_, c) in zip(final, ents))
+    for head in ("192.168.{}.{}", "10.0.{}.{}"):
+        every = [head.format(i // 256, i % 256) for i in range(0, 65536, 9)]
+        new = [surrogates.permuted(b"k", "ipv4", x) for x in every]
+        assert len(set(new)) == len(every) and all(a != b for a, b in zip(new, every))
+        assert all(x.startswith(head.split("{")[0].removesuffix("0.")) for x in new)
