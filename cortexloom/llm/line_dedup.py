@@ -1,19 +1,21 @@
 """Fuzzy line deduplication by MinHash, in SQL functions only.
 
-1. One scan: every line gets its hash and its signature over the character shingles that start
-   at words: the hash range has BANDS starting points, and the ROWS smallest hashes from a
-   starting point on (around the end of the range) make a band. Lines of few words get some
-   bands more, of all their hashes dealt by remainder, so that one changed word cannot touch
-   every band. Equal lines become one line at once. Lines that are short, or have few or long
-   words, also get bands of all their character shingles: up to PARTED shingles these are dealt
-   into more parts than two similar lines can differ in, so that one part is equal in both; from
-   SPREAD shingles on there are minima as above.
-2. Lines that share a band are candidates. Each band bucket first compares its lines with one
-   of them (a star, so a group of n lines costs n comparisons, not n * n). Candidates are
-   verified by the exact Jaccard similarity of their full character-shingle sets.
-3. Links go to the distributed union-find (``connected_components``). Buckets whose lines are
-   then still in different components compare the lines across those components, so a link that
-   the star has missed is found too; pairs inside a component are never listed.
+1. Signatures: every line gets its hash and the sorted hashes of the character shingles that
+   start at words. The hash range has BANDS starting points, and the ROWS smallest hashes from a
+   starting point on (around the end of the range) make a band. Equal lines become one line at
+   once. Lines that are short, or have few or long words, get bands of all their character
+   shingles: up to PARTED shingles these are dealt into more parts than two similar lines can
+   differ in, so that one part is equal in both; from SPREAD shingles on there are minima as above.
+2. Lines that share a band are candidates. Each bucket compares its lines with one of them, its
+   hub (a line that occurs often, so mostly the one that the others were made from): a star, so
+   n lines cost n comparisons. Similarity is the exact Jaccard similarity of the full
+   character-shingle sets.
+3. Links go to the distributed union-find (``connected_components``). Lines of a star that are not
+   in its hub's component then meet the star's other lines through an exact prefix filter
+   (``rest_pairs``): shingles are ordered from rare to frequent, and two similar sets have one in
+   common among their first ones. Lines that differ from a common origin each in its own way start
+   with shingles that no other line has, so they are not compared: pairs do not grow with the
+   square of a group, and no link is lost.
 4. Each component keeps its first line, by (doc_id, text hash, line number); the others are removed.
 
 Lines shorter than ``MIN_CHARS`` code points hold too few shingles for similarity. With ``short``
@@ -39,18 +41,22 @@ from cortexloom.operators.components import connected_components
 from cortexloom.plans.scratch import Scratch
 
 SHINGLE, THRESHOLD, MIN_CHARS = 8, 0.8, 24
-#: MinHash bands, each of ROWS neighbouring minima; besides, lines of few shingles: (least, most shingles, bands that keep all hashes).
+#: MinHash bands, each of ROWS neighbouring minima.
 BANDS, ROWS = 10, 4
-WHOLE = ((0, 15, 3), (12, 34, 5))
-_MOST = BANDS + 8  # bands of a line that has all kinds
-#: Lines up to so many code points, with fewer words or with longer words on average, also get bands of all character shingles.
-SHORT_CHARS, FEW_WORDS, WORD_CHARS = 110, 16, 12
+#: Lines up to so many code points, with fewer words or with longer words on average, have bands of all character shingles.
+SHORT_CHARS, FEW_WORDS, WORD_CHARS = 200, 16, 12
+#: Longer lines have bands of the shingles at words; so lines of either kind that can be similar have one kind in common.
+WORDED_CHARS = 160
 #: Least shingles of the classes whose lines are dealt into parts, the end of the last class, and the shingles from which on there are minima.
 PARTED, SPREAD = (1, 5, 9, 13, 17, 21, 26, 32, 40, 50, 57), 40
 #: Rows up to which a table of (id, a few numbers) is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
-_ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
+_ALL, _AT_WORDS = rf"(?s)(?=(.{{{SHINGLE}}}))", rf"(?s) (?=(.{{{SHINGLE}}}))"
+#: Ratio of the largest to the smallest set of a class of sizes.
+CLASS = 1.04
+_BANDS = [f"b{j}" for j in range(BANDS)]
+_HASH = (1 << 60) - 1  # bits of a line's id that are its hash; the three above grow with its occurrences
 
 
 def _let(value: Column, f) -> Column:
@@ -58,49 +64,19 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def shingles(line: Column) -> Column:
-    """The distinct character shingles of a line."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(_ALL), 1))
+def grams(line: Column, pattern: str = _ALL) -> Column:
+    """Hashes of the distinct character shingles of a line."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), 1), lambda x: F.xxhash64(x)))
 
 
-def _positive(hashes: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda x: x.bitwiseAND(F.lit((1 << 63) - 1)))))
-
-
-def _hashed(out: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(out, lambda o: F.size(o) > 0), lambda o: F.xxhash64(o)))
-
-
-def _minima(h: Column) -> Column:
-    """The bands of neighbouring minima of sorted hashes."""
-    step = ((1 << 31) // BANDS + 1) << 32
-    part = lambda x: F.call_function("div", x, F.lit(step))
-    first = F.filter(h, lambda x, i: (i < ROWS) | (part(x) != part(F.get(h, i - ROWS))))  # all that any band can hold
-
-    def minima(m: Column) -> Column:  # a band from the first hash of each part on; empty parts would only repeat the next one
-        begins = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (part(F.get(m, i)) != part(F.get(m, i - 1))))
-        return F.transform(begins, lambda i: F.slice(F.concat(m, m), i + 1, ROWS))
-
-    return F.when(F.size(h) > 0, _let(first, minima)).otherwise(F.array().cast("array<array<bigint>>"))
-
-
-def bands(line: Column) -> Column:
-    """The line's band hashes, of the shingles that start at words."""
-
-    def hashes(w: Column) -> Column:
-        start = lambda x, i: F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, SHINGLE)
-        return _positive(F.transform(w, lambda x, i: F.xxhash64(start(x, i))))
-
-    def dealt(h: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.filter(h, lambda x: x % n == b))
-
-    def cut(h: Column) -> Column:
-        out = _minima(h)
-        for low, high, n in WHOLE:
-            out = F.when((F.size(h) >= low) & (F.size(h) <= high), F.concat(out, dealt(h, n))).otherwise(out)
-        return _hashed(out)
-
-    return _let(_let(F.split(line, " "), hashes), cut)
+def minima(lines: DataFrame, keep: list[str], low: int = -(1 << 63)) -> DataFrame:
+    """``keep`` and the columns b0, b1 ...: bands of neighbouring minima of s, the sorted hashes (from ``low`` on) of a line."""
+    starts = [low + j * (((1 << 63) - low) // BANDS) for j in range(BANDS)]
+    marked = lines.select(*keep, "s", F.sort_array(F.concat("s", F.array(*map(F.lit, starts)))).alias("m"), F.concat("s", F.slice("s", 1, ROWS)).alias("w"))
+    before = [(F.array_position("m", F.lit(x)) - 1 - j).cast("int").alias(f"c{j}") for j, x in enumerate(starts)]  # hashes below a start
+    placed = marked.select(*keep, "w", *before, F.size("s").alias(f"c{BANDS}"))
+    # an empty part would only repeat the next band
+    return placed.select(*keep, *[F.when(F.col(f"c{j}") < F.col(f"c{j + 1}"), F.xxhash64(F.slice("w", F.col(f"c{j}") + 1, F.lit(ROWS)))).alias(f"b{j}") for j in range(BANDS)])
 
 
 def parted() -> list[tuple[int, int, int]]:
@@ -118,31 +94,30 @@ def wordless(line: Column) -> Column:
     return (F.length(line) <= SHORT_CHARS) | (words < FEW_WORDS) | (words * WORD_CHARS < F.length(line))
 
 
-def all_bands(line: Column) -> Column:
-    """Band hashes of all the line's character shingles."""
-
-    def dealt(h: Column, low: int, n: int) -> Column:  # sorted by part, cut where the part changes
-        part = lambda x: F.shiftright(x, 56)
-        keyed = F.sort_array(F.transform(h, lambda x: F.shiftleft(x % n, 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))))
+def _dealt(s: Column, low: int, n: int) -> Column:
+    """Band hashes of sorted positive hashes ``s``, dealt by remainder into ``n`` parts."""
+    part = lambda x: F.shiftright(x, 56)
+    keyed = F.sort_array(F.transform(s, lambda x: F.shiftleft(x % n, 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))))
 
-        def slices(k: Column) -> Column:
-            begins = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (part(F.get(k, i)) != part(F.get(k, i - 1))))
-            return _let(begins, lambda at: F.transform(at, lambda i, j: F.concat(F.array(F.lit(low).cast("bigint")), F.slice(k, i + 1, F.coalesce(F.get(at, j + 1), F.size(k)) - i))))
+    def slices(k: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (part(F.get(k, i)) != part(F.get(k, i - 1))))
+        return _let(begins, lambda at: F.transform(at, lambda i, j: F.xxhash64(F.lit(low), F.slice(k, i + 1, F.coalesce(F.get(at, j + 1), F.size(k)) - i))))
 
-        return _let(keyed, slices)
+    return _let(keyed, slices)
 
-    def cut(h: Column) -> Column:
-        none = F.array().cast("array<array<bigint>>")
-        kinds = [F.when((F.size(h) >= low) & (F.size(h) <= high), dealt(h, low, n)).otherwise(none) for low, high, n in parted()]
-        return _hashed(F.concat(F.when(F.size(h) >= SPREAD, _minima(h)).otherwise(none), *kinds))
 
-    return _let(_positive(F.transform(F.regexp_extract_all(line, F.lit(_ALL), 1), lambda x: F.xxhash64(x))), cut)
+def brief_bands(brief: DataFrame) -> DataFrame:
+    """(id, bucket) of the bands of all character shingles of (id, line)."""
+    hashed = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_ALL), 1), lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 63) - 1)))))
+    n, none = F.size("s"), F.array().cast("array<bigint>")
+    banded = minima(brief.select("id", hashed.alias("s")), ["id", "s"], 0)
+    kinds = [F.when(n >= SPREAD, F.array_compact(F.array(*_BANDS))).otherwise(none)]
+    kinds += [F.when((n >= low) & (n <= high), _dealt(F.col("s"), low, parts)).otherwise(none) for low, high, parts in parted()]
+    return banded.select("id", F.explode(F.array_distinct(F.concat(*kinds))).alias("bucket"))
 
 
-def similar(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Whether the Jaccard similarity of two lines' shingle sets, of ``n_a`` and ``n_b`` members, reaches THRESHOLD."""
-    every = lambda line: F.regexp_extract_all(line, F.lit(_ALL), 1)
-    return _let(F.size(F.array_intersect(every(a), every(b))), lambda both: both >= THRESHOLD * (n_a + n_b - both))
+def _exploded(banded: DataFrame) -> DataFrame:
+    return banded.select("id", F.explode(F.array_compact(F.array(*_BANDS))).alias("bucket"))
 
 
 def row_hash(text: Column) -> Column:
@@ -161,48 +136,100 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(src, dst) of the pairs (a, b) of line hashes whose lines are similar."""
-    pairs = scratch.save(pairs, "pairs")
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "ids")
-    texts = scratch.save(_lines(docs).join(_sized(ids), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("m", F.size(shingles(F.col("line")))), "texts")
-    left = pairs.join(texts.select(F.col("h").alias("a"), F.col("m").alias("ma")), "a")
-    sized = left.join(texts.select(F.col("h").alias("b"), F.col("m").alias("mb")), "b").where(F.least("ma", "mb") >= THRESHOLD * F.greatest("ma", "mb"))  # else too unlike in size
-    sized = scratch.save(sized.select("a", "b", "ma", "mb"), "sized")
-    left = sized.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return scratch.save(both.where(similar(F.col("x"), F.col("y"), F.col("ma"), F.col("mb"))).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+def line_id(h: Column, n: Column) -> Column:
+    """The id of a line of hash ``h`` that occurs ``n`` times: lines that occur more often have greater ids."""
+    return F.shiftleft(F.least(F.floor(F.log2(n)), F.lit(7)), 60).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
+
+
+def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, id, nx, ny, both): the pairs with the sizes of both shingle sets and of what they share."""
+    left = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("p")), "hub")
+    both = left.join(texts.select("id", F.col("line").alias("q")), "id").select("hub", "id", grams(F.col("p")).alias("x"), grams(F.col("q")).alias("y"))
+    return both.select("hub", "id", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+
+
+def _links(found: DataFrame) -> DataFrame:
+    """(src, dst) of the judged pairs whose Jaccard similarity reaches THRESHOLD."""
+    return found.where(F.col("both") >= THRESHOLD * (F.col("nx") + F.col("ny") - F.col("both"))).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+
+
+def open_lines(found: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, c, u): the lines of judged stars that may have a link yet, their components, and whether one is outside its hub's.
+
+    With d the size of the difference of a line and its hub, two lines of a star are similar only if
+    d of the one is at most r * (both sizes) more than d of the other, where r = (1 - t) / (1 + t).
+    """
+    r, of = (1 - THRESHOLD) / (1 + THRESHOLD), _sized(comps)
+    placed = found.join(of.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(of.select(F.col("node").alias("hub"), F.col("component").alias("o")), "hub", "left")
+    placed = placed.select("hub", "id", F.coalesce("c", "id").alias("c"), F.coalesce("o", "hub").alias("o"), (F.col("nx") + F.col("ny") - 2 * F.col("both")).alias("d"), (r * F.col("ny") + 1e-6).alias("slack"))
+    placed = placed.withColumn("u", F.col("c") != F.col("o"))
+    stars = placed.groupBy("hub").agg(F.min(F.when(F.col("u"), F.col("d") - F.col("slack"))).alias("near"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("near is not null and lo < hi")
+    held = placed.join(stars.select("hub", "near"), "hub").where("u or d + slack >= near")
+    return held.groupBy("id", "c").agg(F.max(F.col("u").cast("int")).cast("boolean").alias("u"))
+
+
+def rest_pairs(lines: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, id) of the pairs of open lines that may be similar, at least one of them outside its hub's component.
+
+    Similar sets of n and m shingles share at least t / (1 + t) * (n + m), so they share one of
+    the first n - that + 1 of each in any common order. Shingles of one line only come first and
+    need not be posted. The smaller line posts as ``small`` under its class of sizes, the larger
+    one under each class that its partner may be of.
+    """
+    part, step = THRESHOLD / (1 + THRESHOLD), math.log(CLASS)
+    kind = lambda n: F.floor(F.log(n + 1e-6) / step).cast("int")
+    sets = lines.join(texts, "id").select("id", "c", "u", grams(F.col("line")).alias("s"))
+    sets = scratch.save(sets.select("id", "c", "u", F.size("s").alias("n"), F.explode("s").alias("s")), "grams")
+    often = sets.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    shared = sets.join(often, "s").groupBy("id", "c", "u", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("s"))  # of one line
+    shared = scratch.save(shared.select("id", "c", "u", "n", (F.col("n") - F.size("s")).alias("alone"), F.col("s.s").alias("s")), "shared")
+
+    def posts(partner: Column) -> Column:  # how many of s are among the first ones for a partner of so many shingles
+        first = F.col("n") - F.ceil(part * (F.col("n") + partner) - 1e-6) + 1
+        return F.least(F.size("s"), F.greatest(F.lit(0), first - F.col("alone"))).cast("int")
+
+    def put(rows: DataFrame, n: str) -> DataFrame:
+        rows = rows.select("id", "c", "u", "n", "kind", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("posts"))).alias("at", "s"))
+        return rows.select(F.xxhash64("kind", "s").alias("key"), F.col("id").alias(f"{n}_id"), F.col("c").alias(f"{n}_c"), F.col("u").alias(f"{n}_u"), F.col("n").alias(f"{n}_n"), (F.col("n") - F.col("alone") - F.col("at")).alias(f"{n}_left"))
+
+    small = scratch.save(put(shared.withColumn("kind", kind(F.col("n"))).withColumn("posts", posts(F.col("n"))), "a"), "small")
+    large = shared.withColumn("kind", F.explode(F.sequence(kind(THRESHOLD * F.col("n") - 1), kind(F.col("n")))))
+    large = scratch.save(put(large.withColumn("posts", posts(F.greatest(THRESHOLD * F.col("n"), F.exp(F.col("kind") * step)))), "b"), "large")
+    may = (F.col("a_n") <= F.col("b_n")) & (F.col("a_c") != F.col("b_c")) & (F.least("a_left", "b_left") >= part * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    found = [x.join(y, "key").where(may).select(F.col("a_id").alias("hub"), F.col("b_id").alias("id")) for x, y in ((small, large.where("b_u")), (small.where("a_u"), large.where("not b_u")))]
+    return found[0].unionAll(found[1]).select(F.greatest("hub", "id").alias("hub"), F.least("hub", "id").alias("id")).distinct()
+
+
+def _linked(docs: DataFrame, reps: DataFrame, brief: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the ids of all lines that are similar to another one."""
+    banded = _exploded(reps).unionAll(scratch.save(brief_bands(brief), "brief_bands"))
+    stars = scratch.save(banded.groupBy("bucket").agg(F.max("id").alias("hub"), F.min("id").alias("least")).where("least < hub").select("bucket", "hub"), "stars")
+    pairs = scratch.save(banded.join(_sized(stars), "bucket").where("id <> hub").select("hub", "id").distinct(), "pairs")
+    ids = scratch.save(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct().select("id", F.col("id").bitwiseAND(F.lit(_HASH)).alias("k")), "ids")
+    texts = _lines(docs).select(F.col("h").bitwiseAND(F.lit(_HASH)).alias("k"), "line").join(_sized(ids), "k")
+    texts = scratch.save(texts.groupBy("id").agg(F.first("line").alias("line")), "texts")
+    found = scratch.save(judged(pairs, texts), "judged")
+    comps = scratch.save(connected_components(_links(found)), "components")
+    rest = scratch.save(open_lines(found, comps), "open")
+    more = _links(scratch.save(judged(scratch.save(rest_pairs(rest, texts, scratch), "rest"), texts), "judged"))
+    return comps if more.isEmpty() else scratch.save(connected_components(_links(found).unionAll(more)), "components")
 
 
 def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, t, gone): the numbers of the lines that a document loses; documents that lose none are absent."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "lines")
-    seen = _lines(docs).withColumn("b", bands(F.col("line")))
-    first = seen.select("h", *[F.get("b", F.lit(i)).alias(f"b{i}") for i in range(_MOST)])  # columns of their own keep the grouping a hash aggregation
-    reps = scratch.save(first.groupBy("h").agg(F.count("*").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(_MOST)]), "reps")
-    banded = reps.select("h", F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(_MOST)]))).alias("bucket"))
-    sparse = _lines(docs).where(wordless(F.col("line"))).select("h", "line").distinct()
-    banded = scratch.save(banded.unionAll(sparse.select("h", F.explode(all_bands(F.col("line"))).alias("bucket"))), "banded")
-    stars = scratch.save(banded.groupBy("bucket").agg(F.min("h").alias("star"), F.count("*").alias("m")).where("m > 1").select("bucket", "star"), "stars")
-    members = scratch.save(banded.join(_sized(stars), "bucket"), "members")
-    found = _verified(members.where("h <> star").select(F.col("star").alias("a"), F.col("h").alias("b")).distinct(), docs, scratch)
-    comps = scratch.save(connected_components(found), "components")
-
-    # What is left of each bucket: components that share it without a link so far.
-    placed = members.join(_sized(comps.withColumnRenamed("node", "h")), "h", "left").select("bucket", "h", F.coalesce("component", "h").alias("c"))
-    placed = scratch.save(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    rest = scratch.save(placed.join(_sized(scratch.save(open_, "open")), "bucket", "left_semi"), "rest")
-    across = rest.alias("p").join(rest.alias("q"), "bucket").where("p.c < q.c").select(F.col("p.h").alias("a"), F.col("q.h").alias("b")).distinct()
-    tried = members.where("h <> star").select(F.least("star", "h").alias("a"), F.greatest("star", "h").alias("b"))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = _verified(across, docs, scratch)
-    comps = scratch.save(connected_components(found.unionAll(more)), "components")
-
-
-    grouped = reps.select("h", "n").join(_sized(comps.withColumnRenamed("node", "h")), "h", "left").where("n > 1 or component is not null")
-    grouped = scratch.save(grouped.select("h", F.coalesce("component", "h").alias("c")), "grouped")
+    long = _lines(docs).where(F.length("line") > WORDED_CHARS)
+    seen = minima(long.select("h", F.sort_array(grams(F.concat(F.lit(" "), "line"), _AT_WORDS)).alias("s")), ["h"])
+    firsts = [F.first(b).alias(b) for b in _BANDS]  # columns of their own keep the grouping a hash aggregation
+    named = lambda df: df.withColumn("id", line_id(F.col("h"), F.col("n")))
+    reps = named(scratch.save(seen.groupBy("h").agg(F.count("*").alias("n"), *firsts), "reps"))
+    brief = named(scratch.save(_lines(docs).where(wordless(F.col("line"))).groupBy("h", "line").agg(F.count("*").alias("n")), "brief"))
+    comps = _linked(docs, reps, brief, scratch)
+
+    reps = reps.select("h", "id", "n").unionAll(brief.where(F.length("line") <= WORDED_CHARS).select("h", "id", "n"))
+    grouped = reps.join(_sized(comps.withColumnRenamed("node", "id")), "id", "left").where("n > 1 or component is not null")
+    grouped = scratch.save(grouped.select("h", F.coalesce("component", "id").alias("c")), "grouped")
     worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
     if short:  # equal short lines are groups of their own
         brief = _lines(docs, (F.length("line") < MIN_CHARS) & worded).groupBy("h").count().where("count > 1")
