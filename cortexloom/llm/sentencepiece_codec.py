@@ -139,14 +139,12 @@ class Codec:
         return out.decode("utf-8", "each-byte")
 
     def check(self, parts: list[str], ids: list[list[int]]) -> None:
-        """Compare with the library, many parts to a text: a space in front of each keeps them apart."""
-        for at in range(0, len(parts), 256):
-            some = parts[at : at + 256]
-            own = [i for p, got in zip(some, ids[at : at + 256]) for i in (got if p[0] == _SPACE else self.merge(_SPACE + p))]
-            text = "".join([p if p[0] == _SPACE else _SPACE + p for p in some])
-            theirs = self.library.encode(text[1:].replace(_SPACE, " "))
-            if text != _SPACE and own != theirs:
-                raise ValueError(f"the library and the agenda differ on {text!r}")
+        """Compare encoding and decoding with the library, every part as a text of its own (which begins with the space sign)."""
+        texts = [p[1:].replace(_SPACE, " ") if p[0] == _SPACE else p for p in parts]
+        own = [got if p[0] == _SPACE else self.merge(_SPACE + p) for p, got in zip(parts, ids)]
+        for p, t, o, theirs, back in zip(parts, texts, own, self.library.encode(texts, num_threads=1), self.library.decode(own, num_threads=1)):
+            if t and (o != theirs or self.decode(o) != back):
+                raise ValueError(f"the library and the agenda differ on {p!r}")
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The parts of each text, all of them in ``known`` afterwards and checked against the library."""
