@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from cortexloom.functions.sequences import hamming, segment
 from cortexloom.operators.params import ReadParams
+from cortexloom.plans.scratch import Scratch
+
+#: Distinct inexact tags (two short strings each) up to which their samples are broadcast.
+BROADCAST_TAGS = 500_000
 
 
 def pair_mates(r1: DataFrame, r2: DataFrame) -> DataFrame:
@@ -49,18 +53,27 @@ def best_tag(tag: Column, whitelist: list[tuple[str, str]], n_mismatch: int) ->
     return F.when((best["mm"] <= n_mismatch) & (F.length(tag) == length), best["s"])
 
 
+def tag_samples(tags: DataFrame, whitelist: list[tuple[str, str]], n_mismatch: int) -> DataFrame:
+    """(tag, sample) of the distinct tags that come within ``n_mismatch`` of a whitelisted one, worked out once for each."""
+    scratch = Scratch(tags.sparkSession, "tags")
+    distinct = scratch.save(tags.distinct(), "distinct")
+    return scratch.save(distinct.select("tag", best_tag(F.col("tag"), whitelist, n_mismatch).alias("sample")).where("sample is not null"), "samples")
+
+
 def demultiplex(reads: DataFrame, whitelist: list[tuple[str, str]], n_mismatch: int = 2, keep_unmatched: bool = False) -> DataFrame:
-    """``sample`` of every read by its tag. Distances are worked out once per distinct tag, not per read.
+    """``sample`` of every read by its tag.
 
-    Most reads have one of the few exact tags, so the join back is on a skewed key: AQE splits it.
+    Exact tags are looked up in the row. Other tags are few: their samples are worked out once per
+    distinct tag and written, and come back by one join, a broadcast where their number allows it.
+    ``reads`` is read twice, so hand in a written table.
     """
     exact = F.create_map(*[x for s, t in whitelist for x in (F.lit(t), F.lit(s))])
-    direct = reads.withColumn("sample", F.try_element_at(exact, F.col("tag")))
-    sure = direct.where(F.col("sample").isNotNull())
-    rest = direct.where(F.col("sample").isNull()).drop("sample")
-    tags = rest.select("tag").distinct().withColumn("sample", best_tag(F.col("tag"), whitelist, n_mismatch))
-    found = rest.join(tags, "tag")
-    out = sure.unionByName(found)
+    direct = reads.withColumn("_exact", F.try_element_at(exact, F.col("tag")))
+    known = tag_samples(direct.where(F.col("_exact").isNull()).select("tag"), whitelist, n_mismatch)
+    known = F.broadcast(known) if known.count() <= BROADCAST_TAGS else known
+    key = F.when(F.col("_exact").isNull(), F.col("tag"))  # the few exact tags, which most reads have, are no join keys
+    found = direct.withColumn("_key", key).join(known.withColumnRenamed("tag", "_key"), "_key", "left")
+    out = found.withColumn("sample", F.coalesce("_exact", "sample")).drop("_exact", "_key")
     return out.withColumn("sample", F.coalesce("sample", F.lit("unmatched"))) if keep_unmatched else out.where(F.col("sample").isNotNull())
 
 

@@ -2,7 +2,8 @@
 
 Loops cut their lineage here: a table is written as Parquet below ``spark.checkpoint.dir`` and
 read back, so an executor that dies costs one task's work and the plan of the next round stays
-short. Superseded tables are deleted as soon as a later one no longer reads them.
+short. A loop drops the tables that no later round reads; what a returned frame still reads stays
+until the session ends, when the tables of all jobs are deleted.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (local tests), a new folder."""
+    """The session's ``spark.checkpoint.dir``; in local mode, where that may be unset, a new folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,6 +32,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
         self.n = 0
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self.n += 1

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from cortexloom.operators import cluster, molecules, qc, reads
 from cortexloom.operators.params import MoleculeParams, ReadParams
+from cortexloom.plans.scratch import Scratch
 from cortexloom.sources import fixtures
 from cortexloom.sources.fixtures import SAMPLES, duck, whitelist
 
 
 def demultiplexed(raw: DataFrame, tags: list, p: ReadParams = ReadParams()) -> DataFrame:
-    return reads.demultiplex(reads.prepare_reads(raw, p), tags, p.n_mismatch)
+    prepared = Scratch(raw.sparkSession, "reads").save(reads.prepare_reads(raw, p), "prepared")
+    return reads.demultiplex(prepared, tags, p.n_mismatch)
 
 
 def corrected(raw: DataFrame, tags: list, p: ReadParams = ReadParams(), m: MoleculeParams = MoleculeParams()) -> DataFrame:
-    """Demultiplexed reads with corrected neuron and UMI."""
-    return cluster.correct_umis(cluster.correct_neurons(demultiplexed(raw, tags, p)), m.umi_scope)
+    """Demultiplexed reads with corrected neuron and UMI; each step is written, so none is worked out twice."""
+    scratch = Scratch(raw.sparkSession, "reads")
+    sampled = scratch.save(demultiplexed(raw, tags, p), "demultiplexed")
+    fixed = scratch.save(cluster.correct_neurons(sampled), "neurons")
+    return scratch.save(cluster.correct_umis(fixed, m.umi_scope), "corrected")
 
 
 def resolved(fixed: DataFrame, m: MoleculeParams = MoleculeParams()) -> DataFrame:
@@ -49,7 +54,7 @@ def q_demultiplex(spark, d):
 
 
 def q_demultiplex_unmatched(spark, d):
-    r = reads.prepare_reads(fixtures.reads(spark, d))
+    r = Scratch(spark, "reads").save(reads.prepare_reads(fixtures.reads(spark, d)), "prepared")
     some = [(str(s), t) for s, t in whitelist()[:5]]
     return reads.demultiplex(r, some, 0, keep_unmatched=True).groupBy("sample").agg(F.count("*").alias("n"))
 
@@ -60,7 +65,8 @@ def q_correct_neurons(spark, d):
 
 
 def q_correct_umis(spark, d):
-    r = cluster.correct_neurons(_demux(spark, d))
+    scratch = Scratch(spark, "reads")
+    r = scratch.save(cluster.correct_neurons(scratch.save(_demux(spark, d), "demultiplexed")), "neurons")
     return cluster.directional_clusters(cluster.sequence_counts(r, ["sample", "corrected_neuron"], "umi"), ["sample", "corrected_neuron"], 14)
 
 
@@ -70,7 +76,8 @@ def q_correct_umis_by_sample(spark, d):
 
 
 def q_correction_report(spark, d):
-    return cluster.correction_report(cluster.correct_neurons(_demux(spark, d)), "neuron", "corrected_neuron")
+    sampled = Scratch(spark, "reads").save(_demux(spark, d), "demultiplexed")
+    return cluster.correction_report(cluster.correct_neurons(sampled), "neuron", "corrected_neuron")
 
 
 def q_umi_switch_summary(spark, d):

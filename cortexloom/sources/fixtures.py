@@ -9,26 +9,33 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LETTERS = "ACGTACGTACGTACGT"
 SAMPLES = 7
 
-READS_SQL = """
+MOLECULES_SQL = """
 WITH m AS (SELECT l_orderkey ok, l_linenumber ln, l_partkey pk,
   CASE WHEN l_orderkey % 53 = 0 THEN (l_partkey + 1) % 60 ELSE l_partkey % 60 END AS nid,
   translate(md5(concat('u', CAST(l_partkey AS string))), '0123456789abcdef', 'ACGTACGTACGTACGT') uh,
   translate(md5(concat('t', CAST(1 + l_partkey % 7 AS string))), '0123456789abcdef', 'ACGTACGTACGTACGT') th FROM {lineitem}),
 n AS (SELECT *, translate(md5(concat('n', CAST(nid AS string))), '0123456789abcdef', 'ACGTACGTACGTACGT') nh FROM m),
 s AS (SELECT ok, ln, pk, CASE WHEN nid % 20 = 0 THEN concat(substr(nh, 1, 24), 'ATCAGTCA') ELSE concat(substr(nh, 1, 30), 'CT') END neuron0,
-  substr(uh, 1, 14) umi0, substr(th, 1, 16) tag0 FROM n),
-e AS (SELECT ok, ln, tag0,
+  substr(uh, 1, 14) umi0, substr(th, 1, 16) tag0 FROM n)
+SELECT * FROM s
+"""
+
+ERRORS_SQL = """
+WITH e AS (SELECT ok, ln, tag0,
   CASE WHEN ok % 29 = 0 THEN concat(substr(neuron0, 1, CAST(ok % 24 AS int)), translate(substr(neuron0, CAST(ok % 24 AS int) + 1, 1), 'ACGT', 'CGTA'), substr(neuron0, CAST(ok % 24 AS int) + 2)) ELSE neuron0 END neuron1,
-  CASE WHEN ok % 31 = 0 THEN concat(substr(umi0, 1, CAST(ok % 14 AS int)), translate(substr(umi0, CAST(ok % 14 AS int) + 1, 1), 'ACGT', 'CGTA'), substr(umi0, CAST(ok % 14 AS int) + 2)) ELSE umi0 END umi1 FROM s)
+  CASE WHEN ok % 31 = 0 THEN concat(substr(umi0, 1, CAST(ok % 14 AS int)), translate(substr(umi0, CAST(ok % 14 AS int) + 1, 1), 'ACGT', 'CGTA'), substr(umi0, CAST(ok % 14 AS int) + 2)) ELSE umi0 END umi1 FROM {molecules})
 SELECT ok * 10 + ln AS read_no,
   concat(CASE WHEN ok % 97 = 0 THEN concat('N', substr(neuron1, 2)) ELSE neuron1 END, 'AAAAA', CASE WHEN ok % 37 = 0 THEN 'GCGGA' ELSE 'GCGGC' END, 'TTTT') AS r1,
   concat(umi1, CASE WHEN ok % 41 = 0 THEN concat(translate(substr(tag0, 1, 1), 'ACGT', 'CGTA'), substr(tag0, 2)) ELSE tag0 END, 'GG') AS r2 FROM e
 """
 
+READS_SQL = ERRORS_SQL.replace("{molecules}", f"({MOLECULES_SQL}) s")
+
 MATRIX_SQL = """
 SELECT l_partkey AS barcode, 1 + CAST((CASE WHEN l_orderkey % 3 > 0 THEN l_partkey ELSE l_suppkey END) % 12 AS int) AS sample,
   sum(l_quantity) AS value FROM {lineitem} GROUP BY 1, 2
@@ -66,7 +73,12 @@ def _derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFra
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read pairs with errors, switches, spikes and N: one a ``lineitem`` row."""
-    return _derive(spark, sf_dir, READS_SQL, "lineitem")
+    lines, cores = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey"), spark.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < cores:  # a table of fewer splits than cores
+        lines = lines.repartition(cores)
+    molecules = spark.sql(MOLECULES_SQL, lineitem=lines)
+    once = molecules.select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")  # else its hashes are worked out again for every use
+    return spark.sql(ERRORS_SQL, molecules=once)
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
