@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,16 +31,28 @@ FAMILIES = {
     "uralic": "et fi hu",
     "turkic": "az kk ky tr uz",
     "semitic": "am ar he mt",
-    "sinitic": "zh",
+    "sinitic": "zh yue",
+    "hellenic": "el",
+    "celtic": "br cy ga gd",
+    "baltic": "lt lv",
+    "iranian": "fa ku ps tg",
+    "dravidian": "kn ml ta te",
+    "japonic": "ja",
+    "koreanic": "ko",
+    "tai": "lo th",
+    "austroasiatic": "km vi",
+    "austronesian": "id jv mg ms tl",
+    "bantu": "sw xh zu",
 }
 LOW, HIGH, BUCKETS = 1, 3, 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
+BROADCAST_LANGS = 100_000
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family(lang: str) -> str:
-    """The family of a code; a code that is not listed is a family of its own."""
+    """The family of a code; codes that are not listed form one family."""
     base = re.split("[-_]", lang.lower())[0]
-    return next((f for f, codes in FAMILIES.items() if base in codes.split()), f"only {lang}")
+    return next((f for f, codes in FAMILIES.items() if base in codes.split()), "other")
 
 
 def _word_ids(word: bytes) -> list[int]:
@@ -102,25 +115,28 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> dict:
     }
 
 
-def fit(docs: DataFrame, keep: Column | None = None, per_lang: int = 600, sample_rows: int = 4000, max_langs: int = 100) -> dict:
+def fit(docs: DataFrame, keep: Column | None = None, per_lang: int = 600, sample_rows: int = 4000) -> dict:
     """A model learned from rows with text, id and language for which ``keep`` holds; the sample is bounded as documented above.
 
-    With more than ``max_langs`` languages the rarest are not learned.
+    Every language is learned: with more than ``sample_rows`` languages, from one row each. Rows equal
+    in id and language count once, with the text of the smallest hash.
     """
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep)).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    common = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    common = some.groupBy("lang").count()
     n = common.count()
+    common = F.broadcast(common) if n <= BROADCAST_LANGS else common
     each = max(1, min(per_lang, sample_rows // max(1, n)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
     near = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < 2_000_000 * each / F.col("count")  # about twice the rows to rank, in every language
-    chosen = some.join(F.broadcast(common), "lang").where(near).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
-    chosen = chosen.select("doc_id", "lang").distinct()  # at most sample_rows rows
+    chosen = some.join(common, "lang").where(near).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
+    chosen = chosen.select("doc_id", "lang").distinct()  # at most sample_rows rows, or one for each language
 
     def run(batches):
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps(features(t), 5) for t in raw(b.column(1))], pa.binary()), b.column(2)], ["doc_id", "f", "lang"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("doc_id", "text", "lang").mapInArrow(run, "doc_id bigint, f binary, lang string").toArrow()
     data = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "f", "lang"))))  # a fixed order
     return train([(*pickle.loads(f), y) for _, f, y in data])
@@ -153,7 +169,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     learned. The score is the logistic of the winner's weakest margin (1 if only one language
     was learned). Repeated rows and null ids come back as they are. Only doc_id and text are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each pair of at most max_langs languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each pair of families and of languages of a family
 
     def run(batches):
         m = shared.value

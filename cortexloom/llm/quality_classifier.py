@@ -1,19 +1,20 @@
 """Quality classifier on supervised subword embeddings.
 
-Every hash bucket of words, of character n-grams and of short word patterns has a learned
+Every hash bucket of words, of their character n-grams and of word pairs (bigrams) has a learned
 vector. A document is the average of its features' vectors; a softmax layer gives the classes'
 probabilities. Vectors and layer are trained together by stochastic gradient descent in numpy
 on a bounded sample of labelled rows (``sample_rows``); scoring runs over all rows in Arrow
 batches, whole texts always.
 
-Word patterns are word n-grams in which a word that repeats is written as a back-reference
-("same as the word k back", k up to 4, or "not among the last 4"), so that stuttering text has
-features of its own whatever the words are.
+Defined cases of fitting: an id that occurs in several rows counts once, with the text of the
+smallest hash; null ids, null labels and texts without words are not learned from; of several
+labels of an id the largest holds.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +24,26 @@ from pyspark.sql import functions as F
 from cortexloom.llm._linear import WordTable, blocks, grams, mean_rows
 from cortexloom.llm._text import held_out, pieces, raw, table, to_learn
 
-LOW, HIGH, BUCKETS, BACK = 3, 4, 1 << 17, 4
+LOW, HIGH, BUCKETS = 3, 4, 1 << 17  # as many buckets for word pairs again
 
 
 def _word_ids(word: bytes) -> list[int]:
     return grams(word, LOW, HIGH, BUCKETS)
 
 
-def _patterns(at: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """How often a word equals the one 1..BACK back, and how often none of them (last entry)."""
-    seq = np.concatenate([before, at])
-    left = np.ones(len(at), bool)
-    out = np.zeros(BACK + 1)
-    for k in range(1, BACK + 1):
-        lo = max(0, k - len(before))
-        if lo >= len(at):
-            break
-        same = np.zeros(len(at), bool)
-        same[lo:] = seq[len(before) + lo :] == seq[len(before) + lo - k : len(seq) - k]
-        same &= left
-        out[k - 1] = same.sum()
-        left &= ~same
-    out[BACK] = left.sum()
-    return out
+def _hash(word: bytes) -> int:
+    return zlib.crc32(word, 2) & 0xFFFFFF  # exact in float32
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Buckets of neighbouring words, from their hashes."""
+    h = h.astype(np.uint64)
+    mixed = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+    return BUCKETS + (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, weight) of a whole text; the weights sum to 1, none for a text without words."""
+    """(bucket, weight) of a whole text; the weights of words and of pairs sum to a half each, none for a text without words."""
     words = text.split() if text else []
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -61,8 +55,9 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         g = _word_ids(w)
         ids += g
         wts += [c / len(g)] * len(g)
-    ids = np.concatenate([ids, BUCKETS + np.arange(BACK + 1)]).astype(np.int64)
-    wts = np.concatenate([wts, _patterns(at, np.zeros(0, np.int64))]) / (2 * len(words))
+    pairs = _pairs(np.fromiter(map(_hash, place), np.int64, len(place))[at])
+    wts = np.concatenate([np.array(wts) / len(words), np.full(len(pairs), 1 / max(1, len(pairs)))]) / 2
+    ids = np.concatenate([ids, pairs]).astype(np.int64)
     used, inv = np.unique(ids, return_inverse=True)
     return used.astype(np.int32), np.bincount(inv, wts).astype(np.float32)
 
@@ -70,7 +65,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int = 2, dim: int = 16, epochs: int = 12, rate: float = 4.0, seed: int = 1) -> dict[str, np.ndarray]:
     """Vectors ``E``, layer ``W`` and ``b`` by stochastic gradient descent, one document a step, falling rate."""
     rng = np.random.default_rng(seed)
-    E = rng.uniform(-1 / dim, 1 / dim, (BUCKETS + BACK + 1, dim)).astype(np.float32)
+    E = rng.uniform(-1 / dim, 1 / dim, (2 * BUCKETS, dim)).astype(np.float32)
     W, b = np.zeros((dim, classes), np.float32), np.zeros(classes, np.float32)
     rows = [r for r in rows if len(r[0])]
     step, steps = 0, max(1, epochs * len(rows))
@@ -115,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], ["doc_id", "f", "label"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))  # one row for each
     got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, f binary, label int").toArrow()
     data = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "f", "label"))))  # a fixed order
     return train([(*pickle.loads(f), min(max(y, 0), classes - 1)) for _, f, y in data], classes)
@@ -132,16 +128,21 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], positive: int = 1) -> D
     def run(batches):
         m = shared.value
         scores = (m["E"] @ m["W"]).astype(np.float32)  # each bucket's share of the classes' logits
-        words = WordTable(lambda ws: mean_rows(ws, _word_ids, scores), scores.shape[1])
+        k = scores.shape[1]
+        rows_of = lambda ws: np.column_stack([mean_rows(ws, _word_ids, scores), np.fromiter(map(_hash, ws), np.float32, len(ws))])
+        words = WordTable(rows_of, k + 1)
         for b in pieces(batches):
             out = np.zeros(b.num_rows)
             for i, t in enumerate(raw(b.column(1))):
-                z, n, before = np.zeros(scores.shape[1]), 0, np.zeros(0, np.int64)
+                z, zp, n, last = np.zeros(k), np.zeros(k), 0, np.zeros(0, np.float32)
                 for part in blocks(t.split() if t else []):
-                    at = words.rows_for(part)
-                    z += words.rows[at].sum(axis=0, dtype=np.float64) + _patterns(at, before) @ scores[BUCKETS:]
-                    n, before = n + len(part), at[-BACK:]
-                z = z / max(1, 2 * n) + m["b"]
+                    at = words.rows_for(part)  # may move the rows
+                    got = words.rows[at]
+                    h = np.concatenate([last, got[:, k]])
+                    z += got[:, :k].sum(axis=0, dtype=np.float64)
+                    zp += scores[_pairs(h)].sum(axis=0, dtype=np.float64)
+                    n, last = n + len(part), h[-1:]
+                z = z / max(1, 2 * n) + zp / max(1, 2 * (n - 1)) + m["b"]
                 p = np.exp(z - z.max())
                 out[i] = p[positive] / p.sum()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])

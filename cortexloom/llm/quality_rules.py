@@ -4,7 +4,8 @@ All of it is SQL functions on one scan: no shuffle, no Python. Per line:
 
 * navigation: separators between entries (``|``, ``>``, bullets) that make up many of its tokens;
 * punctuation: many tokens that carry symbols or exclamation marks, or a line mostly of symbols;
-* boilerplate: one of a few fixed phrases of page furniture in a short line, or markup;
+* boilerplate: a short line most of whose words are fixed phrases of page furniture (as whole
+  words: "the dialog in the second act" is none) or markup, or a short line that ends in a separator;
 * shouting and stutter: many words, nearly all upper case, or one word repeated through the line.
 
 A line without a word is kept. The document then fails if its base counts fail (too few words,
@@ -23,19 +24,23 @@ from pyspark.sql import functions as F
 
 from cortexloom.llm._text import SPACES, table
 
-# Phrases of page furniture (lower case) that mark a short line as boilerplate.
-BOILERPLATE = (
+# Phrases of page furniture (lower case); they count as whole words only.
+PHRASES = (
     "all rights reserved|terms of use|terms of service|privacy policy|cookie policy|use cookies|accept cookies|"
     "enable javascript|lorem ipsum|click here|read more|sign in|log in|sign up|subscribe now|"
-    "skip to content|back to top|share this|powered by|page not found|"
-    r"</?[a-z][^>]{0,200}>|[{};][\x20\x09-\x0D]*\z"
+    "skip to content|back to top|share this|powered by|page not found"
 )
+#: A phrase with its edges, or a tag; what a line of prose has beside them is text.
+BOILERPLATE = rf"(?:\A|[^\p{{L}}\p{{N}}])(?:{PHRASES})(?:\z|[^\p{{L}}\p{{N}}])|</?[a-z][^>]{{0,200}}>"
+#: How lines of text do not end.
+LINE_END = r"[|>•·][\x20\x09-\x0D]*\z"
 NAVIGATION, SYMBOLS = r"\A[|>»•·]+\z", r"[#*$%&|<>]|!!"
 #: Shares of a line's tokens above which it fails, and the least number of tokens for the shares to count.
 NAV_SHARE, SYMBOL_SHARE, UPPER_SHARE, REPEAT_SHARE, MIN_TOKENS = 0.25, 0.4, 0.9, 0.6, 3
 #: Least share of word characters that must be left, and the largest share of repeated lines.
 MIN_KEPT, MAX_DUP_LINES = 0.5, 0.5
-BOILER_WORDS = 20
+#: Words of a line up to which it can be boilerplate, and the share of them in phrases and tags above which it is.
+BOILER_WORDS, BOILER_SHARE = 20, 0.5
 
 
 def _words(text: Column) -> Column:
@@ -57,8 +62,10 @@ def line_fails(line: Column, w: Column) -> Column:
     shares = (n >= MIN_TOKENS) & line.rlike(r"[#*$%&|<>»•·]|!!") & ((nav > NAV_SHARE * n) | (sym > SYMBOL_SHARE * n))
     shout = (n >= 10) & line.rlike(r"\p{Lu}\p{Lu}") & (_letters(line, r"\p{Lu}") > UPPER_SHARE * _letters(line, r"\p{L}"))
     stutter = (n >= 10) & (F.size(F.array_distinct(w)) < (1 - REPEAT_SHARE) * n)
-    boiler = (n > 0) & (n <= BOILER_WORDS) & F.lower(line).rlike(BOILERPLATE)
-    return shares | shout | stutter | boiler
+    low = F.lower(line)
+    beside = F.size(_words(F.regexp_replace(low, BOILERPLATE, " ")))
+    boiler = low.rlike(BOILERPLATE) & (n - beside > BOILER_SHARE * n) | line.rlike(LINE_END)
+    return shares | shout | stutter | ((n > 0) & (n <= BOILER_WORDS) & boiler)
 
 
 def repeat_words(words: Column, window: int = 8) -> Column:
@@ -159,7 +166,8 @@ judged AS (
                                   OR len(list_filter(ws, lambda x: regexp_matches(x, '{SYMBOLS}'))) > {SYMBOL_SHARE} * len(ws)))
     OR (len(ws) >= 10 AND length(s) - length(regexp_replace(s, '\p{{Lu}}', '', 'g')) > {UPPER_SHARE} * (length(s) - length(regexp_replace(s, '\p{{L}}', '', 'g'))))
     OR (len(ws) >= 10 AND len(list_distinct(ws)) < {1 - REPEAT_SHARE} * len(ws))
-    OR (len(ws) BETWEEN 1 AND {BOILER_WORDS} AND regexp_matches(lower(s), '{BOILERPLATE}')) AS fails
+    OR (len(ws) BETWEEN 1 AND {BOILER_WORDS} AND (regexp_matches(s, '{LINE_END}') OR regexp_matches(lower(s), '{BOILERPLATE}')
+        AND len(ws) - len(list_filter(string_split_regex(regexp_replace(lower(s), '{BOILERPLATE}', ' ', 'g'), '{SPACES}'), lambda x: x <> '')) > {BOILER_SHARE} * len(ws))) AS fails
   FROM lw
 ),
 byline AS (

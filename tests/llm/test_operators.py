@@ -172,15 +172,40 @@ def test_quality_learns_and_scores_every_row(spark, docs, clash, empty):
     assert {r["score"] for r in quality_classifier.score(docs, none).collect()} != set()
 
 
-def test_quality_score_is_the_models_probability():
-    rng = np.random.default_rng(0)
-    text = prose(2, 50).encode()
+def test_quality_score_is_the_models_probability(spark):
     rows = [(*quality_classifier.features(prose(i, 30).encode()), int(i % 2)) for i in range(10)]
-    m = quality_classifier.train(rows, epochs=1)
-    ids, w = quality_classifier.features(text)
-    z = (w @ m["E"][ids]) @ m["W"] + m["b"]
-    p = np.exp(z - z.max())
-    assert abs(w.sum() - 1) < 1e-5 and 0 < p[1] / p.sum() < 1 and rng is not None
+    m = quality_classifier.train(rows, epochs=2)
+    texts = {1: prose(2, 50), 2: "one", 3: "", 4: None, 5: "the the the end", 6: "日本 語 " * 40}
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), m).collect()}
+    for i, t in texts.items():
+        words, h = (t or "").encode().split(), np.zeros(m["E"].shape[1])
+        grams = lambda w: [zlib.crc32(w, 1) % quality_classifier.BUCKETS] + [zlib.crc32(x[k : k + n].encode(), n) % quality_classifier.BUCKETS for x in ["<" + w.decode() + ">"] for n in (3, 4) for k in range(len(x) - n + 1)]
+        for w in words:
+            h += np.mean([m["E"][g] for g in grams(w)], axis=0) / len(words) / 2
+        hashes = [zlib.crc32(w, 2) % (1 << 24) for w in words]
+        for x, y in zip(hashes, hashes[1:]):
+            mixed = ((x * 0x9E3779B1 + y) % (1 << 64) * 0xBF58476D1CE4E5B9) % (1 << 64) >> 40
+            h += m["E"][quality_classifier.BUCKETS + mixed % quality_classifier.BUCKETS] / (len(words) - 1) / 2
+        z = h @ m["W"] + m["b"]
+        assert abs(got[i] - np.exp(z[1]) / np.exp(z).sum()) < 1e-4
+
+
+def test_fitting_takes_one_row_of_a_repeated_id(spark):
+    rows = [(1, "good words here", "en")] + [(2, f"bad {i}", "de") for i in range(50)] + [(None, "none", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id bigint, quality int")
+    seen = []
+    try:
+        old, quality_classifier.train = quality_classifier.train, lambda r, c: seen.append(len(r))
+        quality_classifier.fit(docs, labels)
+    finally:
+        quality_classifier.train = old
+    try:
+        old, language_id.train = language_id.train, lambda r: seen.append(len(r))
+        language_id.fit(docs)
+    finally:
+        language_id.train = old
+    assert seen == [2, 2]
 
 
 def test_quality_held_out_accuracy(spark):
@@ -203,6 +228,27 @@ def test_language_hierarchy(spark, docs, clash, empty):
         of = {r["doc_id"]: r["lang_pred"] for r in got}
         assert of[4] == of[5] == of[6] == "und" and of[8] != "und"
     assert language_id.predict(spark.createDataFrame([(1, "123 456 !")], "doc_id bigint, text string"), model).first()["lang_pred"] == "und"
+    odd = spark.createDataFrame(list(enumerate(["½ ² ① Ⅷ ½", "_ ٣", "é"])), "doc_id bigint, text string")
+    assert [r["lang_pred"] == "und" for r in language_id.predict(odd, model).orderBy("doc_id").collect()] == [True, True, False]
+    # against a plain reading of the machines: vote, then the sum of margins
+    for lang, t in texts.items():
+        ids, x = language_id.features(t.encode())
+        kind = "family"
+        for _ in range(2):
+            members = dict(model["groups"])[kind]
+            votes = {m: [0, 0.0] for m in members}
+            for j, (k, one, two) in enumerate(model["pairs"]):
+                if k == kind:
+                    z = float(x @ model["W"][ids, j])
+                    votes[one if z >= 0 else two][0] += 1
+                    votes[one][1] += z
+                    votes[two][1] -= z
+            kind = max(members, key=lambda m: (*votes[m], m))
+            if kind not in dict(model["groups"]):
+                break
+        assert kind == lang
+    many = language_id.fit(spark.createDataFrame([(i, f"w{i} text", f"q{i}") for i in range(130)], "doc_id bigint, text string, lang string"), sample_rows=40)
+    assert len(many["langs"]) == 130 and dict(many["groups"])["family"] == ["other"]
     assert language_id.predict(empty, model).count() == 0
     nothing = language_id.fit(empty)
     assert {r["lang_pred"] for r in language_id.predict(docs, nothing).collect()} == {"und"}
@@ -328,6 +374,42 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(map(len, got.values())) <= 1.02 * sum(map(len, want.values()))
 
 
+def test_line_dedup_link_recall(spark):
+    """Of planted pairs of long and short lines at Jaccard 0.8 to 1, at least nine in ten are found; of pairs below, none."""
+    rng, rows, want = np.random.default_rng(11), [], {}
+    grams = lambda x: {x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)}
+    for i in range(400):
+        one = ["".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(int(rng.integers(8, 90)))]
+        two = list(one)
+        for _ in range(int(rng.integers(1, 2 + len(one) // 14))):
+            two[int(rng.integers(0, len(two)))] = "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
+        a, b = " ".join(one), " ".join(two)
+        x, y = grams(a), grams(b)
+        if min(len(a), len(b)) >= line_dedup.MIN_CHARS:
+            rows += [(2 * i, a), (2 * i + 1, b)]
+            want[i] = len(x & y) >= line_dedup.THRESHOLD * len(x | y)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = {i: got[2 * i + 1] == "" for i in want}
+    assert sum(want.values()) > 100 and not any(found[i] for i in want if not want[i])
+    recall = sum(found[i] for i in want if want[i]) / sum(want.values())
+    print("link recall", recall, "of", sum(want.values()))
+    assert recall >= 0.97
+
+
+def test_line_dedup_meets_the_rest_of_a_group(spark):
+    """Many lines made from one, each changed in its own places: all links of the group, however the star fell."""
+    rng, base = np.random.default_rng(13), prose(77, 70).split()
+    lines = set()
+    for _ in range(150):
+        words = list(base)
+        for _ in range(int(rng.integers(1, 6))):
+            words[int(rng.integers(0, len(words)))] = "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+        lines.add(" ".join(words))
+    rows = list(enumerate(sorted(lines)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_line_dedup_cases(docs, clash, empty):
     for df in (docs, clash):
         out = line_dedup.dedup_lines(df, counts="n_lines" not in df.columns)
@@ -461,6 +543,28 @@ def near_lines(kind, n, seed):
     return out
 
 
+def test_quality_rules_leave_prose_alone(spark):
+    clean = ["The dialog in the second act", "The catalog in the library", "A modern design in oak.", "We read more books;", "A blog in Spanish", "Use List<String> for the names of all parts"]
+    bad = ["Sign in", "click here", "Home | About | Contact |", "Log in | Sign up", "<div class='x'>", "All rights reserved 2020"]
+    text = "\n".join([prose(3, 40), *clean, *bad])
+    (out,) = quality_rules.clean(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert out["text"].split("\n")[1:] == clean
+
+
+def test_sentencepiece_on_batches_that_end_in_spaces(spark):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_bytes())
+    rng = np.random.default_rng(3)
+    bits = ["one", "two ", "three", " ", "  ", " \n", "\n", "\t", "é", "日本", "🙂", "12", "▁", "A.", ""]
+    for i in range(1500):
+        texts = ["".join(bits[k] for k in rng.integers(0, len(bits), int(rng.integers(0, 9)))) for _ in range(3)] + ["one  \n two", "three "]
+        if i % 20 == 0:
+            codec.known.clear()
+        for t, parts in zip(texts, codec.learn(texts)):
+            ids = [k for p in parts for k in np.frombuffer(codec.known[p][3], np.int32).tolist()]
+            assert ids == codec.library.encode(t) and codec.decode(ids) == codec.library.decode(ids)
+            assert b"".join(codec.known[p][2] for p in parts)[1:].decode() == codec.library.decode(ids)
+
+
 @pytest.mark.parametrize("kind", ["cjk", "numbered", "word"])
 def test_line_dedup_finds_short_near_lines(spark, kind):
     pairs = near_lines(kind, 150, 3)
