@@ -21,6 +21,7 @@ class; their sizes do not depend on the input.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 
@@ -46,6 +47,40 @@ def tail_class(token: bytes) -> int:
     return 1 + HEAD_CLASSES + zlib.crc32(token[-2:]) % TAIL_CLASSES
 
 
+@functools.cache
+def _tails() -> np.ndarray:
+    """Tail classes: of no byte, of one byte b at 1 + b, of bytes a, b at 257 + 256 * a + b."""
+    ends = [b""] + [bytes([b]) for b in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    return np.array([tail_class(e) for e in ends], np.int64)
+
+
+def _layout(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, lengths) of an array of tokens."""
+    offsets = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    data = np.frombuffer(tokens.buffers()[2], np.uint8) if tokens.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], (offsets[:-1] - offsets[0]).astype(np.int64), np.diff(offsets).astype(np.int64)
+
+
+def token_hashes(tokens: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every token, a polynomial in its bytes."""
+    data, starts, lens = _layout(tokens)
+    out = np.zeros(len(lens), np.uint64)
+    some = np.flatnonzero(lens)
+    if len(some):
+        powers = np.cumprod(np.full(int(lens.max()), 0x9E3779B97F4A7C15, np.uint64))
+        at = np.arange(len(data)) - np.repeat(starts[some], lens[some])
+        out[some] = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[at], starts[some])
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def tail_classes(tokens: pa.Array) -> np.ndarray:
+    data, starts, lens = _layout(tokens)
+    padded, end = np.append(data, 0).astype(np.int64), starts + lens
+    last, before = padded[np.maximum(end - 1, 0)], padded[np.maximum(end - 2, 0)]
+    return _tails()[np.where(lens == 0, 0, np.where(lens == 1, 1 + last, 257 + 256 * before + last))]
+
+
 def _pack(batches):
     """Documents (doc_id, learn, text) to blocks of about BLOCK_TOKENS tokens; a longer text is a block of its own."""
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("ids", pa.binary()), ("vocab", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
@@ -81,7 +116,7 @@ def _deal(buckets: int):
         for b in batches:
             for i in range(b.num_rows):
                 vocab, n = b.column(1)[i].values, b.column(2)[i].values
-                bucket = np.fromiter((zlib.crc32(t) % buckets for t in vocab.to_pylist()), np.int64, len(vocab))
+                bucket = (token_hashes(vocab) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 found, starts = np.unique(bucket[order], return_index=True)
                 offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
@@ -99,20 +134,22 @@ def _count(rows: pa.Table) -> pa.Table:
     rows = rows.combine_chunks()
     at, tokens, n = (rows[c].chunk(0) if rows.num_rows else None for c in ("at", "tokens", "n"))
     coded = tokens.flatten().dictionary_encode()
-    codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    codes, names = coded.indices.to_numpy(), coded.dictionary
     c = np.bincount(codes, n.flatten().to_numpy(), len(names)).astype(np.int64)
     known = np.flatnonzero(c)
-    cls = np.fromiter((tail_class(names[i]) for i in known), np.int64, len(known))
+    cls = tail_classes(names)[known]
     sums = np.concatenate([np.bincount(cls, c[known], CLASSES), np.bincount(cls, minlength=CLASSES)]).astype(np.int64)  # tokens and distinct tokens by class
-    best = sorted(known.tolist(), key=lambda i: (-c[i], names[i]))[:HEAD]
+    least = np.partition(c[known], -HEAD)[-HEAD] if len(known) > HEAD else 0
+    top = [(names[int(i)].as_py(), int(c[i])) for i in known[c[known] >= least]]
+    best = sorted(top, key=lambda x: (-x[1], x[0]))[:HEAD]
     offsets = np.concatenate([tokens.offsets.to_numpy() - tokens.offsets.to_numpy()[0], [len(codes)]]).astype(np.int32)
     none = lambda kind, last: pa.array([None] * rows.num_rows + [last], pa.list_(kind))
     return pa.table({
         "block": pa.concat_arrays([rows["block"].chunk(0), pa.array([-1], pa.int64())]),
         "at": pa.ListArray.from_arrays(pa.array(offsets), at.flatten()),
         "c": pa.ListArray.from_arrays(pa.array(offsets), pa.array(c[codes])),
-        "tokens": none(pa.binary(), [names[i] for i in best]),
-        "counts": none(pa.int64(), [int(c[i]) for i in best]),
+        "tokens": none(pa.binary(), [t for t, _ in best]),
+        "counts": none(pa.int64(), [k for _, k in best]),
         "sums": none(pa.int64(), sums.tolist()),
     })
 
@@ -140,12 +177,15 @@ class Classes:
         used = self.kinds > 0
         self.prior = np.where(used, np.log((self.mass + ADD) / (self.mass + ADD).sum()), -60.0)
         self.below = np.where(used, self.mass + ADD * self.kinds, 1.0)
+        self.own = np.sort(token_hashes(pa.array(list(self.of), pa.binary())))
 
-    def local(self, vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def local(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(class, hash) of a block's tokens."""
-        of = self.of
-        cls = np.fromiter((of[t] if t in of else tail_class(t) for t in vocab), np.int64, len(vocab))
-        return cls, np.fromiter(map(zlib.crc32, vocab), np.uint64, len(vocab))
+        cls, h = tail_classes(vocab), token_hashes(vocab)
+        at = np.searchsorted(self.own, h)
+        for i in np.flatnonzero(self.own[np.minimum(at, len(self.own) - 1)] == h).tolist():  # at most about HEAD
+            cls[i] = self.of.get(vocab[i].as_py(), cls[i])
+        return cls, h
 
 
 def history(ids: np.ndarray, lens: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -176,14 +216,14 @@ def steps(W: np.ndarray, power: np.ndarray, f: np.ndarray, y: np.ndarray, rate:
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(len(t)), t] -= 1
-        for k in range(3):
-            order = np.argsort(g[:, k], kind="stable")
-            rows = g[order, k]
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            grad = np.add.reduceat(z[order], first, axis=0)
-            at_ = rows[first]
-            power[at_] += np.square(grad).mean(axis=1)
-            W[at_] -= rate * grad / np.sqrt(power[at_] + 1.0)[:, None]
+        rows = g.T.ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        grad = np.add.reduceat(z[order % len(t)], first, axis=0)
+        at_ = rows[first]
+        power[at_] += np.square(grad).mean(axis=1)
+        W[at_] -= rate * grad / np.sqrt(power[at_] + 1.0)[:, None]
 
 
 def _unpacked(ids: bytes, lens: np.ndarray) -> np.ndarray:
@@ -200,7 +240,7 @@ def _train_task(shared):
                 learn = np.array(b.column(0)[i].as_py(), bool)
                 lens = np.array(b.column(1)[i].as_py(), np.int64)
                 ids = _unpacked(b.column(2)[i].as_py(), lens)
-                cls, h = classes.local(b.column(3)[i].as_py())
+                cls, h = classes.local(b.column(3)[i].values)
                 keep = np.repeat(learn, lens)
                 if keep.any():
                     f, y = history(ids, lens, h)[keep], cls[ids[keep]]
@@ -246,7 +286,7 @@ def _score(shared):
         if not block.num_rows:
             return out.empty_table()
         lens = np.array(block["lens"][0].as_py(), np.int64)
-        ids, vocab = _unpacked(block["ids"][0].as_py(), lens), block["vocab"][0].as_py()
+        ids, vocab = _unpacked(block["ids"][0].as_py(), lens), block["vocab"][0].values
         c = np.zeros(len(vocab), np.int64)
         for at, n in zip(counts["at"], counts["c"]):
             c[at.values.to_numpy()] = n.values.to_numpy()

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -445,7 +446,7 @@ def test_lm_probabilities_sum_to_one():
         tokens[maxent_lm.tail_class(t)] += c
         distinct[maxent_lm.tail_class(t)] += 1
     classes = maxent_lm.Classes([(t, counts[t]) for t in (b"", b"the", b"on")], tokens, distinct)
-    cls, _ = classes.local(vocab)
+    cls, _ = classes.local(pa.array(vocab, pa.binary()))
     inside = collections.defaultdict(float)
     for t, c in zip(vocab, cls):
         inside[c] += (counts[t] + maxent_lm.ADD) / classes.below[c]
