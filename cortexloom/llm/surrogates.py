@@ -1,8 +1,13 @@
 """PII surrogates: detected entities receive keyed, type-consistent replacements.
 
-Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers (Luhn),
+Detected: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment card numbers (Luhn),
 IBANs (mod 97), US social security numbers, values of token/secret/password assignments, and
-names after an honorific. Numbers that fail their checksum are not entities and stay.
+names after an honorific, with their later mentions in the document that have none ("Mr. John
+Smith ... John Smith ... Smith"). Numbers that fail their checksum are not entities and stay.
+
+Names are replaced word by word: a family name has one surrogate, a given name one for each gender
+(that of its honorifics in the document; after neutral ones only, a neutral choice). So a full name
+and a bare family name stay one person, in all documents, and people of one family stay one.
 
 A surrogate depends only on the key, the type and the entity's canonical form, so all mentions
 of an entity get the same one in every document (coreference). It keeps the mention's format
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -39,10 +45,31 @@ GIVEN = {
     ("latin", "f"): "Alma Berta Clara Dora Elena Flora Greta Helen Irene Julia Karla Lena Marta Nora Olga Paula Rosa Sofia Tilda Vera",
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён Тимур",
     ("cyrillic", "f"): "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Кира Лидия Мария Нина Ольга Полина Рита Софья",
+    ("greek", "m"): "Άρης Γιώργος Δημήτρης Ηλίας Κώστας Νίκος Πέτρος Σταύρος",
+    ("greek", "f"): "Άννα Βασιλική Δήμητρα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία",
+    ("han", "m"): "伟 强 军 磊 勇 涛 明 杰",
+    ("han", "f"): "芳 娜 敏 静 丽 霞 娟 婷",
+    ("arabic", "m"): "أحمد حسن خالد سامي عمر كريم محمود يوسف",
+    ("arabic", "f"): "أمل خديجة زينب سلمى فاطمة ليلى مريم نور",
+    ("devanagari", "m"): "अजय अनिल दीपक मोहन राज रवि सुनील विजय",
+    ("devanagari", "f"): "अनिता गीता ज्योति मीना रेखा सीता सुनीता उषा",
+    ("hangul", "m"): "민준 서준 지훈 현우 도윤 준서 건우 우진",
+    ("hangul", "f"): "서연 지우 서윤 하은 민서 수빈 지아 예은",
+}
+SYLLABLES = {
+    "latin": "ba bel cor dan der fal gor han kel lin mar nor per ras sel tor val wen",
+    "cyrillic": "бар вол гор дан зел кор лаз мир нов пет рос сав тур хол",
+    "greek": "βα γκο δα κα λο μα νι πα ρο σα τα φω",
+    "han": "林 文 高 江 安 宁 方 石 田 白 金 叶 云 雷 康 平",
+    "arabic": "با دا را سا كا لا ما نا وا حا",
+    "devanagari": "बा दा गा का ला मा ना पा रा सा ता वा",
+    "hangul": "강 남 도 류 문 배 서 오 정 차 하 윤",
 }
-SYLLABLES = {"latin": "ba bel cor dan der fal gor han kel lin mar nor per ras sel tor val wen", "cyrillic": "бар вол гор дан зел кор лаз мир нов пет рос сав тур хол"}
+#: The script of a name by a letter of it.
+SCRIPTS = [(re.compile(r"[Ѐ-ӿ]"), "cyrillic"), (re.compile(r"[Ͱ-Ͽἀ-῿]"), "greek"), (re.compile(r"[㐀-鿿]"), "han"), (re.compile(r"[؀-ۿ]"), "arabic"), (re.compile(r"[ऀ-ॿ]"), "devanagari"), (re.compile(r"[가-힣]"), "hangul")]
 _HON = {h: g for g, hs in HONORIFICS.items() for h in hs.split()}
 _NAME = r"[^\W\d_a-z][^\W\d_]{1,30}"
+_WORD = re.compile(r"[^ \xa0-]+")
 _PERSON = re.compile(rf"\b({'|'.join(sorted(_HON, key=len, reverse=True))})\b\.?[  ]({_NAME}(?:[  -]{_NAME}){{0,2}})")
 #: What a text must hold for the slower patterns to be tried at all.
 _HON_ENDS, _SECRET_WORDS = [h + end for h in _HON for end in ". \xa0"], ("token", "secret", "passw", "key")
@@ -57,9 +84,12 @@ _CLOSING, _DIGIT = ".,;:!?)]}>\"'", re.compile(r"\d")
 _NUMBER = re.compile(
     r"(?P<ipv4>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
+    r"|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d)|(?<![\w.+-])0\d{2,4}[ /-]\d{6,8}(?![\w-]))"
     r"|(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))"
 )
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+_IPV6 = re.compile(rf"(?<![\w:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|{_GROUPS}::(?:{_GROUPS})?)(?![\w:])")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}\b")
 
 
@@ -77,6 +107,39 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+def _is_ipv6(s: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
+def people(text: str) -> list[tuple[int, int, str, str]]:
+    """The words of names after honorifics, and of the same names (whole, or the family name alone) elsewhere in the text."""
+    named = [(m.start(2), m[2], _HON[m[1]]) for m in _PERSON.finditer(text)]
+    gender: dict[str, str] = {}  # of a given name in this text
+    for _, name, g in named:
+        for w in _WORD.findall(name)[:-1]:
+            if g != "n" or w.casefold() not in gender:
+                gender[w.casefold()] = g
+    out = {}
+
+    def put(at: int, name: str) -> None:
+        words = list(_WORD.finditer(name))
+        for w in words[:-1]:
+            out[at + w.start()] = (at + w.start(), at + w.end(), "given", f"{gender.get(w[0].casefold(), 'n')}:{w[0].casefold()}")
+        w = words[-1]
+        out[at + w.start()] = (at + w.start(), at + w.end(), "family", w[0].casefold())
+
+    again = {n for _, n, _ in named} | {_WORD.findall(n)[-1] for _, n, _ in named}
+    if again:  # longer names first
+        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(again, key=lambda x: (-len(x), x))))})\b", text):
+            put(m.start(), m[0])
+    for at, name, _ in named:
+        put(at, name)
+    return list(out.values())
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of the entities of a text, in order, without overlap."""
     out: list[tuple[int, int, str, str]] = []
@@ -106,8 +169,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), kind, digits))
         elif kind == "ssn" or kind == "phone" and 7 <= len(digits) <= 15:
             out.append((m.start(), m.end(), kind, "+" * m[0].startswith("+") + digits))
-    for m in _PERSON.finditer(text) if any(h in text for h in _HON_ENDS) else ():
-        out.append((m.start(2), m.end(2), "person", f"{_HON[m[1]]}:{m[2].casefold()}"))
+    for m in _IPV6.finditer(text) if numbers and text.count(":") > 1 else ():
+        if len(re.findall(r"[^:]+", m[0])) > 2 and _is_ipv6(m[0]):
+            out.append((m.start(), m.end(), "ipv6", ipaddress.IPv6Address(m[0]).exploded))
+    if any(h in text for h in _HON_ENDS):
+        out += people(text)
     out.sort(key=lambda e: (e[0], -e[1]))
     kept: list[tuple[int, int, str, str]] = []
     for e in out:
@@ -207,15 +273,18 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         if sum(c.isalnum() for c in canon) < 8:  # too few letters and digits for a value of its own
             return d.like("".join(c if c.isalnum() or c.isspace() else "a" for c in canon))
         return d.like(canon, hexadecimal=not any(c.isalpha() and c not in "abcdefABCDEF" for c in canon))
-    if kind == "person":
-        gender, name = canon.split(":", 1)
-        script = "cyrillic" if re.search(r"[Ѐ-ӿ]", name) else "latin"
-        words = re.split(r"[  -]", name)
-        g = gender if gender != "n" else "mf"[Draw(key, "gender", canon).below(2)]
-        given, syl = GIVEN[script, g].split(), SYLLABLES[script].split()
-        family = lambda: "".join(syl[d.below(len(syl))] for _ in range(2 + (attempt > 2) + attempt // 8 + d.below(2)))
-        new = [given[d.below(len(given))].casefold() for _ in words[:-1]] + [family()]
-        return f"{gender}:{' '.join(new)}"
+    if kind in ("given", "family"):
+        gender, name = canon.split(":", 1) if kind == "given" else ("", canon)
+        script = next((x for letter, x in SCRIPTS if letter.search(name)), "latin")
+        syl = SYLLABLES[script].split()
+        some = lambda n: "".join(syl[d.below(len(syl))] for _ in range(n))
+        if kind == "family":
+            return some(2 + (attempt > 2) + attempt // 8 + d.below(2))
+        names = GIVEN[script, gender if gender != "n" else "mf"[Draw(key, "gender", canon).below(2)]].split()
+        return names[d.below(len(names))].casefold() + some(1 + (attempt > 2) + attempt // 8)
+    if kind == "ipv6":
+        groups = canon.split(":")
+        return ":".join([groups[0]] + [f"{1 + d.below(65535):04x}" if int(g, 16) else g for g in groups[1:]])
     if canon[0] == "+":  # the country code stays: one digit for the zones 1 and 7, else two
         keep = 2 if canon[1] in "17" else 3
         return canon[:keep] + d.like(canon[keep:])
@@ -224,9 +293,11 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
 
 def dressed(surface: str, kind: str, new: str) -> str:
     """A canonical surrogate in the format of a mention."""
-    if kind == "person":
-        words = iter(new.split(":", 1)[1].split(" "))
-        return re.sub(r"[^  -]+", lambda m: next(words).upper() if m[0].isupper() and len(m[0]) > 1 else next(words).capitalize(), surface)
+    if kind in ("given", "family"):
+        return new.upper() if surface.isupper() and len(surface) > 1 else new.capitalize()
+    if kind == "ipv6":
+        new = ipaddress.IPv6Address(new).compressed if len(surface) < 39 else new
+        return new.upper() if any(c.isupper() for c in surface) else new
     if kind == "secret":
         return new
     if kind == "email":
@@ -261,7 +332,7 @@ def collisions(entities: DataFrame, key: bytes, scratch: Scratch, max_rounds: in
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.string())], ["kind", "canon", "attempt", "s"])
 
     attempt = lambda df, a: df.select("kind", "canon", F.lit(a).alias("attempt")).mapInArrow(candidates, "kind string, canon string, attempt int, s string")
-    taken = entities.select("kind", F.col("canon").alias("s"))
+    taken = entities.select("kind", F.when(F.col("kind") == "given", F.substring("canon", 3, 1 << 30)).otherwise(F.col("canon")).alias("s"))  # as they are seen
     waiting, settled, moved = entities, None, None
     for a in range(max_rounds):
         cand = scratch.save(attempt(waiting, a), "candidates")
@@ -283,6 +354,7 @@ def collisions(entities: DataFrame, key: bytes, scratch: Scratch, max_rounds: in
     return moved if moved is not None else entities.select("kind", "canon", F.lit(0).alias("attempt")).where(F.lit(False))
 
 
+_COUNTED = {"family": "person"}
 #: Rows up to which the documents' exceptions are broadcast; beyond that they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -322,9 +394,11 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
                 parts, at, count = [], 0, {}
                 for start, end, kind, canon in found:
                     parts += [t[at:start], dressed(t[start:end], kind, surrogate(key, kind, canon, tries.get((kind, canon), 0)))]
-                    at, count[kind] = end, count.get(kind, 0) + 1
+                    at = end
+                    if kind != "given":  # a name counts once
+                        count[_COUNTED.get(kind, kind)] = count.get(_COUNTED.get(kind, kind), 0) + 1
                 texts.append("".join([*parts, t[at:]]) if found else t)
-                n.append(len(found))
+                n.append(sum(count.values()))
                 kinds.append(",".join(f"{x}:{count[x]}" for x in sorted(count)))
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], [*kept, "n_entities", "kinds"])

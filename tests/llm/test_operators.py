@@ -609,6 +609,28 @@ def test_surrogates_take_whole_secrets_and_all_digits():
     assert new != text and surrogates.find(new)[0][2] == "card" and all("٠" <= c <= "٩" for c in new)
 
 
+def test_surrogates_keep_one_person_one(spark):
+    text = "Mr. John Smith met. John Smith said; Mr Smith left. Dr. John Smith and SMITH? Smith. Frau Ελένη Παπαδοπούλου, Herr 王小明, Dr أحمد. Mrs. Mary Smith"
+    rows = [(1, text), (2, "Dr. Smith"), (3, "Smith without a title"), (4, "call 555-123-4567 or 030 1234567, at 2001:db8::8a2e:370:7334")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k").collect()}
+    names = re.findall(r"(?:Mr\.|Dr\.|met\.) (\w+) (\w+)", got[1])
+    assert len(set(names)) == 1 and "Smith" not in got[1] and "John" not in got[1] and "Mary" not in got[1]
+    family = names[0][1]
+    assert got[1].count(family) == 6 and f"Mr {family} left" in got[1] and got[2] == f"Dr. {family}" and got[3] == rows[2][1]
+    assert re.search(r"Frau [Ͱ-Ͽἀ-῿]+ [Ͱ-Ͽ]+, Herr [一-鿿]{2,}, Dr [؀-ۿ]+\.", got[1]) and "王小明" not in got[1]
+    assert re.fullmatch(r"call \d{3}-\d{3}-\d{4} or \d{3} \d{7}, at 2001:[0-9a-f]+::[0-9a-f:]+", got[4]) and not any(x in got[4] for x in ("555-123", "1234567", "8a2e"))
+
+
+def test_surrogates_of_many_family_names_are_distinct(spark):
+    """Twenty thousand names, over all scripts' candidates: distinct, and none of them a real one."""
+    from cortexloom.plans.scratch import Scratch
+
+    ents = [("family", f"name{i}") for i in range(20000)]
+    moved = {r["canon"]: r["attempt"] for r in surrogates.collisions(spark.createDataFrame(ents, "kind string, canon string"), b"k", Scratch(spark, "t")).collect()}
+    final = [surrogates.surrogate(b"k", k, c, moved.get(c, 0)) for k, c in ents]
+    assert len(set(final)) == len(ents) and not set(final) & {c for _, c in ents}
+
+
 def test_surrogates_of_a_full_range_are_a_permutation(spark):
     from cortexloom.plans.scratch import Scratch
 
