@@ -49,6 +49,12 @@ def sample_number(name: Column) -> Column:
     return F.regexp_extract(name, r"BC(\d+)", 1).try_cast("int")
 
 
+def section_label(section: Column) -> Column:
+    """A section number with zeros to three digits; longer numbers stay whole."""
+    n = section.cast("string")
+    return F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0"))
+
+
 def pair_label(a: Column, b: Column) -> Column:
     return F.concat_ws(", ", a, b)
 

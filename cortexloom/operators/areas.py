@@ -129,3 +129,8 @@ def homog_across_area(bc: DataFrame, area_vol: DataFrame, alpha: float = 1.0, bi
 
     kind = dict(bc.dtypes)["barcode"]
     return rows.mapInPandas(fit, f"barcode {kind}, area string, coefficient double")
+
+
+def select_visual_areas(projection: DataFrame, token: str = "VIS", dropped: tuple[str, ...] = ("VISC",)) -> DataFrame:
+    """The projections (barcode, area, strength) to areas whose name holds ``token``, without those in ``dropped``; rows of zeros go."""
+    return projection.where(F.contains("area", F.lit(token)) & ~F.col("area").isin(*dropped) & (F.col("strength") != 0))

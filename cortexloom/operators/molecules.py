@@ -65,5 +65,11 @@ def barcode_matrix(counts: DataFrame, samples: list[int], kind: str = "neuron")
     return wide.fillna(0).withColumnsRenamed({str(s): f"s{s}" for s in samples})
 
 
+def match_barcodes(counts: DataFrame, kind: str = "neuron") -> DataFrame:
+    """(barcode, n_samples, total, samples): a barcode's samples by exact equality of its sequence; the counts are long already, so no join."""
+    some = counts.where(F.col("kind") == kind).groupBy("barcode")
+    return some.agg(F.count("*").alias("n_samples"), F.sum("counts").alias("total"), F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("samples"))
+
+
 def long_matrix(counts: DataFrame, kind: str = "neuron") -> DataFrame:
     return counts.where(F.col("kind") == kind).select("barcode", "sample", F.col("counts").cast("double").alias("value"))

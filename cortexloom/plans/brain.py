@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cortexloom.functions import geometry, sequences
 from cortexloom.operators import areas, atlas, matrix, null, sections, stats
 from cortexloom.operators.params import AREA_NAMES, AreaParams
 from cortexloom.sources import fixtures
@@ -149,7 +150,7 @@ def q_zero_adjacent_to_soma(s, d):
 
 
 def q_prefix_barcodes(s, d):
-    return matrix.prefix_barcodes(_m(s, d).where("value > 100"), F.concat(F.lit("mouse"), (F.col("barcode") % 3).cast("string")))
+    return matrix.prefix_barcodes(_m(s, d), F.concat(F.lit("mouse"), (F.col("barcode") % 3).cast("string")))
 
 
 def q_barcode_max(s, d):
@@ -303,11 +304,46 @@ def q_section_thickness(s, d):
 
 
 def q_rasterise_rois(s, d):
-    w = _warped(s, d).where("px between 3 and 8 and py between 2 and 6").withColumn("tube", F.col("section") % 9)
+    w = _warped(s, d).withColumn("tube", F.col("section") % 9)
     px = w.select("section", "tube", (F.col("xa") / 50).alias("xa"), (F.abs("ya") / 25).alias("ya"), (F.abs("za") / 25).alias("za"))
     thick = fixtures.sections(s, d).select("section", (25.0 * (F.col("section") % 4)).alias("um"))
-    brain = s.range(1, 4000).selectExpr("CAST(1 + id % 12 AS int) x", "CAST(1 + (id div 12) % 16 AS int) y", "CAST(1 + id div 192 AS int) z", "CAST(id % 7 AS int) structure_id")
-    return atlas.rasterise_rois(px, thick, brain, (12, 400, 400), combine={1: [2, 3]})
+    return atlas.rasterise_rois(px, thick, fixtures.annotation(s, d), (12, 400, 400), combine={1: [2, 3]})
+
+
+def q_select_visual_areas(s, d):
+    return areas.select_visual_areas(_projected(s, d), "I", ("INDIA",)).select("barcode", "area", R9("strength"))
+
+
+def q_warp_forward(s, d):
+    """Atlas side to section side: the same triangles, mapped the other way."""
+    sec = fixtures.sections(s, d)
+    points = sections.marker_points(sec)
+    px = sections.section_pixels(sec).select("section", "px", "py")
+    mapped = sections.triangle_of(px, sections.delaunay_triangles(points), points, tile=4.0, forward=True)
+    return mapped.select("section", "px", "py", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"))
+
+
+def q_section_names(s, d):
+    name = F.concat(F.lit("corrected_BC"), "section", F.lit(".csv"))
+    return fixtures.sections(s, d).select("section", sequences.section_label(F.col("section")).alias("label"), sequences.sample_number(name).alias("sample"))
+
+
+def q_section_voxels(s, d):
+    return _warped(s, d).select("section", "px", "py", *[geometry.voxel_index(F.round(f"{c}a", 4)).alias(c) for c in "xyz"])
+
+
+def q_distance_decay(s, d):
+    c = atlas.centroid_distance(atlas.area_centroids(fixtures.annotation(s, d), fixtures.structures(s, d)), 2003)
+    return c.select("structure_id", F.round(geometry.exponential_decay(F.col("distance_um"), 2.0, 0.01), 9).alias("decay"))
+
+
+def q_pair_labels(s, d):
+    return q_cosine_similarity(s, d).select(sequences.pair_label(F.col("area_a"), F.col("area_b")).alias("pair"), "cosine")
+
+
+def q_list_literals(s, d):
+    written = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.concat(F.lit("['"), "n_name", F.lit("', 'all']")).alias("written"))
+    return written.select("n_nationkey", F.explode(sequences.list_literal(F.col("written"))).alias("name"))
 
 
 _M = f"WITH m AS ({duck(fixtures.MATRIX_SQL)})"
@@ -377,6 +413,16 @@ warp AS (SELECT section, px, py, 13175 - 25 * (fx * anchoring[5] + fy * anchorin
 near0 AS (SELECT a.section, a.px, a.py, sqrt(pow(a.za - b.za, 2.0) + pow(a.ya - b.ya, 2.0)) AS distance, b.xa - a.xa AS dx, b.py * 12 + b.px AS at2 FROM warp a JOIN warp b ON b.section = a.section + 1 WHERE (a.py * 12 + a.px) % 10 = 0),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section, px, py ORDER BY distance, at2) AS nth FROM near0) WHERE nth = 1)"""
 
+# the same with source and target of the triangles exchanged
+_FORWARD = f"""WITH {_SEC},
+px AS (SELECT section, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py FROM sec, range(12) AS a(x), range(9) AS b(y)),
+full_ AS (SELECT t.*, a.tx ax, a.ty ay, b.tx bx, b.ty by_, c.tx cx, c.ty cy, a.sx ox, a.sy oy, b.sx o2x, b.sy o2y, c.sx o3x, c.sy o3y FROM tri t
+  JOIN pd a ON a.section = t.section AND a.i = t.i JOIN pd b ON b.section = t.section AND b.i = t.j JOIN pd c ON c.section = t.section AND c.i = t.k),
+uv AS (SELECT px.*, i, j, k, ox, oy, o2x, o2y, o3x, o3y, ((px - ax) * (cy - ay) - (cx - ax) * (py - ay)) / nullif((bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay), 0) AS u,
+  ((bx - ax) * (py - ay) - (px - ax) * (by_ - ay)) / nullif((bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay), 0) AS v FROM px JOIN full_ USING (section)),
+hit AS (SELECT *, row_number() OVER (PARTITION BY section, px, py ORDER BY i, j, k) AS nth FROM uv WHERE u >= -1e-9 AND v >= -1e-9 AND u + v <= 1 + 1e-9)
+SELECT section, px, py, round(ox + (o2x - ox) * u + (o3x - ox) * v, 6) AS nx, round(oy + (o2y - oy) * u + (o3y - oy) * v, 6) AS ny FROM hit WHERE nth = 1"""
+
 SQL = {
     "filter_total_counts": f"{_M} SELECT * FROM m WHERE barcode IN (SELECT barcode FROM m GROUP BY 1 HAVING sum(value) >= 600)",
     "zero_low_counts": f"{_M} SELECT * FROM m WHERE NOT (value = floor(value) AND value BETWEEN 1 AND 19)",
@@ -394,7 +440,7 @@ SQL = {
     "rename_tubes": f"{_M} SELECT barcode, sample, sum(value) AS value FROM (SELECT barcode, CAST(CASE tube WHEN 2 THEN 1 WHEN 6 THEN 5 ELSE tube END AS INTEGER) AS sample, value FROM m JOIN (SELECT n_nationkey AS s, (n_nationkey * 7) % 11 AS tube FROM nation WHERE n_nationkey BETWEEN 1 AND 11) ON s = sample WHERE tube <> 0) WHERE sample <> 9 GROUP BY 1, 2",
     "adjacent_samples": f"WITH {_V}, {_ADJ} SELECT * FROM adj",
     "zero_adjacent_to_soma": f"{_TOP}, {_V}, {_ADJ} SELECT m.* FROM m ANTI JOIN (SELECT am.barcode, neighbour AS sample FROM am JOIN adj ON label = sample) z USING (barcode, sample)",
-    "prefix_barcodes": f"{_M} SELECT 'mouse' || (barcode % 3) || '_' || barcode AS barcode, sample, value FROM m WHERE value > 100",
+    "prefix_barcodes": f"{_M} SELECT 'mouse' || (barcode % 3) || '_' || barcode AS barcode, sample, value FROM m",
     "barcode_max": f"{_M} SELECT barcode % 3 AS mouse, barcode, max(value) AS max FROM m GROUP BY 1, 2",
     "scale_by_second_unique": f"{_M}, d AS (SELECT barcode, list_reverse_sort(list_distinct(list_append(list(value), 0.0)))[2] AS s FROM m GROUP BY 1) SELECT barcode, sample, round(value / nullif(s, 0), 9) AS value FROM m JOIN d USING (barcode)",
     "binarise": f"{_M} SELECT barcode, sample, CAST(value <> 0 AS INTEGER) AS value FROM m",
@@ -426,6 +472,14 @@ SQL = {
     "has_next_section": f"WITH {_SEC} SELECT section, EXISTS (SELECT 1 FROM sec s WHERE s.section = sec.section + 1) AS has_next FROM sec",
     "nearest_pixel": f"WITH {_WARP} SELECT section, px, py, round(distance, 4) AS distance FROM near",
     "section_thickness": f"WITH {_WARP}, t AS (SELECT section, avg(dx) AS um FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY distance, py, px) AS r, count(*) OVER (PARTITION BY section) AS n FROM near) WHERE r <= floor(n * 0.2) GROUP BY 1) SELECT section, round(coalesce(um, (SELECT median(um) FROM t)), 3) AS um FROM sec LEFT JOIN t USING (section)",
+    "rasterise_rois": f"WITH {_WARP}, {_V}, ix AS (SELECT section, section % 9 AS tube, CAST(round_even(xa / 50 / 25.0, 0) AS INTEGER) AS x, CAST(round_even(abs(ya) / 25 / 25.0, 0) AS INTEGER) AS y, CAST(round_even(abs(za) / 25 / 25.0, 0) AS INTEGER) AS z FROM warp), ex AS (SELECT section, tube, CASE WHEN tube IN (2, 3) THEN 1 ELSE tube END AS label, CAST(x + k AS INTEGER) AS x, y, z FROM ix, range(3) AS r(k) WHERE k < section % 4), one AS (SELECT x, y, z, arg_max(label, {{'s': section, 't': tube}}) AS label FROM ex WHERE x BETWEEN 1 AND 11 AND y BETWEEN 1 AND 399 AND z BETWEEN 1 AND 399 GROUP BY 1, 2, 3) SELECT one.x, one.y, one.z, CAST(one.label AS INTEGER) AS label FROM one JOIN ann USING (x, y, z)",
+    "select_visual_areas": f"{_proj(_AVT)} SELECT barcode, area, round(strength, 9) AS strength FROM pr WHERE contains(area, 'I') AND area <> 'INDIA' AND strength <> 0",
+    "warp_forward": _FORWARD,
+    "section_names": f"WITH {_SEC} SELECT section, lpad(CAST(section AS VARCHAR), CAST(greatest(3, length(CAST(section AS VARCHAR))) AS INTEGER), '0') AS label, section AS sample FROM sec",
+    "section_voxels": f"WITH {_WARP} SELECT section, px, py, CAST(round_even(round(xa, 4) / 25, 0) AS INTEGER) AS x, CAST(round_even(round(ya, 4) / 25, 0) AS INTEGER) AS y, CAST(round_even(round(za, 4) / 25, 0) AS INTEGER) AS z FROM warp",
+    "list_literals": "SELECT n_nationkey, unnest(list_value(n_name, 'all')) AS name FROM nation",
 }
-NO_SQL = ["homog_across_area", "homog_across_area_binary", "curveball_shuffle", "null_statistics", "null_statistics_by_mouse", "rasterise_rois"]
+SQL["distance_decay"] = f"SELECT structure_id, round(2.0 * exp(-0.01 * d), 9) AS decay FROM ({SQL['area_centroid_distance'].replace(', 6) AS distance_um', ', 12) AS d')})"
+SQL["pair_labels"] = f"SELECT area_a || ', ' || area_b AS pair, cosine FROM ({SQL['cosine_similarity']})"
+NO_SQL = ["homog_across_area", "homog_across_area_binary", "curveball_shuffle", "null_statistics", "null_statistics_by_mouse"]
 QUERIES = {name: globals()[f"q_{name}"] for name in [*SQL, *NO_SQL]}

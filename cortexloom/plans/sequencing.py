@@ -105,6 +105,10 @@ def q_barcode_matrix(spark, d):
     return molecules.barcode_matrix(counts(fixtures.reads(spark, d), whitelist()), list(range(1, SAMPLES + 2)))
 
 
+def q_match_barcodes(spark, d):
+    return molecules.match_barcodes(counts(fixtures.reads(spark, d), whitelist()))
+
+
 def q_umi_histogram(spark, d):
     return qc.umi_histogram(molecules.umi_switch_summary(_fixed(spark, d)), "total", 30, 0.0, 3.0)
 
@@ -200,6 +204,7 @@ SQL = {
     "molecule_counts": f"{W} {_RESOLVED} SELECT sample, neuron, umi, n, kind FROM mol",
     "barcode_umi_counts": f"{W} {_RESOLVED} SELECT * FROM cnt",
     "barcode_matrix": f"{W} {_RESOLVED} SELECT barcode, {', '.join(f'CAST(coalesce(sum(counts) FILTER (sample = {s}), 0) AS BIGINT) AS s{s}' for s in range(1, SAMPLES + 2))} FROM cnt WHERE kind = 'neuron' GROUP BY barcode",
+    "match_barcodes": f"{W} {_RESOLVED} SELECT barcode, count(*) AS n_samples, CAST(sum(counts) AS BIGINT) AS total, string_agg(CAST(sample AS VARCHAR), ',' ORDER BY sample) AS samples FROM cnt WHERE kind = 'neuron' GROUP BY barcode",
     "umi_histogram": f"{W} {_SUMMARY} SELECT {_bucket('log10(total)', 0.0, 3.0, 30)} AS bin, count(*) AS n FROM summary GROUP BY 1",
     "neurons_per_umi": f"{W} {_SUMMARY} SELECT different_neurons, count(*) AS n, count(*) / (SELECT count(*) FROM summary) AS share FROM summary GROUP BY 1",
     "umi_composition": f"{W} {_COMPO} SELECT umi, round(ratio, 6) AS ratio, round(entropy, 6) AS entropy, round(CAST(at_share AS DOUBLE), 6) AS at_share FROM compo",
