@@ -39,8 +39,10 @@ def shuffle_presence(present: np.ndarray, seed: object, trades_per_row: int = 5)
     return out.T if flip else out
 
 
-#: Presence cells up to which the brains travel to the tasks whole; beyond, they are dealt by (mouse, replicate).
+#: Presence cells up to which the brains travel to the tasks whole, and about which a block of a larger population holds.
 MAX_CELLS = 2_000_000
+#: Parts that the replicates of a larger population are done in; its cells are sent once for each.
+CHUNKS = 64
 
 
 def _cells(bc: DataFrame) -> DataFrame:
@@ -52,9 +54,26 @@ def _presence(pdf: pd.DataFrame) -> tuple[list, list[int], np.ndarray]:
     return list(wide.index), [int(c) for c in wide.columns], wide.to_numpy().astype(np.int8)
 
 
-def _shuffled(mouse, replicate: int, brain: tuple, seed: int) -> pd.DataFrame:
+def _in_blocks(cells: DataFrame, n_cells: int, chunks: int, work, schema: str) -> DataFrame:
+    """``work(mouse, chunk, block, brain)`` for blocks of barcodes, dealt anew for every chunk of replicates.
+
+    Trades inside a block keep the block's margins, so all margins; no task holds more than a block.
+    """
+    blocks = max(1, -(-n_cells // MAX_CELLS))
+    each = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    each = each.withColumn("block", F.pmod(F.xxhash64("barcode", "chunk"), F.lit(blocks)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mouse, chunk, block = (pdf[c].iloc[0] for c in ("mouse", "chunk", "block"))
+        mouse = mouse.item() if hasattr(mouse, "item") else mouse
+        return work(mouse, int(chunk), () if blocks == 1 else (int(block),), _presence(pdf))
+
+    return each.groupBy("mouse", "chunk", "block").applyInPandas(run, schema)
+
+
+def _shuffled(mouse, replicate: int, brain: tuple, seed: int, block: tuple = ()) -> pd.DataFrame:
     barcodes, samples, m = brain
-    r, c = np.nonzero(shuffle_presence(m, (seed, mouse, replicate)))
+    r, c = np.nonzero(shuffle_presence(m, (seed, mouse, replicate, *block)))
     return pd.DataFrame({"mouse": mouse, "replicate": replicate, "barcode": np.array(barcodes, object)[r], "sample": np.array(samples)[c]})
 
 
@@ -63,13 +82,12 @@ def curveball_shuffle(bc: DataFrame, replicates: int, seed: int = 1, max_cells:
 
     ``bc``: mouse, barcode, sample, value. The chain inside a replicate is sequential, so tasks
     are replicates. A brain has some thousands of barcodes after the filters: up to ``max_cells``
-    present cells (counted first) all brains are broadcast; more are shuffled by mouse and replicate.
+    present cells (counted first) all brains are broadcast; of more, blocks of barcodes are shuffled.
     """
     spark, kind, cells = bc.sparkSession, dict(bc.dtypes), _cells(bc)
     schema = f"mouse {kind['mouse']}, replicate bigint, barcode {kind['barcode']}, sample int"
-    if cells.count() > max_cells:
-        each = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
-        return each.groupBy("mouse", "replicate").applyInPandas(lambda pdf: _shuffled(pdf["mouse"].iloc[0].item() if hasattr(pdf["mouse"].iloc[0], "item") else pdf["mouse"].iloc[0], int(pdf["replicate"].iloc[0]), _presence(pdf), seed), schema)
+    if (n := cells.count()) > max_cells:
+        return _in_blocks(cells, n, replicates, lambda mouse, replicate, block, brain: _shuffled(mouse, replicate, brain, seed, block), schema)
     brains = spark.sparkContext.broadcast({m: _presence(g) for m, g in cells.toPandas().groupby("mouse")})
 
     def run(batches):
@@ -87,39 +105,50 @@ def shuffled_counts(bc: DataFrame, area_samples: DataFrame, replicates: int, see
 
     ``area_samples``: (mouse, sample, area) with a weight. A binary projection has an area exactly
     if the barcode is present in one of its samples, so counts are made where the shuffle is and
-    no shuffled matrix leaves its task. Brains of more than ``max_cells`` present cells are
-    shuffled as tables, and counted by joins.
+    no shuffled matrix leaves its task. Of brains of more than ``max_cells`` present cells in all,
+    blocks of barcodes are shuffled, and their counts added up.
     """
     spark, cells = bc.sparkSession, _cells(bc)
     links = area_samples.select("mouse", "sample", "area").distinct()
-    if cells.count() > max_cells:
-        hit = curveball_shuffle(bc, replicates, seed, max_cells).join(links, ["mouse", "sample"])
-        p = hit.select("mouse", "replicate", "barcode", "area").distinct().withColumn("strength", F.lit(1))
-        return stats.co_occurrence(p, ["mouse", "replicate"])
+    kind = dict(bc.dtypes)["mouse"]
+    schema = f"mouse {kind}, replicate bigint, area_a string, area_b string, n bigint"
+    of_mouse = {m: g for m, g in links.toPandas().groupby("mouse")}  # samples and areas of a brain
+
+    def into(mouse, samples: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        g = of_mouse.get(mouse)
+        areas = sorted(g["area"].unique()) if g is not None else []
+        m = np.zeros((len(samples), len(areas)), np.int32)
+        for s, a in zip(g["sample"], g["area"]) if areas else ():
+            if s in samples:
+                m[samples.index(s), areas.index(a)] = 1
+        return np.array(areas, object), m
+
+    def counted(mouse, replicate: int, brain: tuple, names: np.ndarray, m: np.ndarray, block: tuple = ()) -> pd.DataFrame:
+        present = shuffle_presence(brain[2], (seed, mouse, replicate, *block))
+        has = (present.astype(np.int32) @ m > 0).astype(np.int64)
+        c = has.T @ has
+        i, j = np.nonzero(c)
+        return pd.DataFrame({"mouse": mouse, "replicate": replicate, "area_a": names[i], "area_b": names[j], "n": c[i, j]})
+
+    if (n := cells.count()) > max_cells:
+        chunks = min(replicates, CHUNKS)
+
+        def work(mouse, chunk: int, block: tuple, brain: tuple) -> pd.DataFrame:
+            to = into(mouse, brain[1])
+            return pd.concat([counted(mouse, r, brain, *to, block) for r in range(chunk, replicates, chunks)])
+
+        return _in_blocks(cells, n, chunks, work, schema).groupBy("mouse", "replicate", "area_a", "area_b").agg(F.sum("n").alias("n"))
     brains = {m: _presence(g) for m, g in cells.toPandas().groupby("mouse")}
-    into_areas = {}
-    for mouse, g in links.toPandas().groupby("mouse"):  # samples x areas of one brain
-        if mouse in brains:
-            samples, areas = brains[mouse][1], sorted(g["area"].unique())
-            m = np.zeros((len(samples), len(areas)), np.int32)
-            for s, a in zip(g["sample"], g["area"]):
-                if s in samples:
-                    m[samples.index(s), areas.index(a)] = 1
-            into_areas[mouse] = (np.array(areas, object), m)
-    shared, kind = spark.sparkContext.broadcast((brains, into_areas)), dict(bc.dtypes)["mouse"]
+    shared = spark.sparkContext.broadcast((brains, {m: into(m, brain[1]) for m, brain in brains.items()}))
 
     def run(batches):
         for pdf in batches:
             for replicate in pdf["id"]:
-                for mouse, (names, into) in shared.value[1].items():
-                    present = shuffle_presence(shared.value[0][mouse][2], (seed, mouse, int(replicate)))
-                    has = (present.astype(np.int32) @ into > 0).astype(np.int64)
-                    c = has.T @ has
-                    i, j = np.nonzero(c)
-                    yield pd.DataFrame({"mouse": mouse, "replicate": replicate, "area_a": names[i], "area_b": names[j], "n": c[i, j]})
+                for mouse, to in shared.value[1].items():
+                    yield counted(mouse, int(replicate), shared.value[0][mouse], *to)
 
     parts = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, replicates, 1, parts).mapInPandas(run, f"mouse {kind}, replicate bigint, area_a string, area_b string, n bigint")
+    return spark.range(0, replicates, 1, parts).mapInPandas(run, schema)
 
 
 def null_statistics(counts: DataFrame, areas: DataFrame, by_mouse: bool = False) -> DataFrame:

@@ -273,6 +273,13 @@ def q_curveball_shuffle(s, d):
     return null.curveball_shuffle(_brains(s, d), 4)
 
 
+def q_curveball_margins(s, d):
+    """Present cells of every barcode and of every sample in the shuffled populations: those of the real one."""
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).cast("bigint").alias("key"))
+    cells = null.curveball_shuffle(_brains(s, d), 4).select("mouse", "replicate", F.explode(F.array(side("barcode"), side("sample"))).alias("x"))
+    return cells.groupBy("mouse", "replicate", "x.side", "x.key").agg(F.count("*").alias("n"))
+
+
 def q_null_statistics(s, d):
     common = atlas.common_areas(_area_samples(s, d).select("mouse", "area").distinct(), 3)
     return null.generate_null(_brains(s, d), _area_samples(s, d), common, replicates=8)
@@ -478,6 +485,7 @@ SQL = {
     "section_names": f"WITH {_SEC} SELECT section, lpad(CAST(section AS VARCHAR), CAST(greatest(3, length(CAST(section AS VARCHAR))) AS INTEGER), '0') AS label, section AS sample FROM sec",
     "section_voxels": f"WITH {_WARP} SELECT section, px, py, CAST(round_even(round(xa, 4) / 25, 0) AS INTEGER) AS x, CAST(round_even(round(ya, 4) / 25, 0) AS INTEGER) AS y, CAST(round_even(round(za, 4) / 25, 0) AS INTEGER) AS z FROM warp",
     "list_literals": "SELECT n_nationkey, unnest(list_value(n_name, 'all')) AS name FROM nation",
+    "curveball_margins": f"{_TOP}, b AS (SELECT barcode % 3 AS mouse, barcode, sample FROM m WHERE barcode IN (SELECT barcode FROM hs WHERE second >= 10 AND log10(highest / second) > log10(5.0)) AND sample <= 8 AND value <> 0), x AS (SELECT mouse, 'barcode' AS side, CAST(barcode AS BIGINT) AS key FROM b UNION ALL SELECT mouse, 'sample', CAST(sample AS BIGINT) FROM b) SELECT mouse, replicate, side, key, count(*) AS n FROM x, range(4) AS r(replicate) GROUP BY 1, 2, 3, 4",
 }
 SQL["distance_decay"] = f"SELECT structure_id, round(2.0 * exp(-0.01 * d), 9) AS decay FROM ({SQL['area_centroid_distance'].replace(', 6) AS distance_um', ', 12) AS d')})"
 SQL["pair_labels"] = f"SELECT area_a || ', ' || area_b AS pair, cosine FROM ({SQL['cosine_similarity']})"

@@ -1,5 +1,6 @@
 """Hand cases, properties and equivalences of the sequencing, atlas and null operators."""
 
+import collections
 import gzip
 import itertools
 import json
@@ -221,6 +222,25 @@ def test_null_counts_equal_statistics_of_the_shuffles(spark):
     assert sorted(null.curveball_shuffle(bc, 2, max_cells=0).collect()) == sorted(shuffled.collect())
 
 
+def test_null_blocks_keep_margins(spark, monkeypatch):
+    monkeypatch.setattr(null, "MAX_CELLS", 60)
+    rng = np.random.default_rng(4)
+    cells = [(m, f"b{m}_{i}", int(s), 1.0) for m in (1, 2) for i in range(40) for s in rng.choice(8, int(rng.integers(1, 5)), replace=False)]
+    bc = spark.createDataFrame(cells, "mouse int, barcode string, sample int, value double")
+    links = spark.createDataFrame([(m, s, f"a{s % 3}", 1.0) for m in (1, 2) for s in range(8)], "mouse int, sample int, area string, weight double")
+    got = null.curveball_shuffle(bc, 3, max_cells=0).collect()
+    for r in range(3):
+        mine = [x for x in got if x["replicate"] == r]
+        assert len(mine) == len({(x["mouse"], x["barcode"], x["sample"]) for x in mine}) == len(cells)
+        for key in (lambda x: (x["mouse"], x["barcode"]), lambda x: (x["mouse"], x["sample"])):
+            want = collections.Counter(key(dict(zip(("mouse", "barcode", "sample"), c))) for c in cells)
+            assert collections.Counter(map(key, mine)) == want
+        assert {(x["mouse"], x["barcode"], x["sample"]) for x in mine} != {c[:3] for c in cells}
+    n = {(x["mouse"], x["replicate"], x["area_a"]): x["n"] for x in null.shuffled_counts(bc, links, 3, max_cells=0).where("area_a = area_b").collect()}
+    direct = {k: len({x["barcode"] for x in got if (x["mouse"], x["replicate"], f"a{x['sample'] % 3}") == k}) for k in n}
+    assert n == direct and len(n) == 18
+
+
 def test_entropy_and_at(spark):
     df = spark.createDataFrame([("ACGT",), ("AAAA",), ("AATT",)], "s string")
     got = {r["s"]: (r["e"], r["a"]) for r in df.select("s", sequences.shannon_entropy(F.col("s")).alias("e"), sequences.at_content(F.col("s")).alias("a")).collect()}
