@@ -1,6 +1,6 @@
 """The registered queries of this package, and the SQL that gives the same rows."""
 
-from cortexloom.llm import language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, surrogates, topk
+from cortexloom.llm import language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, surrogates, topk, vector_codes
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_lm": maxent_lm.op8_lm,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
     "op1_topk": topk.OP1_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
