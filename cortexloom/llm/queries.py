@@ -1,6 +1,6 @@
 """The registered queries of this package, and the SQL that gives the same rows."""
 
-from cortexloom.llm import language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, surrogates, topk, vector_codes
+from cortexloom.llm import curve_packing, language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, surrogates, token_alignment, topk, vector_codes
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_lm": maxent_lm.op8_lm,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
+    "op11_curve_packing": curve_packing.op11_curve_packing,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
