@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from cortexloom.llm._text import pieces, raw, table
 from cortexloom.plans.scratch import Scratch
 
-#: Hashed vector components; dimensions and bits a dimension of the curve; bits that tell rows of one cell apart.
-BUCKETS, DIMS, BITS, SPLIT = 256, 4, 10, 23
+#: Hashed vector components; dimensions and bits a dimension of the curve; bits that tell rows of one cell apart. Places have 52 bits, since quantiles are doubles.
+BUCKETS, DIMS, BITS, SPLIT = 256, 4, 8, 20
 #: Tokens that a range should hold, and the most ranges there are.
 RANGE_TOKENS, MAX_RANGES = 1 << 23, 50_000
 #: Distinct words that a worker remembers; when full it starts anew, which costs time only.

@@ -56,16 +56,12 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def placed(cuts: list[int | None], tokens: list[bytes], text: bytes) -> list[int] | None:
-    """Where each token ends: at its coarse cut, or else as many bytes on as it holds. None if the tokens do not spell the text."""
-    ends, at = [], 0
-    for cut, token in zip(cuts, tokens):
-        end = at + len(token) if cut is None else cut
-        if text[at:end] != token:
-            return None
-        ends.append(end)
-        at = end
-    return ends if at == len(text) else None
+def placed(cuts: np.ndarray, tokens: list[bytes], text: bytes) -> np.ndarray | None:
+    """Where each token ends: at its coarse cut, or where that is -1, as many bytes after the cut before as the tokens since hold. None if the tokens do not spell the text."""
+    spelt = np.cumsum([len(t) for t in tokens])
+    last = np.maximum.accumulate(np.where(cuts >= 0, np.arange(len(cuts)), -1))
+    ends = spelt + np.where(last >= 0, (cuts - spelt)[last], 0)
+    return ends if (ends == spelt).all() and b"".join(tokens) == text else None
 
 
 class Aligner:
@@ -86,6 +82,7 @@ class Aligner:
         self.b_bytes = [bytes([int(m[1], 16)]) if sp.is_byte(i) and (m := _BYTE.fullmatch(n)) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.b_byte = [sp.is_byte(i) for i in range(self.size_b)]
         self.chunks = re.compile(self._pattern([n.replace("▁", " ") for n in names]))
+        self.word = re.compile(f"[{WHITE}]+[^{WHITE}▁]+")
         self.known: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
 
     @staticmethod
@@ -99,48 +96,61 @@ class Aligner:
         more = f"(?:[{joined}][{WHITE}]*[^{WHITE}]*)*" if joined else ""
         return f"[{WHITE}]*[^{WHITE}]+{more}|[{WHITE}]+"
 
-    def tokens_a(self, text: str, encoding) -> tuple[list[int], list[int] | None]:
-        """(ids, where they end in the UTF-8 bytes of ``text``) by A."""
-        ids, spans = encoding.ids, encoding.offsets
-        if text.isascii():
-            at = range(len(text) + 1)
-        else:
-            at = [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-        begins = [s for s, _ in spans[1:]] + [len(text)]
-        return ids, placed([at[e] if e == s else None for (_, e), s in zip(spans, begins)], [self.a_bytes[i] for i in ids], text.encode())
-
-    def tokens_b(self, text: str, proto) -> tuple[list[int], list[int] | None]:
-        """The same by B; ``proto`` is of ``text`` without the space that it begins with, or with that space put in front."""
-        found, shift = list(proto.pieces), 1
-        if text[0] != " ":  # the space that B puts in front is no part of the text
+    def tokens_a(self, text: str, own: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, where they end in the bytes of ``text``) by A."""
+        found = self.a.encode(text, add_special_tokens=False)
+        ids, spans = found.ids, np.array(found.offsets, np.int64).reshape(-1, 2)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
+        clear = np.append(spans[1:, 0], len(text)) == spans[:, 1]  # the next token begins where this one ends, so no character is shared
+        ends = placed(np.where(clear, at[spans[:, 1]], -1), [self.a_bytes[i] for i in ids], own)
+        return None if ends is None else (np.array(ids), ends)
+
+    def tokens_b(self, text: str, own: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same by B, which puts a space in front: the one that ``text`` begins with, or one that is no part of it."""
+        found, shift = list(self.b.encode(text.removeprefix(" "), return_type="proto").pieces), 1
+        if text[0] != " ":
             if not found or found[0].piece != "▁":
-                return [], None
+                return None
             found, shift = found[1:], 0
         ids = [p.id for p in found]
-        return ids, placed([None if self.b_byte[p.id] else p.end + shift for p in found], [self.b_bytes[i] for i in ids], text.encode())
-
-    def align(self, texts: list[str]) -> list[tuple[int, int, int, bytes, bytes] | None]:
-        """(tokens of A, of B, groups, groups as text, linked pairs as 64-bit a * size_b + b) of each text, which are not empty; None if it does not come back."""
-        out: list[tuple[int, int, int, bytes, bytes] | None] = []
-        protos = [self.b.encode(t[1:] if t[0] == " " else t, return_type="proto") for t in texts]
-        for text, enc, proto in zip(texts, self.a.encode_batch(texts, add_special_tokens=False), protos):
-            (ia, ea), (ib, eb) = self.tokens_a(text, enc), self.tokens_b(text, proto)
-            if ea is None or eb is None:
-                out.append(None)
-                continue
-            groups, pairs, x, y = [], [], 0, 0
-            for end in sorted(set(ea).intersection(eb)):
-                x0, y0 = x, y
-                while x < len(ea) and ea[x] <= end:
-                    x += 1
-                while y < len(eb) and eb[y] <= end:
-                    y += 1
-                groups.append(f"{','.join(map(str, ia[x0:x]))}|{','.join(map(str, ib[y0:y]))}")
-                ends_a = [i for i, e in zip(ia[x0:x], ea[x0:x]) if e == end]  # one, unless a token is empty
-                ends_b = [i for i, e in zip(ib[y0:y], eb[y0:y]) if e == end]
-                pairs += [i * self.size_b + j for i in ends_a for j in ends_b]
-            out.append((len(ia), len(ib), len(groups), ";".join(groups).encode(), np.array(pairs, np.int64).tobytes()))
-        return out
+        cuts = np.array([-1 if self.b_byte[p.id] else p.end + shift for p in found], np.int64)
+        ends = placed(cuts, [self.b_bytes[i] for i in ids], own)
+        return None if ends is None else (np.array(ids), ends)
+
+    def align(self, text: str, parts: list[str] | None = None) -> list[tuple[int, int, int, bytes, bytes]] | None:
+        """Of each part of a text (of the text itself, if none are given): tokens of A, of B, groups, groups as text, linked pairs as 64-bit a * size_b + b.
+
+        None if the text does not come back, or if tokens reach across the edge of a part.
+        """
+        own = text.encode()
+        found_a, found_b = self.tokens_a(text, own), self.tokens_b(text, own)
+        if found_a is None or found_b is None:
+            return None
+        (ia, ea), (ib, eb) = found_a, found_b
+        at = np.searchsorted(eb, ea)  # both end with the text
+        x = np.flatnonzero(eb[at] == ea)
+        common, x, y = ea[x], x + 1, at[x] + 1
+        pairs = (ia[x - 1] * self.size_b + ib[y - 1]).astype(np.int64).tobytes()
+        sa, sb, xs, ys = list(map(str, ia.tolist())), list(map(str, ib.tolist())), [0, *x.tolist()], [0, *y.tolist()]
+        groups = [f"{','.join(sa[x0:x1])}|{','.join(sb[y0:y1])}" for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:])]
+        edges = np.cumsum([len(p.encode()) for p in parts or [text]])
+        g = np.searchsorted(common, edges)
+        if (g >= len(common)).any() or (common[g] != edges).any():
+            return None
+        g = [0, *(g + 1).tolist()]
+        return [(xs[q] - xs[p], ys[q] - ys[p], q - p, ";".join(groups[p:q]).encode(), pairs[8 * p : 8 * q]) for p, q in zip(g, g[1:])]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Align new chunks: those that are white space and a word many at a time, as one text, the others one by one."""
+        joins = [c for c in chunks if self.word.fullmatch(c)]
+        for at in range(0, len(joins), 512):
+            some = joins[at : at + 512]
+            got = self.align("".join(some), some)
+            self.known.update(zip(some, got) if got else [(c, (self.align(c) or [None])[0]) for c in some])
+        for c in chunks:
+            if c not in self.known:
+                self.known[c] = (self.align(c) or [None])[0]
 
     def documents(self, texts: list[str]) -> list[tuple[int, int, int, bytes, bytes] | None]:
         """The same for whole texts, of which A gets a space in front as B does; None for empty ones too."""
@@ -149,19 +159,18 @@ class Aligner:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list({c for cs in split for c in cs})
-        for at in range(0, len(new), 2048):
-            self.known.update(zip(new[at : at + 2048], self.align(new[at : at + 2048])))
+        self.learn(new)
         out: list[tuple[int, int, int, bytes, bytes] | None] = []
         for t, cs in zip(texts, split):
             got = [self.known[c] for c in cs]
             if None in got:  # only the whole text can tell
-                out.append(self.align([" " + t])[0])
+                out.append((self.align(" " + t) or [None])[0])
             elif not got:
                 out.append(None)
             else:
                 out.append((sum([g[0] for g in got]), sum([g[1] for g in got]), sum([g[2] for g in got]), b";".join([g[3] for g in got]), b"".join([g[4] for g in got])))
         i = min((k for k in range(len(texts)) if texts[k]), key=lambda k: (len(texts[k]) > 1 << 16, k), default=None)
-        if i is not None and len(texts[i]) <= 1 << 20 and self.align([" " + texts[i]])[0] != out[i]:
+        if i is not None and len(texts[i]) <= 1 << 20 and (self.align(" " + texts[i]) or [None])[0] != out[i]:
             raise ValueError("these vocabularies do not split a text at its spaces")
         return out
 
