@@ -43,8 +43,10 @@ from cortexloom.plans.scratch import Scratch
 BUCKETS, DIMS, BITS, SPLIT = 256, 4, 8, 20
 #: Tokens that a range should hold, and the most ranges there are.
 RANGE_TOKENS, MAX_RANGES = 1 << 23, 50_000
-#: Distinct words that a worker remembers; when full it starts anew, which costs time only.
+#: Distinct words in each of the two halves of a worker's memory; when one is full the older one goes, which costs time only.
 REMEMBERED = 400_000
+#: What stands between words that are encoded as one text: a character for private use.
+EDGE = "\ue000"
 _PIECE = 4 << 20
 
 
@@ -68,23 +70,50 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
+        #: How ids are held: in two bytes where all of them fit.
+        self.kind = "<u2" if max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.mark = self._ids(EDGE)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def packed(self, text: bytes) -> bytes:
-        return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text.decode()).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Words many at a time, as one text with a mark between them that no word holds and whose ids only it can have."""
+        if len(self.known) + len(new) > REMEMBERED:  # words that come again are taken back from the older half
+            self.older, self.known = self.known, {}
+        known, older, mark = self.known, self.older, self.mark
+        again = [w for w in new if w in older]
+        known.update(zip(again, [older[w] for w in again]))
+        new = [w for w in new if w not in older]
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            text = f" {EDGE} ".join([w.decode() for w in some])
+            joined = self._ids(text)
+            hits = np.flatnonzero(np.logical_and.reduce([joined[i : len(joined) - len(mark) + 1 + i] == m for i, m in enumerate(mark)])) if len(joined) >= len(mark) else []
+            if text.count(EDGE) != len(some) - 1 or len(hits) != len(some) - 1:
+                known.update({w: self.packed(w) for w in some})
+                continue
+            data, size = joined.tobytes(), joined.itemsize
+            ends = [*(hits * size).tolist(), len(data)]
+            known.update({w: data[lo:hi] for w, lo, hi in zip(some, [0, *((hits + len(mark)) * size).tolist()], ends)})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
+        """The ids of each text as little-endian numbers of ``kind``."""
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([self.known[w] for w in words]) for words in split]
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        lack = [i for i, got in enumerate(found) if None in got]
+        if lack:
+            self._learn(list({w for i in lack for w, got in zip(split[i], found[i]) if got is None}))
+            known, older = self.known, self.older
+            for i in lack:
+                found[i] = [got if got is not None else known[w] if w in known else older[w] for w, got in zip(split[i], found[i])]
+        out = list(map(b"".join, found))
         i = min(range(len(texts)), key=lambda k: (len(texts[k]) > 1 << 16, len(texts[k]) == 0, k), default=None)
         if i is not None and len(texts[i]) <= 1 << 20 and out[i] != self.packed(texts[i]):
             raise ValueError("the ids of this vocabulary depend on more than single words")
@@ -154,15 +183,15 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, ids, p0 ..): every document's ids, end id included, and its projection."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(id, n, ids, p0 ..): every document's ids, end id included, in two or four bytes each, and its projection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(vocabulary)
+        end, size = np.array([end_id], words.kind).tobytes(), int(words.kind[-1])
         for b in pieces(batches, _PIECE):
             packed = [x + end for x in words.encode([t or b"" for t in raw(b.column(1))])]
-            sizes = np.array([len(x) // 4 for x in packed], np.int64)
-            p = projected(np.frombuffer(b"".join(packed), "<u4"), sizes)
+            sizes = np.array([len(x) // size for x in packed], np.int64)
+            p = projected(np.frombuffer(b"".join(packed), words.kind), sizes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(packed, pa.binary()), *[pa.array(c) for c in p.T]], ["id", "n", "ids", *[f"p{i}" for i in range(DIMS)]])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -221,6 +250,7 @@ def _pieces(first: list[int], total: int, length: int):
             seq = one[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
             lo, hi = np.maximum(begin[doc], edge(seq)), np.minimum((begin + n)[doc], edge(seq + 1))
             data = b"".join(b.column(3).to_pylist())  # the pieces follow one another as the documents do
+            data = np.frombuffer(data, f"<u{len(data) // int(n.sum())}").astype("<u4").tobytes()
             ends = np.concatenate([[0], np.cumsum(hi - lo)]) * 4
             ids = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(

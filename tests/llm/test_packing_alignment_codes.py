@@ -127,6 +127,14 @@ def test_packing_words_equal_whole_texts():
     assert words.encode([t.encode() for t in texts]) == [words.packed(t.encode()) for t in texts]
 
 
+def test_packing_words_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(curve_packing, "REMEMBERED", 40)
+    words, rng = curve_packing.Words(curve_packing.vocabulary_text()), random.Random(6)
+    for _ in range(60):
+        texts = [" ".join(f"w{rng.randint(0, 90)}" for _ in range(12)).encode() for _ in range(3)] + ["x\ue000y \ue000 z".encode(), b""]
+        assert words.encode(texts) == [words.packed(t) for t in texts]
+
+
 # ------------------------------------------------------------------ 12
 
 
