@@ -8,8 +8,8 @@ with the text's at the place found, so a text that one of the two doesn't give b
 for byte is recognised, and has no tokens.
 
 Both vocabularies split a text before a space that follows a word (for B this is read off its
-pieces; white space that some piece joins to a word doesn't count), so a text is cut there into chunks,
-and every distinct chunk is aligned once a worker. A text with a chunk that does not come back is
+pieces; white space that some piece joins to a word doesn't count) and between a letter and a mark
+or digit after it, so a text is cut there into chunks, and every distinct chunk is aligned once a worker. A text with a chunk that does not come back is
 aligned again as a whole, and one whole text of each batch is compared with its chunks.
 
 Links are counted over the corpus in two steps. Tasks count their own pairs of ids, a shuffle adds the counts
@@ -43,9 +43,11 @@ from cortexloom.plans.scratch import Scratch
 WHITE = "\t-\r \x85\xa0  -     　"
 #: A pair of ids is common from one link in so many on; at most so many pairs are.
 SHARE = 1 << 20
-#: Distinct chunks that a worker remembers; when full it starts anew, which costs time only.
-REMEMBERED = 250_000
-_PIECE = 4 << 20
+#: Letters, and what may follow a word without a space: a cut between the two is one for A, and for B unless a piece holds both.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
+#: Distinct chunks in each of the two halves of a worker's memory; when one is full the older one goes, which costs time only.
+REMEMBERED = 100_000
+_PIECE = 1 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -81,9 +83,11 @@ class Aligner:
         self.size_b = len(names)
         self.b_bytes = [bytes([int(m[1], 16)]) if sp.is_byte(i) and (m := _BYTE.fullmatch(n)) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.b_byte = [sp.is_byte(i) for i in range(self.size_b)]
-        self.chunks = re.compile(self._pattern([n.replace("▁", " ") for n in names]))
+        self.chunks = re.compile(self._pattern([n.replace("▁", " ") for i, n in enumerate(names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]))
+        self.white = re.compile(f"[{WHITE}]")
         self.word = re.compile(f"[{WHITE}]+[^{WHITE}▁]+")
         self.known: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
 
     @staticmethod
     def _pattern(names: list[str]) -> str:
@@ -94,7 +98,10 @@ class Aligner:
             return r"(?s).+"
         joined = "".join(f"\\u{ord(c):04x}" for c in sorted(inside))
         more = f"(?:[{joined}][{WHITE}]*[^{WHITE}]*)*" if joined else ""
-        return f"[{WHITE}]*[^{WHITE}]+{more}|[{WHITE}]+"
+        whole = f"[{WHITE}]*[^{WHITE}]+{more}|[{WHITE}]+"
+        if any(re.search(f"[{LETTERS}][{MARKS}]", n) for n in names):
+            return whole
+        return f"[{WHITE}]*+[^{WHITE}{LETTERS}]*+[{LETTERS}]++(?=[{MARKS}])|{whole}"
 
     def tokens_a(self, text: str, own: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, where they end in the bytes of ``text``) by A."""
@@ -107,12 +114,16 @@ class Aligner:
         return None if ends is None else (np.array(ids), ends)
 
     def tokens_b(self, text: str, own: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """The same by B, which puts a space in front: the one that ``text`` begins with, or one that is no part of it."""
-        found, shift = list(self.b.encode(text.removeprefix(" "), return_type="proto").pieces), 1
-        if text[0] != " ":
-            if not found or found[0].piece != "▁":
+        """The same by B, which puts a space in front: the one that ``text`` begins with, or one that is no part of it. A mark that begins a text follows a letter, as in its document."""
+        ahead = 1 if text[0] == " " else 0 if self.white.match(text) else -1
+        found = self.b.encode(text[1:] if ahead == 1 else text if ahead == 0 else "a" + text, return_type="proto").pieces
+        extra = 0
+        if ahead < 1:
+            while extra < len(found) and found[extra].end <= -ahead and found[extra].piece.strip("▁a") == "":
+                extra += 1
+            if not extra or found[extra - 1].end != -ahead:
                 return None
-            found, shift = found[1:], 0
+        found, shift = found[extra:], ahead
         ids = [p.id for p in found]
         cuts = np.array([-1 if self.b_byte[p.id] else p.end + shift for p in found], np.int64)
         ends = placed(cuts, [self.b_bytes[i] for i in ids], own)
@@ -143,6 +154,10 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Align new chunks: those that are white space and a word many at a time, as one text, the others one by one."""
+        if len(self.known) + len(chunks) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known.update({c: self.older[c] for c in chunks if c in self.older})
+        chunks = [c for c in chunks if c not in self.older]
         joins = [c for c in chunks if self.word.fullmatch(c)]
         for at in range(0, len(joins), 512):
             some = joins[at : at + 512]
@@ -155,20 +170,21 @@ class Aligner:
     def documents(self, texts: list[str]) -> list[tuple[int, int, int, bytes, bytes] | None]:
         """The same for whole texts, of which A gets a space in front as B does; None for empty ones too."""
         split = [self.chunks.findall(" " + t) if t else [] for t in texts]
-        new = list({c for cs in split for c in cs if c not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({c for cs in split for c in cs})
-        self.learn(new)
+        self.learn(list({c for cs in split for c in cs if c not in self.known}))
+        known, older = self.known, self.older
         out: list[tuple[int, int, int, bytes, bytes] | None] = []
         for t, cs in zip(texts, split):
-            got = [self.known[c] for c in cs]
+            try:
+                got = [known[c] for c in cs]
+            except KeyError:  # the memory was turned over in between
+                got = [known[c] if c in known else older[c] for c in cs]
             if None in got:  # only the whole text can tell
                 out.append((self.align(" " + t) or [None])[0])
             elif not got:
                 out.append(None)
             else:
-                out.append((sum([g[0] for g in got]), sum([g[1] for g in got]), sum([g[2] for g in got]), b";".join([g[3] for g in got]), b"".join([g[4] for g in got])))
+                a, b, n, groups, links = zip(*got)
+                out.append((sum(a), sum(b), sum(n), b";".join(groups), b"".join(links)))
         i = min((k for k in range(len(texts)) if texts[k]), key=lambda k: (len(texts[k]) > 1 << 16, k), default=None)
         if i is not None and len(texts[i]) <= 1 << 20 and (self.align(" " + texts[i]) or [None])[0] != out[i]:
             raise ValueError("these vocabularies do not split a text at its spaces")
