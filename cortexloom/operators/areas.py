@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cortexloom.operators import matrix
+from cortexloom.operators import fit, matrix
 from cortexloom.operators.params import AreaParams
 
 
@@ -66,69 +66,66 @@ def projection(bc: DataFrame, area_vol: DataFrame, roi_main: DataFrame, cortical
     return matrix.scale_rows(got, count, p.scale, "strength")
 
 
-def _lasso(profiles: np.ndarray, design: np.ndarray, alpha: float, rounds: int, tol: float) -> np.ndarray:
-    """Non-negative coefficients for every row of ``profiles``: min |y - A w|^2 / (2 n) + alpha |w|, all rows at once."""
-    n = design.shape[0]
-    gram, right = design.T @ design / n, profiles @ design / n
-    w = np.zeros((len(profiles), design.shape[1]))
-    for _ in range(rounds):
-        moved = 0.0
-        for j in range(design.shape[1]):
-            if gram[j, j] > 0:
-                new = np.maximum(0.0, (right[:, j] - w @ gram[:, j] + w[:, j] * gram[j, j] - alpha) / gram[j, j])
-                moved = max(moved, float(np.abs(new - w[:, j]).max(initial=0.0)))
-                w[:, j] = new
-        if moved < tol:
-            break
-    return w
-
-
-def _logistic(profiles: np.ndarray, design: np.ndarray, c: float, rounds: int, rate_tol: float) -> np.ndarray:
-    """L1-penalised logistic coefficients (with intercept) of presence on the design, negatives cut to 0, by proximal gradient."""
-    a = np.hstack([design, np.ones((len(design), 1))])
-    y = (profiles > 0).astype(float)
-    step = 4.0 / max(1e-12, np.linalg.norm(a, 2) ** 2)
-    w = np.zeros((len(y), a.shape[1]))
-    for _ in range(rounds):
-        g = (1 / (1 + np.exp(-np.clip(w @ a.T, -50, 50))) - y) @ a
-        new = w - step * g
-        new[:, :-1] = np.sign(new[:, :-1]) * np.maximum(0.0, np.abs(new[:, :-1]) - step / c)
-        done = np.abs(new - w).max(initial=0.0) < rate_tol
-        w = new
-        if done:
-            break
-    return np.maximum(0.0, w[:, :-1])
-
-
-def homog_across_area(bc: DataFrame, area_vol: DataFrame, alpha: float = 1.0, binary: bool = False, rounds: int = 1000, tol: float = 1e-10) -> DataFrame:
-    """(barcode, area, coefficient): each barcode's sample profile fitted on the sample x area volumes.
-
-    Non-negative Lasso without intercept, or L1 logistic regression of presence. The design (samples
-    x areas of one brain) is small and goes to the tasks; barcodes are fitted in Arrow batches.
+def _profiles(bc: DataFrame, samples: list[int]) -> DataFrame:
+    """(barcode, y): each barcode's values over ``samples``, absent ones as 0; barcodes without any of them are not there."""
+    profile = F.transform(F.array(*[F.lit(s) for s in samples]).cast("array<int>"), lambda s: F.coalesce(F.try_element_at("cells", s), F.lit(0.0)))
+    cells = bc.where(F.col("sample").isin(samples) & (F.col("value") != 0)).select("barcode", F.col("sample").cast("int").alias("sample"), F.col("value").cast("double").alias("value"))
+    return cells.groupBy("barcode").agg(F.map_from_entries(F.collect_list(F.struct("sample", "value"))).alias("cells")).select("barcode", profile.alias("y"))
+
+
+def homog_across_area(bc: DataFrame, area_vol: DataFrame, alpha: float = 1.0, binary: bool = False, c: float = 1.0, signed: bool = False) -> DataFrame:
+    """(barcode, area, coefficient): each barcode's sample profile fitted on the sample x area volumes, without an intercept.
+
+    A non-negative Lasso of the profile over its sum, or an L1 logistic regression of presence, whose negative
+    coefficients become 0 and whose rows are scaled to 0..1 (not with ``signed``). Every fit is certified by its duality gap;
+    one that stays open is an ArithmeticError. Zero coefficients have no row. The design (samples x
+    areas of one brain) is small and goes to the tasks; barcodes are fitted in Arrow batches.
     """
     vol = area_vol.toPandas().pivot(index="roi", columns="area", values="vol").fillna(0.0).sort_index()
     vol = vol[sorted(vol.columns)]
-    samples, areas = [int(s) for s in vol.index], list(vol.columns)
-    scale = float(np.abs(vol.to_numpy()).max(initial=0.0)) or 1.0
-    design = vol.to_numpy() / scale if binary else vol.to_numpy()
-    profile = F.transform(F.array(*[F.lit(s) for s in samples]), lambda s: F.coalesce(F.try_element_at("cells", s), F.lit(0.0)))
-    rows = bc.where(F.col("sample").isin(samples)).groupBy("barcode").agg(F.map_from_entries(F.collect_list(F.struct("sample", "value"))).alias("cells")).select("barcode", profile.alias("y"))
+    samples, areas, design = [int(s) for s in vol.index], list(vol.columns), vol.to_numpy(float)
+    kind = dict(bc.dtypes)["barcode"]
 
-    def fit(batches):
+    def run(batches):
         for pdf in batches:
             y = np.array(pdf["y"].tolist(), float).reshape(len(pdf), len(samples))
             if binary:
-                w = _logistic(y, design, scale, rounds, tol)  # penalty 1 on coefficients of the unscaled volumes
-                span = w.max(axis=1, keepdims=True) - w.min(axis=1, keepdims=True)
-                w = np.divide(w - w.min(axis=1, keepdims=True), span, out=np.zeros_like(w), where=span > 0)
+                w = fit.l1_logistic(y > 0, design, c)
+                if not signed:
+                    w = np.maximum(0.0, w)
+                    low = w.min(axis=1, keepdims=True, initial=np.inf)
+                    span = w.max(axis=1, keepdims=True, initial=0.0) - low
+                    w = np.divide(w - low, span, out=np.zeros_like(w), where=span > 0)
             else:
-                y = y / np.maximum(y.sum(axis=1, keepdims=True), 1e-300)
-                w = _lasso(y, design, alpha, rounds, tol)
+                w = fit.nonnegative_lasso(y / np.maximum(y.sum(axis=1, keepdims=True), 1e-300), design, alpha)
             b, a = np.nonzero(w)
             yield pd.DataFrame({"barcode": pdf["barcode"].to_numpy()[b], "area": np.array(areas, object)[a] if areas else [], "coefficient": w[b, a]})
 
-    kind = dict(bc.dtypes)["barcode"]
-    return rows.mapInPandas(fit, f"barcode {kind}, area string, coefficient double")
+    return _profiles(bc, samples).mapInPandas(run, f"barcode {kind}, area string, coefficient double")
+
+
+def fit_conditions(bc: DataFrame, area_vol: DataFrame, coefficients: DataFrame, alpha: float = 1.0, binary: bool = False, c: float = 1.0, tol: float = 1e-6) -> DataFrame:
+    """(barcode, worst, optimal): how far the given coefficients are from the optimality conditions of ``homog_across_area``, in shares of the penalty.
+
+    A coefficient that is not 0 must have the loss' slope at minus the penalty (times its sign), one that is 0 must
+    have it between (for the Lasso: above minus the penalty). A relational check that knows nothing of the solver.
+    """
+    vol = area_vol.select(F.col("roi").cast("int").alias("sample"), "area", "vol")
+    samples = [r[0] for r in vol.select("sample").distinct().orderBy("sample").collect()]  # of one brain
+    fitted = coefficients.join(F.broadcast(vol), "area").groupBy("barcode", "sample").agg(F.sum(F.col("vol") * F.col("coefficient")).alias("u"))
+    rows = _profiles(bc, samples).withColumn("total", F.aggregate("y", F.lit(0.0), lambda a, x: a + x))
+    cell = F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in samples]).alias("sample"), F.col("y").alias("y")))
+    cells = rows.select("barcode", "total", cell.alias("e")).select("barcode", "total", F.col("e.sample").alias("sample"), F.col("e.y").alias("y"))
+    cells = cells.join(fitted, ["barcode", "sample"], "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
+    present = (F.col("y") > 0).cast("double")
+    slope = 1 / (1 + F.exp(-F.col("u"))) - present if binary else (F.col("u") - F.col("y") / F.col("total")) / len(samples)
+    penalty = 1 / c if binary else alpha
+    g = cells.withColumn("v", slope).join(F.broadcast(vol), "sample").groupBy("barcode", "area").agg(F.sum(F.col("v") * F.col("vol")).alias("g"))
+    g = g.join(coefficients, ["barcode", "area"], "left").withColumn("w", F.coalesce("coefficient", F.lit(0.0)))
+    zero = F.greatest(F.lit(0.0), F.abs("g") - penalty) if binary else F.greatest(F.lit(0.0), -F.col("g") - penalty)
+    off = F.when(F.col("w") == 0, zero).otherwise(F.abs(F.col("g") + F.signum("w") * penalty)) + F.when(F.lit(not binary) & (F.col("w") < 0), F.lit(float("inf"))).otherwise(0.0)
+    worst = g.groupBy("barcode").agg((F.max(off) / penalty).alias("worst"))
+    return worst.withColumn("optimal", F.col("worst") <= tol)
 
 
 def select_visual_areas(projection: DataFrame, token: str = "VIS", dropped: tuple[str, ...] = ("VISC",)) -> DataFrame:

@@ -239,12 +239,27 @@ def q_area_is_main(s, d):
     return _projected(s, d, True, p=AreaParams(**{**P.__dict__, "scale": "minmax"})).select("barcode", "area", R9("strength"))
 
 
+def _cortical(s, d):
+    return matrix.keep_samples(_m(s, d), CORTICAL), _vol(s, d).where(F.col("roi").isin(CORTICAL))
+
+
 def q_homog_across_area(s, d):
-    return areas.homog_across_area(matrix.keep_samples(_m(s, d), CORTICAL), _vol(s, d).where(F.col("roi").isin(CORTICAL)))
+    return areas.homog_across_area(*_cortical(s, d))
 
 
 def q_homog_across_area_binary(s, d):
-    return areas.homog_across_area(matrix.keep_samples(_m(s, d), CORTICAL), _vol(s, d).where(F.col("roi").isin(CORTICAL)), binary=True)
+    return areas.homog_across_area(*_cortical(s, d), binary=True)
+
+
+def q_homog_across_area_conditions(s, d):
+    """Whether each barcode's coefficients are optimal; worked out from the coefficients by joins."""
+    bc, vol = _cortical(s, d)
+    return areas.fit_conditions(bc, vol, areas.homog_across_area(bc, vol)).select("barcode", "optimal")
+
+
+def q_homog_across_area_binary_conditions(s, d):
+    bc, vol = _cortical(s, d)
+    return areas.fit_conditions(bc, vol, areas.homog_across_area(bc, vol, binary=True, signed=True), binary=True).select("barcode", "optimal")
 
 
 def q_co_projection(s, d):
@@ -443,6 +458,7 @@ SQL = {
     "spike_factor": f"{_SP} SELECT sample, total, round(factor, 9) AS factor FROM fac",
     "spike_normalise": f"{_SP} SELECT barcode, sample, round(value / factor, 9) AS value FROM m JOIN fac USING (sample) WHERE barcode % 20 <> 0",
     "negative_control": f"{_M} SELECT value, count(*) AS n FROM m WHERE sample = 12 AND value > 0 GROUP BY 1",
+    **{f"homog_across_area{kind}_conditions": f"{_M} SELECT DISTINCT barcode, true AS optimal FROM m WHERE sample <= 8" for kind in ("", "_binary")},
     "rank_abundance": f"{_M} SELECT barcode, sum(value) AS total, row_number() OVER (ORDER BY sum(value) DESC, barcode) AS rank FROM m GROUP BY 1",
     "rename_tubes": f"{_M} SELECT barcode, sample, sum(value) AS value FROM (SELECT barcode, CAST(CASE tube WHEN 2 THEN 1 WHEN 6 THEN 5 ELSE tube END AS INTEGER) AS sample, value FROM m JOIN (SELECT n_nationkey AS s, (n_nationkey * 7) % 11 AS tube FROM nation WHERE n_nationkey BETWEEN 1 AND 11) ON s = sample WHERE tube <> 0) WHERE sample <> 9 GROUP BY 1, 2",
     "adjacent_samples": f"WITH {_V}, {_ADJ} SELECT * FROM adj",
