@@ -27,7 +27,9 @@ white space is refused with ValueError when a text shows it.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import operator
 import os
 from collections.abc import Iterator
 
@@ -43,10 +45,14 @@ from cortexloom.plans.scratch import Scratch
 BUCKETS, DIMS, BITS, SPLIT = 256, 4, 8, 20
 #: Tokens that a range should hold, and the most ranges there are.
 RANGE_TOKENS, MAX_RANGES = 1 << 23, 50_000
+#: Quantiles of rows that a range is put together from.
+FINE = 16
 #: Distinct words in each of the two halves of a worker's memory; when one is full the older one goes, which costs time only.
 REMEMBERED = 400_000
 #: What stands between words that are encoded as one text: a character for private use.
 EDGE = "\ue000"
+#: What a word may end in that a letter is never joined to.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _PIECE = 4 << 20
 
 
@@ -74,7 +80,9 @@ class Words:
         self.kind = "<u2" if max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.mark = self._ids(EDGE)
+        self.places = hashed(np.arange(1 + max(self.library.get_vocab(with_added_tokens=True).values(), default=0)))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -83,13 +91,25 @@ class Words:
         return self._ids(text.decode()).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        """Words many at a time, as one text with a mark between them that no word holds and whose ids only it can have."""
+        """Words many at a time, as one text with a mark between them that no word holds and whose ids only it can have.
+
+        A word that ends in marks after a letter has the ids of the two, so ``word,`` needs nothing once ``word`` is known.
+        """
         if len(self.known) + len(new) > REMEMBERED:  # words that come again are taken back from the older half
             self.older, self.known = self.known, {}
-        known, older, mark = self.known, self.older, self.mark
+        known, older = self.known, self.older
         again = [w for w in new if w in older]
         known.update(zip(again, [older[w] for w in again]))
         new = [w for w in new if w not in older]
+        cut = {w: len(w.rstrip(MARKS)) for w in new}
+        cut = {w: n for w, n in cut.items() if 0 < n < len(w) and w[:n].decode()[-1].isalpha() and not any(t in w for t in self.added)}
+        parts = {p for w, n in cut.items() for p in (w[:n], w[n:])}
+        parts.update([w for w in new if w not in cut])
+        self._ask([p for p in parts if p not in known])
+        known.update({w: known[w[:n]] + known[w[n:]] for w, n in cut.items()})
+
+    def _ask(self, new: list[bytes]) -> None:
+        known, mark = self.known, self.mark
         for at in range(0, len(new), 1024):
             some = new[at : at + 1024]
             text = f" {EDGE} ".join([w.decode() for w in some])
@@ -109,10 +129,16 @@ class Words:
         found = [list(map(get, words)) for words in split]
         lack = [i for i, got in enumerate(found) if None in got]
         if lack:
-            self._learn(list({w for i in lack for w, got in zip(split[i], found[i]) if got is None}))
+            new: set[bytes] = set()
+            for i in lack:
+                new.update(itertools.compress(split[i], map(operator.not_, found[i])))
+            self._learn(list(new))
             known, older = self.known, self.older
             for i in lack:
-                found[i] = [got if got is not None else known[w] if w in known else older[w] for w, got in zip(split[i], found[i])]
+                try:
+                    found[i] = list(map(known.__getitem__, split[i]))
+                except KeyError:  # the memory was turned over in between
+                    found[i] = [known[w] if w in known else older[w] for w in split[i]]
         out = list(map(b"".join, found))
         i = min(range(len(texts)), key=lambda k: (len(texts[k]) > 1 << 16, len(texts[k]) == 0, k), default=None)
         if i is not None and len(texts[i]) <= 1 << 20 and out[i] != self.packed(texts[i]):
@@ -142,10 +168,14 @@ def vocabulary_text(path: str | None = None) -> str:
         return f.read()
 
 
-def projected(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The projections of documents whose ids lie one after the other, as integers of about 16 bits."""
+def hashed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(component, sign) of the hashed vector that each id counts in."""
     h = _mixed(ids)
-    bucket, sign = (h % np.uint64(BUCKETS)).astype(np.int64), 1 - 2 * (h >> np.uint64(63)).astype(np.int64)
+    return (h % np.uint64(BUCKETS)).astype(np.int64), 1 - 2 * (h >> np.uint64(63)).astype(np.int64)
+
+
+def projected(bucket: np.ndarray, sign: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The projections of documents whose ids' components and signs lie one after the other, as integers of about 16 bits."""
     out = np.zeros((len(sizes), DIMS), np.int64)
     ends = np.cumsum(sizes)
     for at in range(0, len(sizes), 1024):  # a block's vectors are BUCKETS numbers a document
@@ -191,7 +221,8 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
         for b in pieces(batches, _PIECE):
             packed = [x + end for x in words.encode([t or b"" for t in raw(b.column(1))])]
             sizes = np.array([len(x) // size for x in packed], np.int64)
-            p = projected(np.frombuffer(b"".join(packed), words.kind), sizes)
+            ids = np.minimum(np.frombuffer(b"".join(packed), words.kind), len(words.places[0]) - 1)
+            p = projected(words.places[0][ids], words.places[1][ids], sizes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(packed, pa.binary()), *[pa.array(c) for c in p.T]], ["id", "n", "ids", *[f"p{i}" for i in range(DIMS)]])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -276,10 +307,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096,
     deviation = [max(1, math.isqrt(max(0, int(q or 0) // max(1, count) - m * m))) for q, m in zip(sums[2 + DIMS :], mean)]
     ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / RANGE_TOKENS)))
     places = _ordered(rows, mean, deviation, [], ["n"])
-    at = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(places.agg(F.percentile_approx("place", at, max(10_000, 20 * ranges))).first()[0] or [])) if at else []
-    totals = dict(_ordered(rows, mean, deviation, bounds, ["n"]).groupBy("range").agg(F.sum("n")).collect())  # a row of each range
-    first = np.cumsum([0] + [totals.get(r, 0) for r in range(len(bounds))]).tolist()
+    fine = min(MAX_RANGES, FINE * ranges)  # quantiles of rows, put together to ranges of about as many tokens
+    at = [i / fine for i in range(1, fine)]
+    bounds = sorted(set(places.agg(F.percentile_approx("place", at, max(10_000, 10 * fine))).first()[0] or [])) if at else []
+    totals = dict(_ordered(rows, mean, deviation, bounds, ["n"]).groupBy("range").agg(F.sum("n")).collect())  # a row of each quantile
+    start = np.cumsum([0] + [totals.get(r, 0) for r in range(len(bounds))])
+    head = np.flatnonzero(np.diff(start * ranges // max(1, total), prepend=-1))
+    first, bounds = start[head].tolist(), [bounds[h - 1] for h in head[1:]]
     dealt = _ordered(rows, mean, deviation, bounds, ["id", "row", "n", "ids"]).repartitionById(len(bounds) + 1, F.col("range"))
     dealt = dealt.sortWithinPartitions("range", "place", "id", "row").select("range", "id", "n", "ids")
     out = dealt.mapInArrow(_pieces(first, total, length), "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
