@@ -31,6 +31,7 @@ import itertools
 import math
 import operator
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +69,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 PROJECTION = 1 - 2 * (_mixed(np.arange(1, 1 + BUCKETS * DIMS)) & np.uint64(1)).astype(np.int64).reshape(BUCKETS, DIMS)
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether the last character is a letter in composed lower case too (some become a letter and a mark)."""
+    return word[-1:].isalpha() or word[-1] > 127 and unicodedata.normalize("NFC", word.decode()[-1]).lower()[-1].isalpha()
+
+
 class Words:
     """A vocabulary of the tokenizers library, given as its JSON text, with the words met so far."""
 
@@ -102,7 +108,7 @@ class Words:
         known.update(zip(again, [older[w] for w in again]))
         new = [w for w in new if w not in older]
         cut = {w: len(w.rstrip(MARKS)) for w in new}
-        cut = {w: n for w, n in cut.items() if 0 < n < len(w) and w[:n].decode()[-1].isalpha() and not any(t in w for t in self.added)}
+        cut = {w: n for w, n in cut.items() if 0 < n < len(w) and _ends_in_letter(w[:n]) and not any(t in w for t in self.added)}
         parts = {p for w, n in cut.items() for p in (w[:n], w[n:])}
         parts.update([w for w in new if w not in cut])
         self._ask([p for p in parts if p not in known])

@@ -27,7 +27,7 @@ ODD = [
     (24, " ", "en", "a", 1),
     (25, "\n", "en", "a", 1),
 ]
-BITS = ["a", "Z", "word", "don't", " ", "  ", "\n", "\r", "\t", "\r\n", "\xa0", " ", "é", "é", "日本", "龘", "🙂", "👩‍👩", "\x00", "\x1c", "\x85", "▁", "<0x41>", "<|endoftext|>", "<s>", ";", "}", "12", "_", "'s", "​", "ﬁ", "�"]
+BITS = ["a", "Z", "word", "don't", " ", "  ", "\n", "\r", "\t", "\r\n", "\xa0", " ", "é", "é", "日本", "龘", "🙂", "👩‍👩", "\x00", "\x1c", "\x85", "▁", "<0x41>", "<|endoftext|>", "<s>", ";", "}", "12", "_", "'s", "​", "ﬁ", "�", "İ", "Σ", "!", ".", "क़"]
 
 
 @pytest.fixture(scope="module")
