@@ -297,12 +297,12 @@ def q_curveball_margins(s, d):
 
 def q_null_statistics(s, d):
     common = atlas.common_areas(_area_samples(s, d).select("mouse", "area").distinct(), 3)
-    return null.generate_null(_brains(s, d), _area_samples(s, d), common, replicates=8)
+    return null.generate_null(_brains(s, d), _area_samples(s, d), common, replicates=8).withColumn("value", F.round("value", 8))
 
 
 def q_null_statistics_by_mouse(s, d):
     common = atlas.common_areas(_area_samples(s, d).select("mouse", "area").distinct(), 3)
-    return null.generate_null(_brains(s, d), _area_samples(s, d), common, replicates=8, by_mouse=True)
+    return null.generate_null(_brains(s, d), _area_samples(s, d), common, replicates=8, by_mouse=True).withColumn("value", F.round("value", 8))
 
 
 def q_delaunay_triangles(s, d):
@@ -413,6 +413,62 @@ pr AS (SELECT barcode, area, raw, coalesce(({top}) / nullif(hi - lo, 0), 0) AS s
 
 
 _CO = f"{_proj(_AVT)}, c AS (SELECT a.area AS area_a, b.area AS area_b, count(*) AS n FROM pr a JOIN pr b USING (barcode) GROUP BY 1, 2), pb AS (SELECT c.area_a, c.area_b, c.n / o.n AS p FROM c JOIN c o ON o.area_a = c.area_a AND o.area_b = c.area_a)"
+_PRIME = null.PRIME
+
+
+def _mixed(x: str) -> str:
+    """The operator's mixing step on a name or expression below the prime."""
+    return f"(({x} * {x} % {_PRIME}) * ({x} * {x} % {_PRIME}) % {_PRIME} * {x} + {null.PLUS}) % {_PRIME}"
+
+
+_HASH = f"CAST('0x' || substr(md5({{}}), 1, 13) AS BIGINT) % {_PRIME}"
+
+
+def _superstep(t: int) -> str:
+    """CTEs from t{t} to t{t + 1}(mouse, replicate, barcode, k): pairs of neighbours in the hashed order deal what they do not share."""
+    by = "mouse, replicate, cell, pair"
+    return f"""
+h{t} AS (SELECT mouse, replicate, barcode, code, n, (code + {_HASH.format(f"'1|' || mouse || '|' || replicate || '|{t}'")}) % {_PRIME} AS x FROM bar JOIN cnt USING (mouse), reps),
+g{t} AS (SELECT * EXCLUDE (x), {_mixed("x")} AS x FROM h{t}),
+o{t} AS (SELECT * EXCLUDE (x), {_mixed("x")} AS place FROM g{t}),
+r{t} AS (SELECT *, row_number() OVER (PARTITION BY mouse, replicate, cell ORDER BY place, code, barcode) - 1 AS rk FROM (SELECT *, place // ({_PRIME} // greatest(1, n // {null.CELL}) + 1) AS cell FROM o{t})),
+q{t} AS MATERIALIZED (SELECT mouse, replicate, barcode, cell, pair, rk % 2 AS side, first_value(place) OVER (PARTITION BY {by} ORDER BY rk) AS p0, count(*) OVER (PARTITION BY {by}) AS size FROM (SELECT *, rk // 2 AS pair FROM r{t})),
+x{t} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {by}, k) AS seen, {_mixed("p0")} AS y FROM t{t} JOIN q{t} USING (mouse, replicate, barcode)),
+y{t} AS (SELECT *, (y + k) % {_PRIME} AS z FROM x{t} WHERE size = 2 AND seen = 1),
+z{t} AS (SELECT *, {_mixed("z")} AS deal FROM y{t}),
+l{t} AS (SELECT {by}, k, CASE WHEN row_number() OVER (PARTITION BY {by} ORDER BY deal2, k) <= count(*) FILTER (side = 0) OVER (PARTITION BY {by}) THEN 0 ELSE 1 END AS side FROM (SELECT *, {_mixed("deal")} AS deal2 FROM z{t})),
+t{t + 1} AS MATERIALIZED (SELECT mouse, replicate, barcode, k FROM x{t} WHERE size = 1 OR seen = 2 UNION ALL SELECT mouse, replicate, barcode, k FROM l{t} JOIN q{t} USING (mouse, replicate, cell, pair, side))"""
+
+
+def _shuffled(top: str, replicates: int) -> str:
+    """CTEs ending in ``shuf``(mouse, replicate, barcode, sample), after ``r`` and ``hs`` of the matrix."""
+    return f"""{top}, br AS (SELECT barcode % 3 AS mouse, barcode, sample FROM m WHERE barcode IN (SELECT barcode FROM hs WHERE second >= 10 AND log10(highest / second) > log10(5.0)) AND sample <= 8 AND value <> 0),
+bar AS MATERIALIZED (SELECT mouse, barcode, {_HASH.format("CAST(barcode AS VARCHAR)")} AS code FROM (SELECT DISTINCT mouse, barcode FROM br)),
+cnt AS (SELECT mouse, count(*) AS n FROM bar GROUP BY 1),
+smp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mouse ORDER BY sample) AS k FROM (SELECT DISTINCT mouse, sample FROM br)),
+reps AS (SELECT range AS replicate FROM range({replicates})),
+t0 AS MATERIALIZED (SELECT mouse, replicate, barcode, k FROM br JOIN smp USING (mouse, sample), reps),
+{",".join(_superstep(t) for t in range(null.STEPS))},
+shuf AS MATERIALIZED (SELECT mouse, replicate, barcode, sample FROM t{null.STEPS} JOIN smp USING (mouse, k))"""
+
+
+def _null_sql(mouse: str) -> str:
+    """Statistics of the shuffled populations; ``mouse``: what the mice are summed to."""
+    return f"""{_shuffled(f"{_proj(_AVT)}, rr AS (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY value DESC, sample) AS k FROM m), hs AS (SELECT barcode, max(value) FILTER (k = 1) AS highest, coalesce(max(value) FILTER (k = 2), 0) AS second FROM rr GROUP BY 1)", 8)},
+ba AS (SELECT DISTINCT mouse, replicate, barcode, area FROM shuf JOIN w USING (sample)),
+c AS MATERIALIZED (SELECT {mouse} AS mouse, replicate, a.area AS area_a, b.area AS area_b, CAST(count(*) AS DOUBLE) AS n FROM ba a JOIN ba b USING (mouse, replicate, barcode) GROUP BY 1, 2, 3, 4),
+pb AS MATERIALIZED (SELECT c.mouse, c.replicate, c.area_a, c.area_b, c.n / o.n AS p FROM c JOIN c o ON o.mouse = c.mouse AND o.replicate = c.replicate AND o.area_a = c.area_a AND o.area_b = c.area_a),
+ar AS (SELECT DISTINCT mouse, replicate, area_a AS a FROM pb),
+pp AS (SELECT x.mouse, x.replicate, x.a AS a, y.a AS b FROM ar x JOIN ar y ON x.mouse = y.mouse AND x.replicate = y.replicate AND x.a < y.a),
+v AS (SELECT pp.*, k.a AS k, coalesce(p.p, 0) AS p, coalesce(q.p, 0) AS q FROM pp JOIN ar k ON k.mouse = pp.mouse AND k.replicate = pp.replicate AND k.a <> pp.a AND k.a <> pp.b
+  LEFT JOIN pb p ON p.mouse = pp.mouse AND p.replicate = pp.replicate AND p.area_a = pp.a AND p.area_b = k.a LEFT JOIN pb q ON q.mouse = pp.mouse AND q.replicate = pp.replicate AND q.area_a = pp.b AND q.area_b = k.a),
+co AS (SELECT mouse, replicate, a, b, coalesce(sum(p * q) / nullif(sqrt(sum(p * p)) * sqrt(sum(q * q)), 0), 0) AS c FROM v GROUP BY 1, 2, 3, 4)
+SELECT mouse, replicate, 'co_projection' AS stat, area_a, area_b, n AS value FROM c WHERE area_a < area_b
+UNION ALL SELECT mouse, replicate, 'neurons', area_a, area_b, n FROM c WHERE area_a = area_b
+UNION ALL SELECT mouse, replicate, 'conditional_probability', area_a, area_b, round(p, 8) FROM pb WHERE area_a <> area_b
+UNION ALL SELECT pp.mouse, pp.replicate, 'cosine', pp.a, pp.b, round(coalesce(co.c, 0), 8) FROM pp LEFT JOIN co USING (mouse, replicate, a, b)"""
+
+
 _SEC = f"""sec AS ({duck(fixtures.SECTIONS_SQL)}),
 pts AS (SELECT section, 0 AS i, -0.1 * width AS tx, -0.1 * height AS ty, -0.1 * width AS sx, -0.1 * height AS sy FROM sec
   UNION ALL SELECT section, 1, 1.1 * width, -0.1 * height, 1.1 * width, -0.1 * height FROM sec UNION ALL SELECT section, 2, -0.1 * width, 1.1 * height, -0.1 * width, 1.1 * height FROM sec
@@ -501,9 +557,12 @@ SQL = {
     "section_names": f"WITH {_SEC} SELECT section, lpad(CAST(section AS VARCHAR), CAST(greatest(3, length(CAST(section AS VARCHAR))) AS INTEGER), '0') AS label, section AS sample FROM sec",
     "section_voxels": f"WITH {_WARP} SELECT section, px, py, CAST(round_even(round(xa, 4) / 25, 0) AS INTEGER) AS x, CAST(round_even(round(ya, 4) / 25, 0) AS INTEGER) AS y, CAST(round_even(round(za, 4) / 25, 0) AS INTEGER) AS z FROM warp",
     "list_literals": "SELECT n_nationkey, unnest(list_value(n_name, 'all')) AS name FROM nation",
+    "curveball_shuffle": f"{_shuffled(_TOP, 4)} SELECT mouse, replicate, barcode, sample FROM shuf",
+    "null_statistics": _null_sql("'all'"),
+    "null_statistics_by_mouse": _null_sql("CAST(mouse AS VARCHAR)"),
     "curveball_margins": f"{_TOP}, b AS (SELECT barcode % 3 AS mouse, barcode, sample FROM m WHERE barcode IN (SELECT barcode FROM hs WHERE second >= 10 AND log10(highest / second) > log10(5.0)) AND sample <= 8 AND value <> 0), x AS (SELECT mouse, 'barcode' AS side, CAST(barcode AS BIGINT) AS key FROM b UNION ALL SELECT mouse, 'sample', CAST(sample AS BIGINT) FROM b) SELECT mouse, replicate, side, key, count(*) AS n FROM x, range(4) AS r(replicate) GROUP BY 1, 2, 3, 4",
 }
 SQL["distance_decay"] = f"SELECT structure_id, round(2.0 * exp(-0.01 * d), 9) AS decay FROM ({SQL['area_centroid_distance'].replace(', 6) AS distance_um', ', 12) AS d')})"
 SQL["pair_labels"] = f"SELECT area_a || ', ' || area_b AS pair, cosine FROM ({SQL['cosine_similarity']})"
-NO_SQL = ["homog_across_area", "homog_across_area_binary", "curveball_shuffle", "null_statistics", "null_statistics_by_mouse"]
+NO_SQL = ["homog_across_area", "homog_across_area_binary"]
 QUERIES = {name: globals()[f"q_{name}"] for name in [*SQL, *NO_SQL]}
