@@ -221,7 +221,8 @@ def aligned(docs: DataFrame, a: str, b: bytes, id_col: str = "doc_id", text_col:
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's own counts of its pairs, batch by batch."""
-    for b in batches:
+    _ALIGNERS.clear()  # texts are done: what the worker remembers of them only fills its memory
+    for b in pieces(batches, _PIECE):
         pair, n = np.unique(b.column(0).flatten().to_numpy(), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
 
@@ -246,7 +247,7 @@ def link_statistics(rows: DataFrame, size_b: int, share: int = SHARE) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, ns, best = sent.value
-        for b in batches:
+        for b in pieces(batches, _PIECE):
             links = b.column(b.schema.get_field_index("links"))
             flat, sizes = links.flatten().to_numpy(), np.asarray(links.value_lengths())
             doc = np.repeat(np.arange(len(sizes)), sizes)
