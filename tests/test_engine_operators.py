@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cortexloom.functions import sequences
-from cortexloom.operators import areas, atlas, cluster, components, matrix, molecules, null, reads, stats
+from cortexloom.operators import areas, atlas, cluster, components, fit, matrix, molecules, null, reads, stats
 from cortexloom.operators.params import MoleculeParams, ReadParams
 from cortexloom.plans import brain, sequencing
 from cortexloom.sources import fastq, fixtures, sinks
@@ -183,21 +183,95 @@ def test_closing_contains_its_input(spark):
     assert set(block) <= filled and {(2, y, z) for y in (0, 1) for z in (0, 1)} <= filled
 
 
-def test_curveball_keeps_margins():
+def test_trades_keep_margins():
     rng = np.random.default_rng(0)
-    for shape in ((40, 7), (5, 30)):
-        m = (rng.random(shape) < 0.3).astype(np.int8)
-        s = null.shuffle_presence(m, 5)
-        assert (s.sum(0) == m.sum(0)).all() and (s.sum(1) == m.sum(1)).all() and (s != m).any()
-        assert (null.shuffle_presence(m, 5) == s).all()
-
-
-def test_lasso_meets_its_conditions(spark):
+    for shape in ((40, 7), (301, 30), (1, 5), (2, 3)):
+        m = rng.random(shape) < 0.3
+        code = rng.integers(0, null.PRIME, shape[0])
+        now = m
+        for step in range(10):
+            now = null.traded(now, code, null.step_key(5, "a", 0, step), shape[0])
+        assert (now.sum(0) == m.sum(0)).all() and (now.sum(1) == m.sum(1)).all()
+        assert shape[0] < 3 or (now != m).any()
+
+
+def sequential_curveball(m, rng, trades):
+    """The plain chain: two random lists of the shorter side keep what they share and deal the rest anew."""
+    flip = m.shape[0] > m.shape[1]
+    rows = [set(np.flatnonzero(r)) for r in (m.T if flip else m)]
+    for _ in range(trades * len(rows)):
+        i, j = rng.choice(len(rows), 2, replace=False)
+        shared, loose = rows[i] & rows[j], rng.permutation(sorted(rows[i] ^ rows[j])).tolist()
+        n = len(rows[i]) - len(shared)
+        rows[i], rows[j] = shared | set(loose[:n]), shared | set(loose[n:])
+    out = np.zeros((m.T if flip else m).shape, bool)
+    for i, r in enumerate(rows):
+        out[i, list(r)] = True
+    return out.T if flip else out
+
+
+def test_populations_are_distributed_as_the_sequential_chains():
+    rng = np.random.default_rng(11)
+    m = np.zeros((60, 6), bool)
+    m[:30, :3] = rng.random((30, 3)) < 0.7  # two blocks, which a shuffle must mix
+    m[30:, 3:] = rng.random((30, 3)) < 0.5
+    code, n, ours, plain = rng.integers(0, null.PRIME, 60), 1500, [], []
+    for r in range(n):
+        now = m
+        for step in range(null.STEPS):
+            now = null.traded(now, code, null.step_key(1, 0, r, step), 60)
+        ours.append(now.T.astype(int) @ now)
+        other = sequential_curveball(m, rng, 5)
+        plain.append(other.T.astype(int) @ other)
+    ours, plain = np.array(ours, float), np.array(plain, float)
+    off = ~np.eye(6, dtype=bool)
+    error = np.sqrt(ours.var(0) / n + plain.var(0) / n)
+    assert (np.abs(ours.mean(0) - plain.mean(0))[off] < 4.5 * error[off]).all()
+    ratio = ours.var(0)[off] / plain.var(0)[off]
+    assert (0.8 < ratio).all() and (ratio < 1.25).all()
+
+
+def test_fits_meet_their_conditions():
     rng = np.random.default_rng(1)
-    a, y = rng.random((8, 4)) * 50, rng.random((6, 8))
-    w = areas._lasso(y, a, 0.01, 5000, 1e-14)
-    grad = (w @ a.T - y) @ a / len(a) + 0.01
-    assert (w >= 0).all() and (np.abs(grad[w > 0]) < 1e-6).all() and (grad[w == 0] > -1e-6).all()
+    for n, k, scale in ((8, 4, 50.0), (8, 25, 2e7), (40, 12, 1e5), (5, 1, 1.0)):
+        a = rng.random((n, k)) * (rng.random((n, k)) < 0.5) * scale
+        if k > 3:
+            a[:, 1] = a[:, 0]  # equal areas
+        y = rng.random((30, n)) * (rng.random((30, n)) < 0.4)
+        y[0] = 0
+        y /= np.maximum(y.sum(axis=1, keepdims=True), 1e-300)
+        w = fit.nonnegative_lasso(y, a, 0.01)
+        grad = ((w @ a.T - y) @ a / n + 0.01) / 0.01
+        assert (w >= 0).all() and (np.abs(grad[w > 0]) < 1e-5).all() and (grad[w == 0] > -1e-5).all()
+        present = y > 0
+        w = fit.l1_logistic(present, a, 1.0)
+        with np.errstate(over="ignore"):
+            grad = (1 / (1 + np.exp(-w @ a.T)) - present) @ a
+        assert (np.abs(grad + np.sign(w))[w != 0] < 1e-4).all() and (np.abs(grad[w == 0]) < 1 + 1e-4).all()
+
+
+def test_logistic_fit_has_no_intercept(spark):
+    """All samples present: with an intercept no area would be needed; without one the only area gets a positive coefficient that solves n a p(-w a) = 1."""
+    bc = spark.createDataFrame([("b", s, 3.0) for s in (1, 2, 3)], "barcode string, sample int, value double")
+    vol = spark.createDataFrame([(s, "A", 10.0) for s in (1, 2, 3)], "roi int, area string, vol double")
+    (r,) = areas.homog_across_area(bc, vol, binary=True, signed=True).collect()
+    assert abs(r["coefficient"] - np.log(29) / 10) < 1e-9
+    assert [tuple(x) for x in areas.homog_across_area(bc, vol.unionAll(spark.createDataFrame([(1, "B", 0.0)], vol.schema)), binary=True).collect()] == [("b", "A", 1.0)]
+
+
+def test_open_fits_are_an_error():
+    with pytest.raises(ArithmeticError, match="open"):
+        fit.nonnegative(np.ones((3, 2)), np.array([[0.0, 1.0, 1.0]]), 1e-3, fit.Logistic, steps=1)
+
+
+def test_conditions_tell_wrong_coefficients(spark):
+    bc = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 1.0), ("b", 2, 2.0)], "barcode string, sample int, value double")
+    vol = spark.createDataFrame([(1, "A", 4.0), (2, "A", 1.0), (2, "B", 3.0)], "roi int, area string, vol double")
+    w = areas.homog_across_area(bc, vol, alpha=0.05)
+    assert {r["barcode"]: r["optimal"] for r in areas.fit_conditions(bc, vol, w, 0.05).collect()} == {"a": True, "b": True}
+    wrong = w.withColumn("coefficient", F.col("coefficient") * F.when(F.col("barcode") == "a", 1.01).otherwise(1.0))
+    assert {r["barcode"]: r["optimal"] for r in areas.fit_conditions(bc, vol, wrong, 0.05).collect()} == {"a": False, "b": True}
+    assert not any(r["optimal"] for r in areas.fit_conditions(bc, vol, w.limit(0), 0.05).collect())
 
 
 def test_statistics_bounds(spark):
@@ -216,29 +290,56 @@ def test_null_counts_equal_statistics_of_the_shuffles(spark):
     shuffled = null.curveball_shuffle(bc, 2)
     p = shuffled.join(links, ["mouse", "sample"]).select("mouse", "replicate", "barcode", "area").distinct().withColumn("strength", F.lit(1))
     direct = {tuple(r) for r in stats.co_occurrence(p, ["mouse", "replicate"]).select("mouse", "replicate", "area_a", "area_b", "n").collect()}
-    for limit in (10**9, 0):  # broadcast brains, and brains dealt by mouse and replicate
-        got = null.shuffled_counts(bc, links, 2, max_cells=limit).select("mouse", "replicate", "area_a", "area_b", "n").collect()
+    for bucket in (10**9, 128):  # whole brains in a task, and brains dealt to buckets at every superstep
+        got = null.shuffled_counts(bc, links, 2, bucket=bucket).select("mouse", "replicate", "area_a", "area_b", "n").collect()
         assert {tuple(r) for r in got} == direct
-    assert sorted(null.curveball_shuffle(bc, 2, max_cells=0).collect()) == sorted(shuffled.collect())
+    assert sorted(null.curveball_shuffle(bc, 2, bucket=128).collect()) == sorted(shuffled.collect())
 
 
-def test_null_blocks_keep_margins(spark, monkeypatch):
-    monkeypatch.setattr(null, "MAX_CELLS", 60)
+def test_large_brains_leave_no_block(spark):
     rng = np.random.default_rng(4)
-    cells = [(m, f"b{m}_{i}", int(s), 1.0) for m in (1, 2) for i in range(40) for s in rng.choice(8, int(rng.integers(1, 5)), replace=False)]
-    bc = spark.createDataFrame(cells, "mouse int, barcode string, sample int, value double")
-    links = spark.createDataFrame([(m, s, f"a{s % 3}", 1.0) for m in (1, 2) for s in range(8)], "mouse int, sample int, area string, weight double")
-    got = null.curveball_shuffle(bc, 3, max_cells=0).collect()
-    for r in range(3):
+    cells = [(m, f"b{m}_{i}", int(s), 1.0) for m in ("x", "y") for i in range(400) for s in rng.choice(8, int(rng.integers(1, 5)), replace=False)]
+    bc = spark.createDataFrame(cells, "mouse string, barcode string, sample int, value double")
+    links = spark.createDataFrame([(m, s, f"a{s % 3}", 1.0) for m in ("x", "y") for s in range(8)], "mouse string, sample int, area string, weight double")
+    got = null.curveball_shuffle(bc, 2, bucket=128).collect()
+    for r in range(2):
         mine = [x for x in got if x["replicate"] == r]
         assert len(mine) == len({(x["mouse"], x["barcode"], x["sample"]) for x in mine}) == len(cells)
         for key in (lambda x: (x["mouse"], x["barcode"]), lambda x: (x["mouse"], x["sample"])):
             want = collections.Counter(key(dict(zip(("mouse", "barcode", "sample"), c))) for c in cells)
             assert collections.Counter(map(key, mine)) == want
         assert {(x["mouse"], x["barcode"], x["sample"]) for x in mine} != {c[:3] for c in cells}
-    n = {(x["mouse"], x["replicate"], x["area_a"]): x["n"] for x in null.shuffled_counts(bc, links, 3, max_cells=0).where("area_a = area_b").collect()}
+    n = {(x["mouse"], x["replicate"], x["area_a"]): x["n"] for x in null.shuffled_counts(bc, links, 2, bucket=128).where("area_a = area_b").collect()}
     direct = {k: len({x["barcode"] for x in got if (x["mouse"], x["replicate"], f"a{x['sample'] % 3}") == k}) for k in n}
-    assert n == direct and len(n) == 18
+    assert n == direct and len(n) == 12
+    assert null.curveball_shuffle(bc, 0).count() == null.curveball_shuffle(bc.limit(0), 2).count() == 0
+
+
+def test_ledger_goes_on_where_it_was_cut_off(spark, tmp_path, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    bc, links = brain._brains(spark, sf), brain._area_samples(spark, sf)
+    common = links.select("area").distinct()
+    run = lambda: null.generate_null(bc, links, common, replicates=7, ledger=str(tmp_path / "book"), range_size=3)
+    real, made = null.shuffled_counts, []
+
+    def dies(bc, links, span, *more, **named):
+        made.append(span)
+        if span == (3, 6) and made.count(span) == 1:  # the executors of the second range are lost while it is written
+            fail = F.udf(lambda x: 1 // 0, "bigint")
+            return real(bc, links, span, *more, **named).withColumn("n", fail("n"))
+        return real(bc, links, span, *more, **named)
+
+    monkeypatch.setattr(null, "shuffled_counts", dies)
+    with pytest.raises(Exception, match="(?i)division"):
+        run()
+    first = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "book").rglob("part-*") if "000000000-" in str(f)}
+    assert first and made == [(0, 3), (3, 6)]
+    got = run()
+    assert made == [(0, 3), (3, 6), (3, 6), (6, 7)]
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "book").rglob("part-*") if "000000000-" in str(f)} == first
+    assert sorted(got.collect(), key=repr) == sorted(null.generate_null(bc, links, common, replicates=7).collect(), key=repr)
+    run()
+    assert len(made) == 5  # the run without a ledger above, and nothing again
 
 
 def test_entropy_and_at(spark):
