@@ -28,9 +28,11 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import math
 import operator
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -49,7 +51,7 @@ RANGE_TOKENS, MAX_RANGES = 1 << 23, 50_000
 #: Quantiles of rows that a range is put together from.
 FINE = 16
 #: Distinct words in each of the two halves of a worker's memory; when one is full the older one goes, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: What stands between words that are encoded as one text: a character for private use.
 EDGE = "\ue000"
 #: What a word may end in that a letter is never joined to.
@@ -86,8 +88,12 @@ class Words:
         self.kind = "<u2" if max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join([re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()]) or b"(?!)")
         self.mark = self._ids(EDGE)
+        self.final = np.zeros(1 + max(self.library.get_vocab(with_added_tokens=True).values(), default=0), bool)
+        suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            self.final[i] = bool(suffix) and token.endswith(suffix)
         self.places = hashed(np.arange(1 + max(self.library.get_vocab(with_added_tokens=True).values(), default=0)))
 
     def _ids(self, text: str) -> np.ndarray:
@@ -107,26 +113,42 @@ class Words:
         again = [w for w in new if w in older]
         known.update(zip(again, [older[w] for w in again]))
         new = [w for w in new if w not in older]
-        cut = {w: len(w.rstrip(MARKS)) for w in new}
-        cut = {w: n for w, n in cut.items() if 0 < n < len(w) and _ends_in_letter(w[:n]) and not any(t in w for t in self.added)}
+        whole = self.added.search(b" ".join(new)) is not None  # ids of their own, which a cut would break
+        cut = {w: n for w in new if 0 < (n := len(w.rstrip(MARKS))) < len(w) and _ends_in_letter(w[:n]) and not (whole and self.added.search(w))}
         parts = {p for w, n in cut.items() for p in (w[:n], w[n:])}
         parts.update([w for w in new if w not in cut])
         self._ask([p for p in parts if p not in known])
         known.update({w: known[w[:n]] + known[w[n:]] for w, n in cut.items()})
 
     def _ask(self, new: list[bytes]) -> None:
-        known, mark = self.known, self.mark
+        """Get the ids of new words. Words of letters end where an id ends a word; between others stands a mark that no word holds."""
+        texts = [w.decode() for w in new]
+        letters = [t for t in texts if t.isalpha()]
+        for at in range(0, len(letters), 1024):
+            some = letters[at : at + 1024]
+            joined = self._ids(" ".join(some))
+            stops = np.flatnonzero(self.final[joined]) + 1
+            if len(stops) == len(some):  # a word has one end at least, so each has one
+                self._keep(some, joined, [0, *stops.tolist()], stops.tolist())
+            else:
+                self._marked(some)
+        self._marked([t for t in texts if not t.isalpha()])
+
+    def _marked(self, new: list[str]) -> None:
+        mark = self.mark
         for at in range(0, len(new), 1024):
             some = new[at : at + 1024]
-            text = f" {EDGE} ".join([w.decode() for w in some])
+            text = f" {EDGE} ".join(some)
             joined = self._ids(text)
             hits = np.flatnonzero(np.logical_and.reduce([joined[i : len(joined) - len(mark) + 1 + i] == m for i, m in enumerate(mark)])) if len(joined) >= len(mark) else []
             if text.count(EDGE) != len(some) - 1 or len(hits) != len(some) - 1:
-                known.update({w: self.packed(w) for w in some})
-                continue
-            data, size = joined.tobytes(), joined.itemsize
-            ends = [*(hits * size).tolist(), len(data)]
-            known.update({w: data[lo:hi] for w, lo, hi in zip(some, [0, *((hits + len(mark)) * size).tolist()], ends)})
+                self.known.update({t.encode(): self.packed(t.encode()) for t in some})
+            else:
+                self._keep(some, joined, [0, *(hits + len(mark)).tolist()], [*hits.tolist(), len(joined)])
+
+    def _keep(self, some: list[str], joined: np.ndarray, begins: list[int], ends: list[int]) -> None:
+        data, size = joined.tobytes(), joined.itemsize
+        self.known.update({t.encode(): data[lo * size : hi * size] for t, lo, hi in zip(some, begins, ends)})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``kind``."""
@@ -141,10 +163,10 @@ class Words:
             self._learn(list(new))
             known, older = self.known, self.older
             for i in lack:
-                try:
-                    found[i] = list(map(known.__getitem__, split[i]))
-                except KeyError:  # the memory was turned over in between
-                    found[i] = [known[w] if w in known else older[w] for w in split[i]]
+                got, words, k = found[i], split[i], -1
+                for _ in range(got.count(None)):
+                    k = got.index(None, k + 1)
+                    got[k] = known[words[k]] if words[k] in known else older[words[k]]
         out = list(map(b"".join, found))
         i = min(range(len(texts)), key=lambda k: (len(texts[k]) > 1 << 16, len(texts[k]) == 0, k), default=None)
         if i is not None and len(texts[i]) <= 1 << 20 and out[i] != self.packed(texts[i]):
