@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cortexloom.operators.ranks import SPLIT_ROWS, ranked
+
 def _by() -> object:
     return Window.partitionBy("barcode")
 
@@ -86,20 +88,9 @@ def negative_control(bc: DataFrame, controls: list[int]) -> DataFrame:
     return bc.where(F.col("sample").isin(controls) & (F.col("value") > 0)).groupBy("value").agg(F.count("*").alias("n"))
 
 
-def rank_abundance(bc: DataFrame, buckets: int = 256) -> DataFrame:
-    """(barcode, total, rank) by descending total, ties by barcode.
-
-    Global ranks without a single-task window: rows are ranked inside value ranges, and each range
-    starts after the counts of those above it (one row a range is scanned).
-    """
-    total = bc.groupBy("barcode").agg(F.sum("value").alias("total"))
-    part = F.floor(F.log2(F.greatest("total", F.lit(1.0))) * 4).cast("int").alias("part")  # fixed ranges, a few hundred at most
-    parted = total.withColumn("part", part)
-    sizes = parted.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("start"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("total"), "barcode"))
-    return parted.join(F.broadcast(starts), "part").select("barcode", "total", (own + F.col("start")).alias("rank"))
+def rank_abundance(bc: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(barcode, total, rank) by descending total, ties by barcode."""
+    return ranked(bc.groupBy("barcode").agg(F.sum("value").alias("total")), [], [F.desc("total"), "barcode"], split_rows=split_rows)
 
 
 def rename_tubes(bc: DataFrame, tube_map: DataFrame, combine: dict[int, list[int]] | None = None, dropped: list[int] | None = None) -> DataFrame:
@@ -152,17 +143,16 @@ def binarise(bc: DataFrame) -> DataFrame:
     return bc.withColumn("value", (F.col("value") != 0).cast("int"))
 
 
-def column_shuffle(bc: DataFrame, samples: list[int], seed: int, replicate: int = 0) -> DataFrame:
+def column_shuffle(bc: DataFrame, samples: list[int], seed: int, replicate: int = 0, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Each sample's values dealt anew over all barcodes, zeros included; a function of seed and replicate only.
 
-    Two orders of the same dense column, one by barcode and one by a hash, joined on their ranks.
+    The barcode at place i by name gets, in each sample, the value of the barcode at place i of a hashed order. The order by
+    name is ranked once, the hashed ones once a sample; only cells that are not zero are joined.
     """
     barcodes = bc.select("barcode").distinct()
     grid = barcodes.withColumn("sample", F.explode(F.array(*[F.lit(s) for s in samples])))
-    dense = grid.join(bc, ["barcode", "sample"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit(replicate), "sample", "barcode"))
-    by_name = F.row_number().over(Window.partitionBy("sample").orderBy("barcode"))
-    by_hash = F.row_number().over(Window.partitionBy("sample").orderBy(key, "barcode"))
-    ranked = dense.select("sample", "barcode", "value", by_name.alias("i"), by_hash.alias("j"))
-    to, of = ranked.select("sample", "barcode", "i"), ranked.select("sample", "value", F.col("j").alias("i"))
-    return to.join(of, ["sample", "i"]).where("value <> 0").select("barcode", "sample", "value")
+    grid = grid.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit(replicate), "sample", "barcode")))
+    hashed = ranked(grid, ["sample"], ["_key", "barcode"], "_at", split_rows)
+    values = hashed.join(bc.where("value <> 0"), ["barcode", "sample"]).select("sample", "value", "_at")
+    names = ranked(barcodes, [], ["barcode"], "_at", split_rows)
+    return values.join(names, "_at").select("barcode", "sample", "value")

@@ -4,32 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cortexloom.functions.sequences import relative_abundance
 from cortexloom.operators.params import MoleculeParams
 from cortexloom.operators.reads import classify
 
 
-def umi_switch_summary(corrected: DataFrame) -> DataFrame:
+def umi_switch_summary(corrected: DataFrame, salts: int = 1024) -> DataFrame:
     """Per corrected UMI over all samples: reads, distinct neurons, the two most abundant and where the first one is.
 
-    Reads are summed by (umi, neuron, sample) first, so a common UMI costs one row a neuron.
-    Ties go to the smaller sequence, then to the smaller sample.
+    Reads are summed by (umi, neuron, sample) first, so a common UMI costs one row a neuron. Its two best neurons
+    are found in two levels, of ``salts`` shares of its neurons and then of their twos, so one with any number of neurons is
+    many tasks' work. Ties go to the smaller sequence, then to the smaller sample.
     """
     by_sample = corrected.groupBy(F.col("corrected_umi").alias("umi"), F.col("corrected_neuron").alias("neuron"), "sample").agg(F.count("*").alias("n"))
     best = F.max_by("sample", F.struct("n", (-F.col("sample")).alias("s")))
     by_neuron = by_sample.groupBy("umi", "neuron").agg(F.sum("n").alias("n"), best.alias("sample"))
-    rank = F.row_number().over(Window.partitionBy("umi").orderBy(F.desc("n"), "neuron"))
-    ranked = by_neuron.withColumn("rank", rank)
-    nth = lambda c, k: F.max(F.when(F.col("rank") == k, F.col(c)))
-    return ranked.groupBy("umi").agg(
-        F.sum("n").alias("total"),
-        F.count("*").alias("different_neurons"),
-        nth("n", 1).alias("first_abundant"),
-        F.coalesce(nth("n", 2), F.lit(0)).alias("second_abundant"),
-        F.concat(nth("neuron", 1), F.first("umi")).alias("sequence_of_1st"),
-        nth("sample", 1).alias("sample_of_1st"),
+    two = lambda rows: F.slice(F.sort_array(rows), 1, 2)
+    row = F.struct((-F.col("n")).alias("less"), "neuron", "sample")
+    share = F.pmod(F.xxhash64("neuron"), F.lit(salts)).alias("share")
+    shares = by_neuron.groupBy("umi", share).agg(F.sum("n").alias("total"), F.count("*").alias("neurons"), two(F.collect_list(row)).alias("top"))
+    summed = shares.groupBy("umi").agg(F.sum("total").alias("total"), F.sum("neurons").alias("different_neurons"), two(F.flatten(F.collect_list("top"))).alias("top"))
+    first, second = F.col("top")[0], F.get("top", F.lit(1))
+    return summed.select(
+        "umi",
+        "total",
+        "different_neurons",
+        (-first["less"]).alias("first_abundant"),
+        F.coalesce(-second["less"], F.lit(0)).alias("second_abundant"),
+        F.concat(first["neuron"], "umi").alias("sequence_of_1st"),
+        first["sample"].alias("sample_of_1st"),
     )
 
 

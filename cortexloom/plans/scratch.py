@@ -34,7 +34,9 @@ class Scratch:
         self.n = 0
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what exists can be marked for deletion
+        files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self.n += 1
