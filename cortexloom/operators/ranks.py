@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,9 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str], out: str = "
     parted = scratch.save(df.repartitionByRange(max(1, math.ceil(rows / split_rows)), *[F.col(c) for c in by], *keys).withColumn("_split", F.spark_partition_id()), "splits")
     sizes = parted.groupBy(*by, "_split").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     on = [*by, "_split"]
+    starts = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in on], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy(*on).orderBy(*keys))
-    return parted.withColumn("_own", own).join(F.broadcast(starts), on).withColumn(out, F.col("_own") + F.col("_start")).drop("_own", "_start", "_split")
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on])
+    found = parted.withColumn("_own", own).join(F.broadcast(starts), same)  # a row a split, and one a group
+    return found.select(*df.columns, (F.col("_own") + F.col("_start")).alias(out))

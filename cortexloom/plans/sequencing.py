@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexloom.operators import cluster, molecules, qc, reads
+from cortexloom.operators import cluster, matrix, molecules, qc, reads
 from cortexloom.operators.params import MoleculeParams, ReadParams
 from cortexloom.plans.scratch import Scratch
-from cortexloom.sources import fixtures
+from cortexloom.sources import fastq, fixtures, sinks
 from cortexloom.sources.fixtures import SAMPLES, duck, whitelist
 
 
@@ -134,6 +134,22 @@ def q_expected_duplicates(spark, d):
     return qc.expected_duplicates(molecules.umi_switch_summary(_fixed(spark, d)))
 
 
+def q_runs_through_files(spark, d):
+    """Two sequencing runs and a tube map as files: written, read, paired, united, demultiplexed, counted, and the counts written and read again."""
+    folder, pairs = Scratch(spark, "runs").root, fixtures.reads(spark, d)
+    for run, odd in (("run_a", 0), ("run_b", 1)):
+        sinks.write_paired_fastq(pairs.where(f"read_no % 2 = {odd}"), f"{folder}/fastq", run)
+    spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey AS sample", "(n_nationkey * 7) % 11 AS tube").write.csv(f"{folder}/tubes", header=True)
+    raw = fastq.union_runs(*[fastq.read_paired_fastq(spark, f"{folder}/fastq", run) for run in ("run_a", "run_b")])
+    sampled = reads.demultiplex(reads.prepare_reads(raw), whitelist())
+    counted = sampled.groupBy("sample", "neuron").agg(F.count("*").alias("counts"))
+    p = MoleculeParams()
+    sinks.write_counts(reads.classify(counted, p.spike_pattern, p.neuron_pattern).select("kind", "sample", F.col("neuron").alias("barcode"), "counts"), f"{folder}/counts")
+    again = spark.read.parquet(f"{folder}/counts").where("kind = 'neuron'").select("barcode", F.col("sample").cast("int").alias("sample"), F.col("counts").alias("value"))
+    kept = matrix.drop_samples(again, matrix.failed_samples(again, list(range(1, SAMPLES + 2))))
+    return matrix.rename_tubes(kept, fastq.read_tube_map(spark, f"{folder}/tubes"))
+
+
 _TAGS = ", ".join(f"({s}, '{t}', {i})" for i, (s, t) in enumerate(whitelist()))
 _BASE = f"""
 raw AS ({duck(fixtures.READS_SQL)}),
@@ -205,6 +221,7 @@ SQL = {
     "barcode_umi_counts": f"{W} {_RESOLVED} SELECT * FROM cnt",
     "barcode_matrix": f"{W} {_RESOLVED} SELECT barcode, {', '.join(f'CAST(coalesce(sum(counts) FILTER (sample = {s}), 0) AS BIGINT) AS s{s}' for s in range(1, SAMPLES + 2))} FROM cnt WHERE kind = 'neuron' GROUP BY barcode",
     "match_barcodes": f"{W} {_RESOLVED} SELECT barcode, count(*) AS n_samples, CAST(sum(counts) AS BIGINT) AS total, string_agg(CAST(sample AS VARCHAR), ',' ORDER BY sample) AS samples FROM cnt WHERE kind = 'neuron' GROUP BY barcode",
+    "runs_through_files": f"{W} {_BASE} SELECT neuron AS barcode, CAST((n_nationkey * 7) % 11 AS INTEGER) AS sample, count(*) AS value FROM demux JOIN nation ON n_nationkey = sample WHERE regexp_matches(neuron, '^.{{30}}[CT][CT]') AND (n_nationkey * 7) % 11 <> 0 GROUP BY 1, 2",
     "umi_histogram": f"{W} {_SUMMARY} SELECT {_bucket('log10(total)', 0.0, 3.0, 30)} AS bin, count(*) AS n FROM summary GROUP BY 1",
     "neurons_per_umi": f"{W} {_SUMMARY} SELECT different_neurons, count(*) AS n, count(*) / (SELECT count(*) FROM summary) AS share FROM summary GROUP BY 1",
     "umi_composition": f"{W} {_COMPO} SELECT umi, round(ratio, 6) AS ratio, round(entropy, 6) AS entropy, round(CAST(at_share AS DOUBLE), 6) AS at_share FROM compo",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +36,72 @@ def write_matrix(matrix: DataFrame, path: str, overwrite: bool = False) -> None:
     matrix.sortWithinPartitions("barcode", "sample").write.mode(_mode(overwrite)).parquet(path)
 
 
+def write_dense_matrices(bc: DataFrame, source_samples: list[int], path: str, overwrite: bool = False) -> None:
+    """``with_source`` and ``without_source`` below ``path``: a row a barcode, a column a sample, zeros filled in.
+
+    Samples without any count are left out (their transcription failed). The matrix is worked out once; the one without the source
+    samples is read from the first one's other columns and keeps all its barcodes.
+    """
+    samples = sorted(r[0] for r in bc.where("value <> 0").select("sample").distinct().collect())  # those of a plate
+    wide = bc.groupBy("barcode").pivot("sample", samples).agg(F.sum("value")) if samples else bc.select("barcode").distinct()
+    wide = wide.select("barcode", *[F.coalesce(F.col(f"`{s}`").cast("double"), F.lit(0.0)).alias(f"s{s}") for s in samples])
+    wide.write.mode(_mode(overwrite)).parquet(f"{path}/with_source")
+    left = bc.sparkSession.read.parquet(f"{path}/with_source").drop(*[f"s{s}" for s in source_samples])
+    left.write.mode(_mode(overwrite)).parquet(f"{path}/without_source")
+
+
+def write_paired_fastq(pairs: DataFrame, folder: str, acq_id: str) -> None:
+    """(read_no, r1, r2) as ``{acq_id}_R1.fastq.gz`` and ``{acq_id}_R2.fastq.gz``, in the order of ``read_no``; qualities are made up.
+
+    One file a mate, as sequencers give it, so one task writes each.
+    """
+    jvm = pairs.sparkSession.sparkContext._jvm
+    for mate in ("r1", "r2"):
+        sequence = F.col(mate)
+        record = F.concat_ws("\n", F.concat(F.lit(f"@{acq_id}:"), F.col("read_no").cast("string")), sequence, F.lit("+"), F.repeat(F.lit("I"), F.length(sequence)))
+        part = f"{folder}/.{uuid.uuid4().hex}"
+        pairs.repartition(1).sortWithinPartitions("read_no").select(record.alias("value")).write.option("compression", "gzip").text(part)
+        at = jvm.org.apache.hadoop.fs.Path(part)
+        files = at.getFileSystem(pairs.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        (written,) = [f.getPath() for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{part}/part-*"))]
+        files.rename(written, jvm.org.apache.hadoop.fs.Path(f"{folder}/{acq_id}_{mate.upper()}.fastq.gz"))
+        files.delete(at, True)
+
+
+def collate_null_stats(spark: SparkSession, parts: str, target: str, name: str, overwrite: bool = True) -> str | None:
+    """All tables ``{name}*`` in the folder ``parts`` as one, ``{name}_collated`` in ``target``; returns its path, or None if there are none.
+
+    Without ``overwrite`` the first free of ``{name}_collated``, ``{name}_collated_2``, .. is taken, by a rename that fails
+    where the name exists, so runs at the same time get names of their own. The parts are removed only after that.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    files = hadoop.Path(parts).getFileSystem(conf)
+    found = [f.getPath() for f in files.globStatus(hadoop.Path(f"{parts}/{name}*")) or []]
+    if not found:
+        return None
+    out = hadoop.Path(target).getFileSystem(conf)
+    fresh = hadoop.Path(f"{target}/.{uuid.uuid4().hex}")
+    spark.read.parquet(*[f.toString() for f in found]).write.parquet(fresh.toString())
+    context = hadoop.FileContext.getFileContext(out.getUri(), conf)
+    never = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    never[0] = getattr(hadoop, "Options$Rename").NONE
+    n = 1
+    while True:
+        path = hadoop.Path(f"{target}/{name}_collated" + (f"_{n}" if n > 1 else ""))
+        if overwrite:
+            out.delete(path, True)
+        try:
+            context.rename(fresh, path, never)
+            break
+        except Exception:
+            if overwrite or not out.exists(path):
+                raise
+            n += 1
+    for f in found:
+        files.delete(f, True)
+    return path.toString()
+
+
 def write_null_stats(stats: DataFrame, path: str, run_id: int, overwrite: bool = True) -> None:
     """A run's statistics below ``run_id=``; overwriting replaces this run only."""
     rows = stats.withColumn("run_id", F.lit(run_id))

@@ -1,16 +1,20 @@
 """Hand cases, properties and equivalences of the sequencing, atlas and null operators."""
 
 import collections
+import concurrent.futures
 import gzip
 import itertools
 import json
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cortexloom.functions import sequences
-from cortexloom.operators import areas, atlas, cluster, components, fit, matrix, molecules, null, reads, stats
+from cortexloom.operators import areas, atlas, cluster, components, fit, matrix, molecules, null, ranks, reads, stats
 from cortexloom.operators.params import MoleculeParams, ReadParams
 from cortexloom.plans import brain, sequencing
 from cortexloom.sources import fastq, fixtures, sinks
@@ -145,6 +149,85 @@ def test_rank_abundance_is_global(spark):
     assert got == [6, 2, 5, 4, 0, 1, 3]
 
 
+def test_ranks_in_bounded_splits(spark):
+    """One total has nearly all barcodes, and one sample all cells: no split holds much more than it should."""
+    rows = [(i, 1, 7.0 if i % 50 else float(i)) for i in range(20000)]
+    bc = spark.createDataFrame(rows, "barcode int, sample int, value double")
+    got = [r["barcode"] for r in matrix.rank_abundance(bc, split_rows=1000).orderBy("rank").collect()]
+    assert got == [b for b, _, _ in sorted(rows, key=lambda r: (-r[2], r[0]))]
+    counted = ranks.ranked(bc, ["sample"], ["barcode"], split_rows=1000)
+    assert [tuple(r) for r in counted.select("barcode", "rank").orderBy("rank").collect()] == [(i, i + 1) for i in range(20000)]
+    splits = spark.read.parquet(counted.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_split").count()
+    assert splits.count() == 20 and splits.agg(F.max("count")).first()[0] < 2000
+    groups = spark.createDataFrame([(k, i) for k in ("a", "b", None) for i in range(30)], "k string, v int")
+    assert all(r["rank"] == r["v"] + 1 for r in ranks.ranked(groups, ["k"], ["v"], split_rows=7).collect())
+    assert ranks.ranked(groups.limit(0), ["k"], ["v"]).count() == 0
+    one, all_ = matrix.column_shuffle(bc, [1, 2], 3, split_rows=1000), matrix.column_shuffle(bc, [1, 2], 3)
+    assert sorted(one.collect()) == sorted(all_.collect()) and one.count() == 19999
+
+
+def test_two_best_neurons_of_a_common_umi(spark):
+    rng = np.random.default_rng(8)
+    reads_ = [(int(s), f"N{n:04d}", u) for u in ("U", "V") for n in range(300) for s in rng.integers(1, 4, int(rng.integers(1, 6)))] + [(2, "N9999", "W")]
+    df = spark.createDataFrame(reads_, "sample int, corrected_neuron string, corrected_umi string")
+    for salts in (1, 16, 1024):
+        for r in molecules.umi_switch_summary(df, salts).collect():
+            mine = [x for x in reads_ if x[2] == r["umi"]]
+            by = sorted(collections.Counter(x[1] for x in mine).items(), key=lambda kv: (-kv[1], kv[0]))
+            at = sorted(collections.Counter(x[0] for x in mine if x[1] == by[0][0]).items(), key=lambda kv: (-kv[1], kv[0]))
+            want = (len(mine), len(by), by[0][1], by[1][1] if len(by) > 1 else 0, by[0][0] + r["umi"], at[0][0])
+            assert tuple(r[c] for c in ("total", "different_neurons", "first_abundant", "second_abundant", "sequence_of_1st", "sample_of_1st")) == want
+    assert "Window" not in molecules.umi_switch_summary(df)._jdf.queryExecution().toString()
+
+
+def test_collated_tables_get_names_of_their_own(spark, tmp_path):
+    stat = spark.createDataFrame([("x", 1.0)], "stat string, value double")
+
+    def run(k):
+        stat.withColumn("job", F.lit(k)).write.parquet(str(tmp_path / f"parts{k}" / "cosine_1"))
+        stat.withColumn("job", F.lit(k)).write.parquet(str(tmp_path / f"parts{k}" / "cosine_2"))
+        return sinks.collate_null_stats(spark, str(tmp_path / f"parts{k}"), str(tmp_path / "all"), "cosine", overwrite=False)
+
+    with concurrent.futures.ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(run, range(4)))
+    assert sorted(p.rsplit("/", 1)[1] for p in paths) == ["cosine_collated", "cosine_collated_2", "cosine_collated_3", "cosine_collated_4"]
+    for k, p in enumerate(paths):
+        assert [r["job"] for r in spark.read.parquet(p).collect()] == [k, k] and not list((tmp_path / f"parts{k}").glob("cosine*"))
+    stat.write.parquet(str(tmp_path / "again" / "cosine_9"))
+    assert sinks.collate_null_stats(spark, str(tmp_path / "again"), str(tmp_path / "all"), "cosine").endswith("/cosine_collated")
+    assert spark.read.parquet(str(tmp_path / "all" / "cosine_collated")).count() == 1
+    assert sinks.collate_null_stats(spark, str(tmp_path / "again"), str(tmp_path / "all"), "cosine") is None
+
+
+def test_dense_matrices(spark, tmp_path):
+    bc = spark.createDataFrame([("a", 1, 5.0), ("a", 3, 2.0), ("b", 1, 4.0), ("b", 4, 0.0)], "barcode string, sample int, value double")
+    sinks.write_dense_matrices(bc, [1], str(tmp_path / "m"))
+    full, left = spark.read.parquet(str(tmp_path / "m" / "with_source")), spark.read.parquet(str(tmp_path / "m" / "without_source"))
+    assert full.columns == ["barcode", "s1", "s3"] and sorted(map(tuple, full.collect())) == [("a", 5.0, 2.0), ("b", 4.0, 0.0)]
+    assert left.columns == ["barcode", "s3"] and sorted(map(tuple, left.collect())) == [("a", 2.0), ("b", 0.0)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_dense_matrices(bc, [1], str(tmp_path / "m"))
+
+
+def test_scratch_is_gone_after_the_session(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from cortexloom.plans.scratch import Scratch
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+x = Scratch(s, "job")
+assert x.save(s.range(5)).count() == 5
+print("SEEN", len(list(__import__("pathlib").Path("{tmp_path}").glob("job-*/*"))))
+s.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "SEEN 1" in done.stdout, done.stderr[-2000:]
+    for _ in range(50):  # the JVM ends a little later
+        if not list(tmp_path.glob("job-*")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.glob("job-*"))
+
+
 def test_matrix_edges(spark):
     m = spark.createDataFrame([("a", 1, 8.0), ("a", 2, 8.0), ("b", 1, 3.0), ("c", 1, 1.0), ("c", 2, 2.0)], "barcode string, sample int, value double")
     assert {r["barcode"]: (r["highest"], r["second"]) for r in matrix.highest_second(m).collect()} == {"a": (8.0, 8.0), "b": (3.0, 0.0), "c": (2.0, 1.0)}
