@@ -248,6 +248,14 @@ def test_language_hierarchy(spark, docs, clash, empty):
             if kind not in dict(model["groups"]):
                 break
         assert kind == lang
+    nameless = spark.createDataFrame([(None if i % 2 else 7, f"text {i}", "a" if i < 4000 else "b") for i in range(8000)], "doc_id bigint, text string, source string")
+    for seed in (17, 18):  # null and shared ids keep their weight, and lie in many partitions
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        out = mixing.mix(nameless, {"a": 1.0, "b": 1.0}, seed=seed)
+        n = collections.Counter(r["source"] for r in out.collect())
+        assert all(abs(n[s] - 4000) < 5 * 4000**0.5 for s in "ab")
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 4000
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     many = language_id.fit(spark.createDataFrame([(i, f"w{i} text", f"q{i}") for i in range(130)], "doc_id bigint, text string, lang string"), sample_rows=40)
     assert len(many["langs"]) == 130 and dict(many["groups"])["family"] == ["other"]
     assert language_id.predict(empty, model).count() == 0
