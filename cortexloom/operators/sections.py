@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cortexloom.functions.geometry import atlas_coordinates, barycentric, inside
+from cortexloom.operators.delaunay import triangulate
 from cortexloom.plans.scratch import Scratch
 
 
@@ -19,20 +22,21 @@ def marker_points(sections: DataFrame) -> DataFrame:
     return rows.select("section", "i", *[F.col("m")[k].alias(c) for k, c in enumerate(("tx", "ty", "sx", "sy"))])
 
 
-def delaunay_triangles(points: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """(section, i, j, k) with i < j < k: triangles of source points whose circumcircle holds no other point.
+def delaunay_triangles(points: DataFrame) -> DataFrame:
+    """(section, i, j, k) with i < j < k: triangles of source points that tile their hull, none with a point inside its circle.
 
-    A section has a handful of markers, so its triples are few; points on a circle leave
-    overlapping triangles, which ``triangle_of`` settles by order.
+    Sections are Arrow groups; the points of one (its markers and corners) are triangulated one after the other with exact
+    predicates. Points without a position are left out; see ``delaunay.triangulate`` for points on a circle, a line, or twice.
     """
-    p = lambda n: points.select("section", F.col("i").alias(n), F.col("sx").alias(f"{n}x"), F.col("sy").alias(f"{n}y"))
-    tri = p("i").join(p("j"), "section").where("i < j").join(p("k"), "section").where("j < k")
-    tri = tri.withColumn("det", F.expr("(jx - ix) * (ky - iy) - (kx - ix) * (jy - iy)")).where(F.abs("det") > eps)
-    circle = """((ix-px)*(ix-px)+(iy-py)*(iy-py)) * ((jx-px)*(ky-py)-(kx-px)*(jy-py))
-      - ((jx-px)*(jx-px)+(jy-py)*(jy-py)) * ((ix-px)*(ky-py)-(kx-px)*(iy-py))
-      + ((kx-px)*(kx-px)+(ky-py)*(ky-py)) * ((ix-px)*(jy-py)-(jx-px)*(iy-py))"""
-    holds = tri.join(p("p"), "section").where("p <> i and p <> j and p <> k").where(f"({circle}) * sign(det) > 1e-7").select("section", "i", "j", "k")
-    return tri.join(holds, ["section", "i", "j", "k"], "left_anti").select("section", "i", "j", "k")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["sx", "sy"]).sort_values("i")
+        found = np.array(triangulate(pdf[["sx", "sy"]].to_numpy(float)), int).reshape(-1, 3)
+        ids = pdf["i"].to_numpy()
+        return pd.DataFrame({"section": pdf["section"].iloc[0] if len(found) else [], **{c: ids[found[:, k]] for k, c in enumerate("ijk")}})
+
+    kind = dict(points.dtypes)
+    return points.select("section", "i", "sx", "sy").groupBy("section").applyInPandas(run, f"section {kind['section']}, i {kind['i']}, j {kind['i']}, k {kind['i']}")
 
 
 def _corners(tri: DataFrame, points: DataFrame, forward: bool) -> DataFrame:
