@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cortexloom.operators import blocks
+
 # Structures that their descendants are reported as.
 GROUPS = ("HY", "CB", "MY", "P", "fiber tracts", "STR", "IPN", "BLA", "PAL", "HPF", "SCm", "SCs", "IC", "LGd", "LGv", "root", "SSp", "MOB", "AOB")
 OLFACTORY = ("MOB", "AOB")
@@ -84,35 +86,28 @@ def rois_with_area(roi_main: DataFrame, area: str = "AUDp") -> DataFrame:
 
 
 def adjacent_labels(voxels: DataFrame, only: list[int] | None = None) -> DataFrame:
-    """(label, neighbour): labels one voxel apart along an axis, by equi-join on shifted positions."""
-    shift = F.explode(F.array(*[F.struct(*[F.lit(d if a == k else 0).alias(f"d{a}") for a in XYZ]) for k in XYZ for d in (-1, 1)])).alias("d")
-    moved = voxels.select(F.col("label").alias("neighbour"), shift, *XYZ).select("neighbour", *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in XYZ])
-    found = voxels.select("label", *XYZ).join(moved, XYZ).where("label <> neighbour").select("label", "neighbour").distinct()
+    """(label, neighbour): labels one voxel apart along an axis, found in dense blocks."""
+    kind = dict(voxels.dtypes)["label"]
+    pairs = blocks.per_block(voxels, blocks.label_pairs, "label bigint, neighbour bigint").distinct()
+    found = pairs.select(F.col("label").cast(kind).alias("label"), F.col("neighbour").cast(kind).alias("neighbour"))
     return found.where(F.col("neighbour").isin(only)) if only else found
 
 
 def hemisphere_filter(voxels: DataFrame, depth: int) -> DataFrame:
-    """Each label's voxels on its majority side of the middle z index; on a tie both sides go."""
-    w = Window.partitionBy("label")
+    """Each label's voxels on its majority side of the middle z index; on a tie both sides go. Sides are counted before voxels are kept, so a label of any size is no one task's."""
     left = F.col("z") < depth // 2
-    n_left, n = F.count_if(left).over(w), F.count("*").over(w)
-    return voxels.withColumn("_l", n_left).withColumn("_r", n - n_left).where((left & (F.col("_l") > F.col("_r"))) | (~left & (F.col("_r") > F.col("_l")))).drop("_l", "_r")
+    sides = voxels.groupBy(F.col("label").alias("_of")).agg(F.count_if(left).alias("_l"), F.count_if(~left).alias("_r")).where("_l <> _r")
+    keep = F.broadcast(sides.select("_of", (F.col("_l") > F.col("_r")).alias("_side")))  # a row a label: the tubes of a brain
+    return voxels.join(keep, (F.col("label") == F.col("_of")) & (left == F.col("_side"))).select(voxels.columns)
 
 
 def fill_label_holes(voxels: DataFrame, shape: tuple[int, int, int] | None = None) -> DataFrame:
-    """Binary closing of each label by a 2x2x2 block: empty voxels are filled, the smallest label first.
-
-    Dilation explodes eight offsets, erosion keeps the positions with all eight; then only voxels
-    without a label are added.
-    """
-    offsets = F.explode(F.array(*[F.struct(*[F.lit((i >> k) & 1).alias(f"d{a}") for k, a in enumerate(XYZ)]) for i in range(8)])).alias("d")
-    grown = voxels.select("label", offsets, *XYZ).select("label", *[(F.col(a) + F.col(f"d.d{a}")).alias(a) for a in XYZ]).distinct()
-    back = grown.select("label", offsets, *XYZ).select("label", *[(F.col(a) - F.col(f"d.d{a}")).alias(a) for a in XYZ])
-    closed = back.groupBy("label", *XYZ).agg(F.count("*").alias("n")).where("n = 8")
-    new = closed.join(voxels.select(*XYZ), XYZ, "left_anti").groupBy(*XYZ).agg(F.min("label").alias("label"))
+    """Binary closing of each label by a 2x2x2 block: empty voxels are filled, the smallest label first. Closed in dense blocks."""
+    kind = dict(voxels.dtypes)
+    new = blocks.per_block(voxels, blocks.closed_holes, "x int, y int, z int, label bigint").select(*[F.col(c).cast(kind[c]).alias(c) for c in (*XYZ, "label")])
     if shape:
         new = new.where(" and ".join(f"{a} between 0 and {s - 1}" for a, s in zip(XYZ, shape)))
-    return voxels.select(*XYZ, "label").unionByName(new.select(*XYZ, "label"))
+    return voxels.select(*XYZ, "label").unionByName(new)
 
 
 def area_centroids(annotation: DataFrame, structures: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cortexloom.functions import sequences
-from cortexloom.operators import areas, atlas, cluster, components, fit, matrix, molecules, null, ranks, reads, stats
+from cortexloom.operators import areas, atlas, blocks, cluster, components, delaunay, fit, matrix, molecules, null, ranks, reads, sections, stats
 from cortexloom.operators.params import MoleculeParams, ReadParams
 from cortexloom.plans import brain, sequencing
 from cortexloom.sources import fastq, fixtures, sinks
@@ -266,6 +266,51 @@ def test_closing_contains_its_input(spark):
     assert set(block) <= filled and {(2, y, z) for y in (0, 1) for z in (0, 1)} <= filled
 
 
+def test_blocks_against_single_voxels(spark):
+    """Neighbours and closings across the edges of cubes, negative positions included, against sets of voxels."""
+    rng = np.random.default_rng(6)
+    cells = {tuple(int(x) for x in rng.integers(-3, 7, 3)): int(rng.integers(1, 5)) for _ in range(700)}
+    v = spark.createDataFrame([(*p, k) for p, k in cells.items()], "x int, y int, z int, label int")
+    near = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    want = {(a, b) for p, a in cells.items() for d in near for s in (-1, 1) if (b := cells.get(tuple(i + s * j for i, j in zip(p, d)), a)) != a}
+    cube = list(itertools.product((0, 1), repeat=3))
+    filled = dict(cells)
+    for k in range(1, 5):
+        mine = {p for p, l in cells.items() if l == k}
+        grown = {tuple(map(sum, zip(p, o))) for p in mine for o in cube}
+        for p in grown | {tuple(i - 1 for i in p) for p in grown}:
+            if p not in filled and all(tuple(map(sum, zip(p, o))) in grown for o in cube):
+                filled[p] = k
+    for side in (4, 32):
+        rows = blocks.per_block(v, blocks.label_pairs, "label bigint, neighbour bigint", side).distinct().collect()
+        assert {tuple(r) for r in rows} == want
+        new = blocks.per_block(v, blocks.closed_holes, "x int, y int, z int, label bigint", side).collect()
+        assert {tuple(r)[:3]: r["label"] for r in new} == {p: k for p, k in filled.items() if p not in cells} and len(new) == len(filled) - len(cells)
+    assert {(r["x"], r["y"], r["z"]): r["label"] for r in atlas.fill_label_holes(v).collect()} == filled
+    assert atlas.adjacent_labels(v.limit(0)).count() == atlas.fill_label_holes(v.limit(0)).count() == 0
+
+
+def test_triangles_tile_the_rectangle(spark):
+    rng = np.random.default_rng(9)
+    corners = [(-1.0, -1.0), (6.0, -1.0), (-1.0, 6.0), (6.0, 6.0)]
+    for kind in range(30):  # random points, and grids, where many lie on one circle or line, with repeats
+        xy = np.array(corners + [tuple(p) for p in (rng.random((12, 2)) * 5 if kind % 2 else rng.integers(0, 5, (12, 2)).astype(float))])
+        total = 0.0
+        for i, j, k in delaunay.triangulate(xy):
+            a, b, c = xy[i], xy[j], xy[k]
+            det = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+            total += abs(det) / 2
+            for p in xy:
+                u, w, q = a - p, b - p, c - p
+                circle = (u @ u) * (w[0] * q[1] - w[1] * q[0]) + (w @ w) * (q[0] * u[1] - q[1] * u[0]) + (q @ q) * (u[0] * w[1] - u[1] * w[0])
+                assert circle * np.sign(det) < 1e-9
+        assert abs(total - 49) < 1e-9
+    assert len(delaunay.triangulate(np.vstack([corners, rng.random((2000, 2)) * 5]))) == 4002
+    assert delaunay.triangulate(np.zeros((4, 2))) == delaunay.triangulate(np.array([[0.0, 0], [1, 1], [3, 3]])) == []
+    df = spark.createDataFrame([(s, i, x, y) for s in (1, 2) for i, (x, y) in enumerate([*corners, (2.0, 2.0), (None, 1.0)])], "section int, i int, sx double, sy double")
+    assert sorted(map(tuple, sections.delaunay_triangles(df).collect())) == [(s, *t) for s in (1, 2) for t in ((0, 1, 4), (0, 2, 4), (1, 3, 4), (2, 3, 4))]
+
+
 def test_trades_keep_margins():
     rng = np.random.default_rng(0)
     for shape in ((40, 7), (301, 30), (1, 5), (2, 3)):
