@@ -5,9 +5,11 @@ import concurrent.futures
 import gzip
 import itertools
 import json
+import struct
 import subprocess
 import sys
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -127,6 +129,36 @@ def test_other_sources(spark, tmp_path):
     assert sorted(r["chunk"] for r in fastq.read_switch_chunks(spark, str(tmp_path)).collect()) == [3, 11]
 
 
+def grey_tiff(rows):
+    """An uncompressed 8-bit TIFF."""
+    h, w = len(rows), len(rows[0])
+    tags = [(256, 4, w), (257, 4, h), (258, 3, 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, h * w)]
+    data = b"".join(bytes(r) for r in rows) + b"\0" * (h * w % 2)
+    entries = b"".join(struct.pack("<HHI", t, k, 1) + (struct.pack("<I", v) if k == 4 else struct.pack("<HH", v, 0)) for t, k, v in tags)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(data)) + data + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
+
+
+def grey_png(rows):
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+
+def test_masks_as_tiff_and_png(spark, tmp_path):
+    rows = [[0, 255, 0], [7, 0, 0]]
+    (tmp_path / "s012_TUBE5.tif").write_bytes(grey_tiff(rows))
+    (tmp_path / "s003_TUBE41.png").write_bytes(grey_png(rows))
+    got = sorted(map(tuple, fastq.read_mask_pixels(spark, str(tmp_path)).select("section", "tube", "px", "py").collect()))
+    assert got == [(3, 41, 0, 1), (3, 41, 1, 0), (12, 5, 0, 1), (12, 5, 1, 0)]
+
+
+def test_voxels_and_tubes(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 3, 0), (1, 2, 4, 9)], "x int, y int, z int, label int").write.parquet(str(tmp_path / "v"))
+    assert [tuple(r) for r in fastq.read_voxels(spark, str(tmp_path / "v")).collect()] == [(1, 2, 4, 9)]
+    (tmp_path / "tubes.csv").write_text("sample,tube\n1,7\n2,0\n")
+    assert sorted(map(tuple, fastq.read_tube_map(spark, str(tmp_path / "tubes.csv")).collect())) == [(1, 7), (2, 0)]
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "sample int, corrected_neuron string")
     at = str(tmp_path / "corrected")
