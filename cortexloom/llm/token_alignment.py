@@ -46,8 +46,10 @@ SHARE = 1 << 20
 #: Letters, and what may follow a word without a space: a cut between the two is one for A, and for B unless a piece holds both.
 LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
 #: Distinct chunks in each of the two halves of a worker's memory; when one is full the older one goes, which costs time only.
-REMEMBERED = 60_000
+REMEMBERED = 100_000
 _PIECE = 1 << 20
+#: Rows of links are long: a writer buffers this much of them, not 128 MB a task.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20)}
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -265,7 +267,7 @@ def link_statistics(rows: DataFrame, size_b: int, share: int = SHARE) -> DataFra
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in kept], "row bigint, n_links bigint, n_best bigint, count_sum bigint, rare array<bigint>"])
-    part = scratch.save(numbered.mapInArrow(run, schema), "common")
+    part = scratch.save(numbered.mapInArrow(run, schema), "common", **SMALL_GROUPS)
     rest = part.select("row", F.explode("rare").alias("pair")).join(counts.where(F.col("n") < least), "pair")
     rest = rest.groupBy(F.col("row").alias("_row")).agg(F.sum("n").alias("_n"), F.sum(F.col("best").cast("bigint")).alias("_best"))
     add = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).alias(c)
@@ -278,5 +280,5 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = vocabulary_text(public_tokenizers.path("byte_bpe_50k.json")), model_bytes()
     rows = aligned(table(spark, sf_dir, "documents"), a, b)
     digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(F.col("groups"), 256)).alias("groups_sha256")
-    rows = Scratch(spark, "alignment").save(rows.select("doc_id", "n_a", "n_b", "n_groups", digest, "links"), "links")
+    rows = Scratch(spark, "alignment").save(rows.select("doc_id", "n_a", "n_b", "n_groups", digest, "links"), "links", **SMALL_GROUPS)
     return link_statistics(rows, aligner(a, b).size_b)
