@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cortexloom.functions.geometry import voxel_index
 from cortexloom.operators import blocks
 
 # Structures that their descendants are reported as.
@@ -152,8 +153,8 @@ def rasterise_rois(mask_px: DataFrame, thickness: DataFrame, annotation: DataFra
     label = F.col("tube")
     if head:
         label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in head.items() for x in kv]), label), label)
-    k = thickness.select("section", F.rint(F.col("um") / resolution).cast("int").alias("k")).where("k >= 1")
-    index = lambda c: F.rint(F.col(c) / resolution).cast("int")
+    k = thickness.select("section", voxel_index(F.col("um"), resolution).alias("k")).where("k >= 1")
+    index = lambda c: voxel_index(F.col(c), resolution)
     px = mask_px.join(k, "section").select("section", "tube", label.alias("label"), index("xa").alias("x"), index("ya").alias("y"), index("za").alias("z"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("dx"))
     px = px.withColumn("x", F.col("x") + F.col("dx")).where(" and ".join(f"{a} between 1 and {s - 1}" for a, s in zip(XYZ, shape)))
     one = px.groupBy(*XYZ).agg(F.max_by("label", F.struct("section", "tube")).alias("label"))

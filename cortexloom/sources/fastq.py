@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cortexloom.functions.sequences import list_literal
+
 
 def _mate(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(read_no, sequence) of one FASTQ file; a gz file is one partition, so line ids are line numbers."""
@@ -77,7 +79,7 @@ def read_tube_map(spark: SparkSession, path: str) -> DataFrame:
 def read_roi_regions(spark: SparkSession, path: str) -> DataFrame:
     """(roi, area, fraction): region lists of a text table, written as list literals, one row an entry."""
     rows = spark.read.csv(path, header=True, schema="roi int, volume_um3 double, regions string, breakdown string", escape='"')
-    pair = F.explode(F.arrays_zip(F.from_json(F.translate("regions", "'", '"'), "array<string>").alias("area"), F.from_json("breakdown", "array<double>").alias("fraction")))
+    pair = F.explode(F.arrays_zip(list_literal(F.col("regions")).alias("area"), list_literal(F.col("breakdown"), "double").alias("fraction")))
     return rows.select("roi", "volume_um3", pair.alias("p")).select("roi", "volume_um3", F.col("p.area").alias("area"), F.col("p.fraction").alias("fraction"))
 
 

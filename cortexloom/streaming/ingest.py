@@ -1,9 +1,8 @@
 """Reads that arrive run by run: demultiplexed as a stream, counted by molecule.
 
 The batch pipeline reads finished runs. A long run can be followed while its files are written:
-each micro-batch is prepared and demultiplexed without state, and the raw molecule counts are a
-streaming aggregation, so only (sample, neuron, umi) keys are kept between batches. Error
-correction needs all reads and stays a batch job on the table that the stream has written.
+each micro-batch is prepared, demultiplexed and counted without state; partial counts are tables that
+are added up when they are read. Error correction needs all reads and stays a batch job on the table that the stream has written.
 """
 
 from __future__ import annotations
@@ -28,9 +27,23 @@ def demultiplex_stream(raw: DataFrame, whitelist: list[tuple[int, str]], p: Read
     return prepared.withColumn("sample", reads.best_tag(F.col("tag"), whitelist, p.n_mismatch)).where(F.col("sample").isNotNull())
 
 
-def molecule_stream(demultiplexed: DataFrame) -> DataFrame:
-    """Running raw counts by (sample, neuron, umi)."""
-    return demultiplexed.groupBy("sample", "neuron", "umi").agg(F.count("*").alias("n"))
+def append_molecule_counts(demultiplexed: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Counts by (sample, neuron, umi) of every micro-batch, as a table of its own below ``path``; returns the running query.
+
+    Nothing is kept between batches, however long the run. A batch that is repeated after a failure replaces its table, so
+    each read counts once; ``molecule_counts_so_far`` adds the tables up.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy("sample", "neuron", "umi").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    writer = demultiplexed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def molecule_counts_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, neuron, umi, n) over the batches written by ``append_molecule_counts``."""
+    return spark.read.parquet(path).groupBy("sample", "neuron", "umi").agg(F.sum("n").alias("n"))
 
 
 def append_corrected_input(demultiplexed: DataFrame, path: str, checkpoint: str, available_now: bool = True):

@@ -516,3 +516,15 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     cols = ["read_no", "sample", "neuron", "umi"]
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(cols).collect())
     assert got == sorted(tuple(r) for r in sequencing.q_demultiplex(spark, sf).select(cols).collect())
+
+
+def test_streamed_counts_equal_batch(spark, sf, tmp_path):
+    raw = fixtures.reads(spark, sf).withColumn("acq_id", F.lit("a")).select("acq_id", "read_no", "r1", "r2")
+    raw.repartition(3).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds nothing new
+        stream = ingest.demultiplex_stream(ingest.stream_reads(spark, str(tmp_path / "in"), 1), fixtures.whitelist())
+        ingest.append_molecule_counts(stream, str(tmp_path / "counts"), str(tmp_path / "cp")).awaitTermination()
+    cols = ["sample", "neuron", "umi", "n"]
+    want = sequencing.q_demultiplex(spark, sf).groupBy("sample", "neuron", "umi").agg(F.count("*").alias("n"))
+    assert len(list((tmp_path / "counts").glob("batch=*"))) == 3
+    assert sorted(map(tuple, ingest.molecule_counts_so_far(spark, str(tmp_path / "counts")).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
