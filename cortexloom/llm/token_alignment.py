@@ -27,14 +27,14 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortexloom.llm._text import pieces, table
+from cortexloom.llm._text import pieces, raw, table
 from cortexloom.llm.curve_packing import vocabulary_text
 from cortexloom.llm.sentencepiece_codec import model_bytes
 from cortexloom.plans.scratch import Scratch
@@ -205,8 +205,15 @@ def aligner(a: str, b: bytes) -> Aligner:
     return _ALIGNERS[key]
 
 
-def aligned(docs: DataFrame, a: str, b: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links): ``groups`` as text, null without tokens; ``links`` the pairs a * (size of B) + b."""
+ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<bigint>"
+
+
+def aligned(docs: DataFrame, a: str, b: bytes, id_col: str = "doc_id", text_col: str = "text", then: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch, schema: str = ALIGNED) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups, links): ``groups`` as text, null without tokens; ``links`` the pairs a * (size of B) + b.
+
+    A caller that needs less than the groups' text, which is longer than the documents, derives it with ``then``: a function on
+    each batch of these columns, run where the batch is made, with the ``schema`` that it gives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a, b)
@@ -215,10 +222,10 @@ def aligned(docs: DataFrame, a: str, b: bytes, id_col: str = "doc_id", text_col:
             got = [(0, 0, 0, None, b"") if g is None else g for g in got]
             ends = np.cumsum([0] + [len(g[4]) // 8 for g in got])
             links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join([g[4] for g in got]), np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)], pa.array([g[3] for g in got], pa.binary()).cast(pa.string()), links], ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
+            yield then(pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)], pa.array([g[3] for g in got], pa.binary()).cast(pa.string()), links], ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"]))
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<bigint>")
+    return rows.mapInArrow(run, schema)
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +281,15 @@ def link_statistics(rows: DataFrame, size_b: int, share: int = SHARE) -> DataFra
     return part.join(rest, F.col("row") == F.col("_row"), "left").select(*kept, "n_links", add("n_best", "_best"), add("count_sum", "_n"))
 
 
+def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """SHA-256 of the groups instead of their text."""
+    sha = [hashlib.sha256(g).hexdigest() if g is not None else "" for g in raw(batch.column(4))]
+    return batch.set_column(4, "groups_sha256", pa.array(sha, pa.string()))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     a, b = vocabulary_text(public_tokenizers.path("byte_bpe_50k.json")), model_bytes()
-    rows = aligned(table(spark, sf_dir, "documents"), a, b)
-    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(F.col("groups"), 256)).alias("groups_sha256")
-    rows = Scratch(spark, "alignment").save(rows.select("doc_id", "n_a", "n_b", "n_groups", digest, "links"), "links", **SMALL_GROUPS)
-    return link_statistics(rows, aligner(a, b).size_b)
+    rows = aligned(table(spark, sf_dir, "documents"), a, b, then=_digests, schema=ALIGNED.replace("groups string", "groups_sha256 string"))
+    return link_statistics(Scratch(spark, "alignment").save(rows, "links", **SMALL_GROUPS), aligner(a, b).size_b)
