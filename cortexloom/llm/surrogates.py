@@ -68,7 +68,17 @@ SYLLABLES = {
 #: The script of a name by a letter of it.
 SCRIPTS = [(re.compile(r"[Ѐ-ӿ]"), "cyrillic"), (re.compile(r"[Ͱ-Ͽἀ-῿]"), "greek"), (re.compile(r"[㐀-鿿]"), "han"), (re.compile(r"[؀-ۿ]"), "arabic"), (re.compile(r"[ऀ-ॿ]"), "devanagari"), (re.compile(r"[가-힣]"), "hangul")]
 _HON = {h: g for g, hs in HONORIFICS.items() for h in hs.split()}
-_NAME = r"[^\W\d_a-z][^\W\d_]{1,30}"
+
+
+def _ranges(chars: list[int]) -> str:
+    """A regular expression's ranges of sorted code points."""
+    edges = [c for i, c in enumerate(chars) if i == 0 or chars[i - 1] != c - 1], [c for i, c in enumerate(chars) if i == len(chars) - 1 or chars[i + 1] != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(*edges))
+
+
+#: No word of a name begins with a lower-case letter, of whatever script.
+_LOWER = _ranges([c for c in range(0x10000) if chr(c).islower()])
+_NAME = rf"[^\W\d_{_LOWER}][^\W\d_]{{1,30}}"
 _WORD = re.compile(r"[^ \xa0-]+")
 _PERSON = re.compile(rf"\b({'|'.join(sorted(_HON, key=len, reverse=True))})\b\.?[  ]({_NAME}(?:[  -]{_NAME}){{0,2}})")
 #: What a text must hold for the slower patterns to be tried at all.

@@ -617,6 +617,13 @@ def test_surrogates_take_whole_secrets_and_all_digits():
     assert new != text and surrogates.find(new)[0][2] == "card" and all("٠" <= c <= "٩" for c in new)
 
 
+def test_surrogates_leave_lower_case_words_alone(spark):
+    rows = [(1, "доктор пришёл домой. Мы идём домой."), (2, "Herr über alles, Mr ülkü and Dr. şimdi"), (3, "Herr Über kam; доктор Иванов пришёл. Κύριος Dr Ωμέγα Άλφα")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k").collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1]
+    assert "Über" not in got[3] and "Иванов" not in got[3] and "Ωμέγα" not in got[3] and "пришёл" in got[3] and " kam; доктор " in got[3]
+
+
 def test_surrogates_keep_one_person_one(spark):
     text = "Mr. John Smith met. John Smith said; Mr Smith left. Dr. John Smith and SMITH? Smith. Frau Ελένη Παπαδοπούλου, Herr 王小明, Dr أحمد. Mrs. Mary Smith"
     rows = [(1, text), (2, "Dr. Smith"), (3, "Smith without a title"), (4, "call 555-123-4567 or 030 1234567, at 2001:db8::8a2e:370:7334")]
