@@ -46,7 +46,7 @@ SHARE = 1 << 20
 #: Letters, and what may follow a word without a space: a cut between the two is one for A, and for B unless a piece holds both.
 LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
 #: Distinct chunks in each of the two halves of a worker's memory; when one is full the older one goes, which costs time only.
-REMEMBERED = 100_000
+REMEMBERED = 125_000
 _PIECE = 1 << 20
 #: Rows of links are long: a writer buffers this much of them, not 128 MB a task.
 SMALL_GROUPS = {"parquet.block.size": str(16 << 20)}
