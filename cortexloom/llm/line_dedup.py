@@ -53,6 +53,10 @@ PARTED, SPREAD = (1, 5, 9, 13, 17, 21, 26, 32, 40, 50, 57), 40
 BROADCAST_ROWS = 500_000
 
 _ALL, _AT_WORDS = rf"(?s)(?=(.{{{SHINGLE}}}))", rf"(?s) (?=(.{{{SHINGLE}}}))"
+#: Two sets are similar only if their sizes together, times this, are at least the size of their difference.
+DIFFER = (1 - THRESHOLD) / (1 + THRESHOLD)
+#: Open lines of a star up to which all of them are compared with each other, and the words of 64 parities of a line's shingles.
+STAR, PARITIES = 32, 16
 #: Ratio of the largest to the smallest set of a class of sizes.
 CLASS = 1.04
 _BANDS = [f"b{j}" for j in range(BANDS)]
@@ -111,13 +115,13 @@ def brief_bands(brief: DataFrame) -> DataFrame:
     hashed = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_ALL), 1), lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 63) - 1)))))
     n, none = F.size("s"), F.array().cast("array<bigint>")
     banded = minima(brief.select("id", hashed.alias("s")), ["id", "s"], 0)
-    kinds = [F.when(n >= SPREAD, F.array_compact(F.array(*_BANDS))).otherwise(none)]
+    kinds = [F.when(n >= SPREAD, F.array(*_BANDS)).otherwise(none)]
     kinds += [F.when((n >= low) & (n <= high), _dealt(F.col("s"), low, parts)).otherwise(none) for low, high, parts in parted()]
-    return banded.select("id", F.explode(F.array_distinct(F.concat(*kinds))).alias("bucket"))
+    return banded.select("id", F.explode(F.array_distinct(F.concat(*kinds))).alias("bucket")).where("bucket is not null")
 
 
 def _exploded(banded: DataFrame) -> DataFrame:
-    return banded.select("id", F.explode(F.array_compact(F.array(*_BANDS))).alias("bucket"))
+    return banded.select("id", F.explode(F.array(*_BANDS)).alias("bucket")).where("bucket is not null")
 
 
 def row_hash(text: Column) -> Column:
@@ -143,8 +147,9 @@ def line_id(h: Column, n: Column) -> Column:
 
 def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(hub, id, nx, ny, both): the pairs with the sizes of both shingle sets and of what they share."""
-    left = pairs.join(texts.select(F.col("id").alias("hub"), F.col("line").alias("p")), "hub")
-    both = left.join(texts.select("id", F.col("line").alias("q")), "id").select("hub", "id", grams(F.col("p")).alias("x"), grams(F.col("q")).alias("y"))
+    left = pairs.join(texts.select("id", F.col("line").alias("q")), "id")
+    hubs = texts.select(F.col("id").alias("hub"), F.col("line").alias("p")).join(pairs.select("hub").distinct(), "hub").select("hub", grams(F.col("p")).alias("x"))  # once a hub
+    both = left.join(hubs, "hub").select("hub", "id", "x", grams(F.col("q")).alias("y"))
     return both.select("hub", "id", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
 
 
@@ -154,22 +159,47 @@ def _links(found: DataFrame) -> DataFrame:
 
 
 def open_lines(found: DataFrame, comps: DataFrame) -> DataFrame:
-    """(id, c, u): the lines of judged stars that may have a link yet, their components, and whether one is outside its hub's.
+    """(hub, id, c, u, d, n): the lines of judged stars that may have a link yet, their components, whether one is outside its hub's, in how many shingles they differ from the hub, and how many they have.
 
     With d the size of the difference of a line and its hub, two lines of a star are similar only if
-    d of the one is at most r * (both sizes) more than d of the other, where r = (1 - t) / (1 + t).
+    d of the one is at most DIFFER * (both sizes) more than d of the other.
     """
-    r, of = (1 - THRESHOLD) / (1 + THRESHOLD), _sized(comps)
+    of = _sized(comps)
     placed = found.join(of.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(of.select(F.col("node").alias("hub"), F.col("component").alias("o")), "hub", "left")
-    placed = placed.select("hub", "id", F.coalesce("c", "id").alias("c"), F.coalesce("o", "hub").alias("o"), (F.col("nx") + F.col("ny") - 2 * F.col("both")).alias("d"), (r * F.col("ny") + 1e-6).alias("slack"))
-    placed = placed.withColumn("u", F.col("c") != F.col("o"))
+    placed = placed.select("hub", "id", F.coalesce("c", "id").alias("c"), F.coalesce("o", "hub").alias("o"), (F.col("nx") + F.col("ny") - 2 * F.col("both")).alias("d"), F.col("ny").alias("n"))
+    placed = placed.withColumn("u", F.col("c") != F.col("o")).withColumn("slack", DIFFER * F.col("n") + 1e-6)
     stars = placed.groupBy("hub").agg(F.min(F.when(F.col("u"), F.col("d") - F.col("slack"))).alias("near"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("near is not null and lo < hi")
     held = placed.join(stars.select("hub", "near"), "hub").where("u or d + slack >= near")
-    return held.groupBy("id", "c").agg(F.max(F.col("u").cast("int")).cast("boolean").alias("u"))
+    return held.select("hub", "id", "c", "u", "d", "n")
 
 
-def rest_pairs(lines: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(hub, id) of the pairs of open lines that may be similar, at least one of them outside its hub's component.
+def star_pairs(held: DataFrame) -> DataFrame:
+    """(hub, id) of the pairs of open lines within each star that may be similar, at least one of them outside its hub's component."""
+    a, b = (held.select("hub", *[F.col(x).alias(f"{n}_{x}") for x in ("id", "c", "u", "d", "n")]) for n in "ab")
+    may = (F.col("a_id") > F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & (F.col("a_u") | F.col("b_u"))
+    may &= F.abs(F.col("a_d") - F.col("b_d")) <= DIFFER * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return a.join(b, "hub").where(may).select(F.col("a_id").alias("hub"), F.col("b_id").alias("id"))
+
+
+def parities(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n, x0, x1 ...): how many shingles a line has, and as bits whether their number in each of 64 * PARITIES parts of the hash range is odd."""
+    each = lines.join(texts, "id").select("id", F.explode(grams(F.col("line"))).alias("s"))
+    each = each.select("id", F.expr("shiftleft(1L, cast(s & 63 as int))").alias("bit"), F.shiftright("s", 6).bitwiseAND(F.lit(PARITIES - 1)).alias("part"))
+    bits = [F.coalesce(F.bit_xor(F.when(F.col("part") == j, F.col("bit"))), F.lit(0)).alias(f"x{j}") for j in range(PARITIES)]
+    return each.groupBy("id").agg(F.count("*").alias("n"), *bits)
+
+
+def near_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs whose parities leave room for similarity: two sets differ in at least as many shingles as their parities in bits."""
+    names = ["n", *[f"x{j}" for j in range(PARITIES)]]
+    for end, n in (("hub", "p"), ("id", "q")):
+        pairs = pairs.join(marks.select(F.col("id").alias(end), *[F.col(x).alias(f"{n}_{x}") for x in names]), end)
+    differ = sum(F.bit_count(F.col(f"p_{x}").bitwiseXOR(F.col(f"q_{x}"))) for x in names[1:])
+    return pairs.where(differ <= DIFFER * (F.col("p_n") + F.col("q_n")) + 1e-6).select("hub", "id")
+
+
+def prefix_pairs(lines: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, id) of the pairs of the lines (id, c, u, n) of different components that may be similar, at least one of them marked by u.
 
     Similar sets of n and m shingles share at least t / (1 + t) * (n + m), so they share one of
     the first n - that + 1 of each in any common order. Shingles of one line only come first and
@@ -178,8 +208,7 @@ def rest_pairs(lines: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     """
     part, step = THRESHOLD / (1 + THRESHOLD), math.log(CLASS)
     kind = lambda n: F.floor(F.log(n + 1e-6) / step).cast("int")
-    sets = lines.join(texts, "id").select("id", "c", "u", grams(F.col("line")).alias("s"))
-    sets = scratch.save(sets.select("id", "c", "u", F.size("s").alias("n"), F.explode("s").alias("s")), "grams")
+    sets = scratch.save(lines.join(texts, "id").select("id", "c", "u", "n", F.explode(grams(F.col("line"))).alias("s")), "grams")
     often = sets.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     shared = sets.join(often, "s").groupBy("id", "c", "u", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("s"))  # of one line
     shared = scratch.save(shared.select("id", "c", "u", "n", (F.col("n") - F.size("s")).alias("alone"), F.col("s.s").alias("s")), "shared")
@@ -200,41 +229,73 @@ def rest_pairs(lines: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     return found[0].unionAll(found[1]).select(F.greatest("hub", "id").alias("hub"), F.least("hub", "id").alias("id")).distinct()
 
 
+def rest_pairs(held: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, id) of the pairs of open lines that may be similar, at least one of them outside its hub's component.
+
+    Lines of stars of up to STAR open lines meet each other, those of larger ones meet through the prefix filter.
+    """
+    stars = scratch.save(held.groupBy("hub").agg((F.count("*") > STAR).alias("large")), "sizes")
+    held = held.join(_sized(stars), "hub")
+    pairs = star_pairs(held.where("not large"))
+    large = scratch.save(held.where("large").groupBy("id", "c", "n").agg(F.max("u").alias("u")), "large_stars")
+    if not large.isEmpty():
+        pairs = pairs.unionAll(prefix_pairs(large, texts, scratch))
+    pairs = scratch.save(pairs.distinct(), "rest")
+    marks = scratch.save(parities(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), texts), "parities")
+    return scratch.save(near_pairs(pairs, marks), "near")
+
+
+def _joined(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``comps`` with further links: only the components that these connect go through the union-find again."""
+    of = _sized(comps)
+    ends = links.join(of.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left").join(of.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    ends = scratch.save(ends.select("src", "dst", F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b")), "ends")
+    moved = _sized(scratch.save(connected_components(ends.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "moved").select(F.col("node").alias("component"), F.col("component").alias("to")))
+    both = comps.unionAll(ends.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("a").alias("component")), F.struct(F.col("dst").alias("node"), F.col("b").alias("component")))).alias("x")).select("x.*")).distinct()
+    return scratch.save(both.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+
+
 def _linked(docs: DataFrame, reps: DataFrame, brief: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the ids of all lines that are similar to another one."""
-    banded = _exploded(reps).unionAll(scratch.save(brief_bands(brief), "brief_bands"))
+    bands = scratch.save(brief_bands(brief), "brief_bands")
+    banded = _exploded(reps).unionAll(bands)
     stars = scratch.save(banded.groupBy("bucket").agg(F.max("id").alias("hub"), F.min("id").alias("least")).where("least < hub").select("bucket", "hub"), "stars")
     pairs = scratch.save(banded.join(_sized(stars), "bucket").where("id <> hub").select("hub", "id").distinct(), "pairs")
+    scratch.drop(bands)
+    scratch.drop(stars)
     ids = scratch.save(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct().select("id", F.col("id").bitwiseAND(F.lit(_HASH)).alias("k")), "ids")
     texts = _lines(docs).select(F.col("h").bitwiseAND(F.lit(_HASH)).alias("k"), "line").join(_sized(ids), "k")
     texts = scratch.save(texts.groupBy("id").agg(F.first("line").alias("line")), "texts")
     found = scratch.save(judged(pairs, texts), "judged")
     comps = scratch.save(connected_components(_links(found)), "components")
-    rest = scratch.save(open_lines(found, comps), "open")
-    more = _links(scratch.save(judged(scratch.save(rest_pairs(rest, texts, scratch), "rest"), texts), "judged"))
-    return comps if more.isEmpty() else scratch.save(connected_components(_links(found).unionAll(more)), "components")
+    held = scratch.save(open_lines(found, comps), "open")
+    more = scratch.save(_links(judged(rest_pairs(held, texts, scratch), texts)), "more")
+    scratch.drop(texts)
+    return comps if more.isEmpty() else _joined(comps, more, scratch)
 
 
 def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, t, gone): the numbers of the lines that a document loses; documents that lose none are absent."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = Scratch(docs.sparkSession, "lines", tidy=True)
     long = _lines(docs).where(F.length("line") > WORDED_CHARS)
     seen = minima(long.select("h", F.sort_array(grams(F.concat(F.lit(" "), "line"), _AT_WORDS)).alias("s")), ["h"])
     firsts = [F.first(b).alias(b) for b in _BANDS]  # columns of their own keep the grouping a hash aggregation
     named = lambda df: df.withColumn("id", line_id(F.col("h"), F.col("n")))
     reps = named(scratch.save(seen.groupBy("h").agg(F.count("*").alias("n"), *firsts), "reps"))
-    brief = named(scratch.save(_lines(docs).where(wordless(F.col("line"))).groupBy("h", "line").agg(F.count("*").alias("n")), "brief"))
+    worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    least = (F.length("line") >= MIN_CHARS) | worded if short else None
+    brief = scratch.save(_lines(docs, least).where(wordless(F.col("line"))).groupBy("h", "line").agg(F.count("*").alias("n")), "brief")
+    tiny, brief = brief.where(F.length("line") < MIN_CHARS), named(brief.where(F.length("line") >= MIN_CHARS))
     comps = _linked(docs, reps, brief, scratch)
 
     reps = reps.select("h", "id", "n").unionAll(brief.where(F.length("line") <= WORDED_CHARS).select("h", "id", "n"))
     grouped = reps.join(_sized(comps.withColumnRenamed("node", "id")), "id", "left").where("n > 1 or component is not null")
-    grouped = scratch.save(grouped.select("h", F.coalesce("component", "id").alias("c")), "grouped")
-    worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    grouped = grouped.select("h", F.coalesce("component", "id").alias("c"))
+    grouped = grouped if short else scratch.save(grouped, "grouped")
     if short:  # equal short lines are groups of their own
-        brief = _lines(docs, (F.length("line") < MIN_CHARS) & worded).groupBy("h").count().where("count > 1")
-        grouped = scratch.save(grouped.unionAll(brief.select("h", F.col("h").alias("c"))), "grouped")
-    again = scratch.save(_lines(docs, (F.length("line") >= MIN_CHARS) | worded if short else None).select("doc_id", "t", "line_no", "h").join(_sized(grouped), "h").select("c", "doc_id", "t", "line_no"), "again")
+        grouped = scratch.save(grouped.unionAll(tiny.where("n > 1").select("h", F.col("h").alias("c"))), "grouped")
+    again = scratch.save(_lines(docs, least).select("doc_id", "t", "line_no", "h").join(_sized(grouped), "h").select("c", "doc_id", "t", "line_no"), "again")
     keep = scratch.save(again.groupBy("c").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("k")).select("c", F.col("k.doc_id").alias("kd"), F.col("k.t").alias("kt"), F.col("k.line_no").alias("kl")), "keep")
     gone = again.join(_sized(keep), "c").where("not (doc_id <=> kd and t = kt and line_no = kl)")
     return scratch.save(gone.groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone")), "gone")

@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; in local mode, where that may be unset, a new folder."""
@@ -26,10 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one job: ``save`` writes and rereads, ``drop`` deletes."""
+    """Tables of one job: ``save`` writes and rereads, ``drop`` deletes; with ``tidy`` shuffle files go as soon as their table stands."""
 
-    def __init__(self, spark: SparkSession, job: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, job: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
         self.n = 0
         jvm = spark.sparkContext._jvm
@@ -41,7 +43,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}_{name}"
-        df.write.options(**options).parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true" if self.tidy else before)
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # keeps the frame's table findable for drop()
         return out

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from cortexloom.llm import language_id, line_dedup, maxent_lm, mixing, quality_classifier, quality_rules, queries, sentencepiece_codec, simhash, surrogates, topk
 from cortexloom.llm._text import held_out
+from cortexloom.operators.components import connected_components
+from cortexloom.plans.scratch import Scratch
 
 WORDS = "anton berta cäsar dora emil friedrich gustav heinrich ida julius kaufmann ludwig martha nordpol otto paula quelle richard samuel theodor ulrich viktor wilhelm xanthippe ypsilon zeppelin".split()
 
@@ -419,6 +422,52 @@ def test_line_dedup_meets_the_rest_of_a_group(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_verifies_few_of_the_rest(spark):
+    """What stars leave open: every similar pair of a star of any size is verified, and few that are not similar."""
+    rng, lines, stars = np.random.default_rng(17), [], []
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    for size in (3, 12, line_dedup.STAR + 20):
+        base = [word() for _ in range(60)]
+        stars.append(range(len(lines), len(lines) + size))
+        for k in range(size):
+            words = base if k % 4 else [word() if i < 12 else w for i, w in enumerate(base)]  # some are like each other, and not like the hub
+            words = list(base if k == size - 1 else words)
+            for _ in range(0 if k == size - 1 else int(rng.integers(1, 12))):
+                words[int(rng.integers(12, 60))] = word()
+            if k % 4 == 0 and k:
+                words = lines[-4].split()[:20] + words[20:]
+            lines.append(" ".join(words))
+    sets = [{x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)} for x in lines]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
+    pairs = spark.createDataFrame([(g[-1], k) for g in stars for k in g[:-1]], "hub bigint, id bigint")
+    scratch = Scratch(spark, "test", tidy=True)
+    found = scratch.save(line_dedup.judged(pairs, texts))
+    comps = scratch.save(connected_components(line_dedup._links(found)))
+    of = {r["node"]: r["component"] for r in comps.collect()}
+    held = scratch.save(line_dedup.open_lines(found, comps))
+    got = {(r["hub"], r["id"]) for r in line_dedup.rest_pairs(held, texts, scratch).collect()}
+    like = lambda a, b: len(sets[a] & sets[b]) >= line_dedup.THRESHOLD * len(sets[a] | sets[b])
+    # two of a star that are both in the hub's component need no link
+    want = {(a, b) for g in stars for a in g[:-1] for b in g if b < a and of.get(a, a) != of.get(b, b) and like(a, b)}
+    assert want and want <= got and len(got) <= 2 * len(want) + 20
+
+
+def test_tidy_scratch_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before = files()
+    out = Scratch(spark, "test", tidy=True).save(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 10
+
+
 def test_line_dedup_cases(docs, clash, empty):
     for df in (docs, clash):
         out = line_dedup.dedup_lines(df, counts="n_lines" not in df.columns)
