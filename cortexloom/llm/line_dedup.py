@@ -52,7 +52,7 @@ PARTED, SPREAD = (1, 5, 9, 13, 17, 21, 26, 32, 40, 50, 57), 40
 #: Rows up to which a table of (id, a few numbers) is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
-_ALL, _AT_WORDS = rf"(?s)(?=(.{{{SHINGLE}}}))", rf"(?s) (?=(.{{{SHINGLE}}}))"
+_AT_WORDS = rf"(?s) (?=({'.' * SHINGLE}))"
 #: Two sets are similar only if their sizes together, times this, are at least the size of their difference.
 DIFFER = (1 - THRESHOLD) / (1 + THRESHOLD)
 #: Open lines of a star up to which all of them are compared with each other, and the words of 64 parities of a line's shingles.
@@ -68,14 +68,21 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def grams(line: Column, pattern: str = _ALL) -> Column:
-    """Hashes of the distinct character shingles of a line."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), 1), lambda x: F.xxhash64(x)))
+def grams(line: Column) -> Column:
+    """Hashes of the distinct character shingles of a line of at least SHINGLE code points."""
+    wide = 4 * SHINGLE  # bytes of a shingle in UTF-32, where each code point has four
+    hashes = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - (wide - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(wide))))
+    return F.array_distinct(_let(F.encode(line, "UTF-32"), hashes))
 
 
-def minima(lines: DataFrame, keep: list[str], low: int = -(1 << 63)) -> DataFrame:
-    """``keep`` and the columns b0, b1 ...: bands of neighbouring minima of s, the sorted hashes (from ``low`` on) of a line."""
-    starts = [low + j * (((1 << 63) - low) // BANDS) for j in range(BANDS)]
+def starts_of(n: int) -> list[int]:
+    """Where ``n`` equal ranges of the 64-bit hashes begin."""
+    return [j * ((1 << 64) // n) - (1 << 63) for j in range(n)]
+
+
+def minima(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the columns b0, b1 ...: bands of neighbouring minima of s, the sorted hashes of a line (all null where s is)."""
+    starts = starts_of(BANDS)
     marked = lines.select(*keep, "s", F.sort_array(F.concat("s", F.array(*map(F.lit, starts)))).alias("m"), F.concat("s", F.slice("s", 1, ROWS)).alias("w"))
     before = [(F.array_position("m", F.lit(x)) - 1 - j).cast("int").alias(f"c{j}") for j, x in enumerate(starts)]  # hashes below a start
     placed = marked.select(*keep, "w", *before, F.size("s").alias(f"c{BANDS}"))
@@ -92,36 +99,30 @@ def parted() -> list[tuple[int, int, int]]:
     return out
 
 
-def wordless(line: Column) -> Column:
-    """Whether the shingles at words may be too few to find the line."""
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return (F.length(line) <= SHORT_CHARS) | (words < FEW_WORDS) | (words * WORD_CHARS < F.length(line))
+def wordless(line: Column, at: Column) -> Column:
+    """Whether the shingles at words, ``at``, may be too few to find the line."""
+    return (F.length(line) <= SHORT_CHARS) | (F.size(at) < FEW_WORDS) | (F.size(at) * WORD_CHARS < F.length(line))
 
 
 def _dealt(s: Column, low: int, n: int) -> Column:
-    """Band hashes of sorted positive hashes ``s``, dealt by remainder into ``n`` parts."""
-    part = lambda x: F.shiftright(x, 56)
-    keyed = F.sort_array(F.transform(s, lambda x: F.shiftleft(x % n, 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))))
-
-    def slices(k: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (part(F.get(k, i)) != part(F.get(k, i - 1))))
-        return _let(begins, lambda at: F.transform(at, lambda i, j: F.xxhash64(F.lit(low), F.slice(k, i + 1, F.coalesce(F.get(at, j + 1), F.size(k)) - i))))
-
-    return _let(keyed, slices)
+    """Band hashes of sorted hashes ``s``, dealt into ``n`` equal ranges of the hashes; null for an empty one."""
+    starts = starts_of(n)[1:]
+    ends = lambda m: F.array(F.lit(0), *[(F.array_position(m, F.lit(x)) - 1 - j).cast("int") for j, x in enumerate(starts)], F.size(s))
+    slices = lambda at: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda p: F.when(at[p - 1] < at[p], F.xxhash64(F.lit(low), F.slice(s, at[p - 1] + 1, at[p] - at[p - 1]))))
+    return _let(_let(F.sort_array(F.concat(s, F.array(*map(F.lit, starts)))), ends), slices)
 
 
 def brief_bands(brief: DataFrame) -> DataFrame:
     """(id, bucket) of the bands of all character shingles of (id, line)."""
-    hashed = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_ALL), 1), lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 63) - 1)))))
     n, none = F.size("s"), F.array().cast("array<bigint>")
-    banded = minima(brief.select("id", hashed.alias("s")), ["id", "s"], 0)
+    banded = minima(brief.select("id", F.sort_array(grams(F.col("line"))).alias("s")), ["id", "s"])
     kinds = [F.when(n >= SPREAD, F.array(*_BANDS)).otherwise(none)]
     kinds += [F.when((n >= low) & (n <= high), _dealt(F.col("s"), low, parts)).otherwise(none) for low, high, parts in parted()]
     return banded.select("id", F.explode(F.array_distinct(F.concat(*kinds))).alias("bucket")).where("bucket is not null")
 
 
 def _exploded(banded: DataFrame) -> DataFrame:
-    return banded.select("id", F.explode(F.array(*_BANDS)).alias("bucket")).where("bucket is not null")
+    return banded.unpivot("id", _BANDS, "band", "bucket").select("id", "bucket").where("bucket is not null")
 
 
 def row_hash(text: Column) -> Column:
@@ -210,8 +211,9 @@ def prefix_pairs(lines: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFr
     kind = lambda n: F.floor(F.log(n + 1e-6) / step).cast("int")
     sets = scratch.save(lines.join(texts, "id").select("id", "c", "u", "n", F.explode(grams(F.col("line"))).alias("s")), "grams")
     often = sets.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
-    shared = sets.join(often, "s").groupBy("id", "c", "u", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("s"))  # of one line
-    shared = scratch.save(shared.select("id", "c", "u", "n", (F.col("n") - F.size("s")).alias("alone"), F.col("s.s").alias("s")), "shared")
+    ranked = F.shiftleft(F.least("f", F.lit((1 << 15) - 1)), 48).bitwiseOR(F.col("s").bitwiseAND(F.lit((1 << 48) - 1)))  # rare ones first, then by hash
+    shared = sets.join(often, "s").groupBy("id", "c", "u", "n").agg(F.sort_array(F.collect_list(ranked)).alias("s"))
+    shared = scratch.save(shared.select("id", "c", "u", "n", (F.col("n") - F.size("s")).alias("alone"), "s"), "shared")
 
     def posts(partner: Column) -> Column:  # how many of s are among the first ones for a partner of so many shingles
         first = F.col("n") - F.ceil(part * (F.col("n") + partner) - 1e-6) + 1
@@ -255,17 +257,28 @@ def _joined(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(both.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
 
 
-def _linked(docs: DataFrame, reps: DataFrame, brief: DataFrame, scratch: Scratch) -> DataFrame:
+def signed(lines: DataFrame) -> DataFrame:
+    """(h, line, n, b0, b1 ...) of the distinct lines: the text of those that need bands of all their shingles, how often a line occurs, and the bands at words of those beyond WORDED_CHARS (else null).
+
+    One pass over the texts, and one shuffle.
+    """
+    at = F.when(F.length("line") > WORDED_CHARS, F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(_AT_WORDS), 1))
+    hashed = F.sort_array(F.array_distinct(F.transform("at", lambda x: F.xxhash64(x))))
+    each = lines.select("h", "line", at.alias("at")).select("h", F.when(wordless(F.col("line"), F.col("at")), F.col("line")).alias("line"), hashed.alias("s"))
+    return minima(each, ["h", "line"]).groupBy("h", "line", *_BANDS).agg(F.count("*").alias("n"))  # equal lines have equal bands
+
+
+def _linked(docs: DataFrame, seen: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the ids of all lines that are similar to another one."""
-    bands = scratch.save(brief_bands(brief), "brief_bands")
-    banded = _exploded(reps).unionAll(bands)
+    bands = scratch.save(brief_bands(seen.where("line is not null")), "brief_bands")
+    banded = _exploded(seen.where(F.coalesce(*_BANDS).isNotNull())).unionAll(bands)
     stars = scratch.save(banded.groupBy("bucket").agg(F.max("id").alias("hub"), F.min("id").alias("least")).where("least < hub").select("bucket", "hub"), "stars")
     pairs = scratch.save(banded.join(_sized(stars), "bucket").where("id <> hub").select("hub", "id").distinct(), "pairs")
     scratch.drop(bands)
     scratch.drop(stars)
     ids = scratch.save(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct().select("id", F.col("id").bitwiseAND(F.lit(_HASH)).alias("k")), "ids")
     texts = _lines(docs).select(F.col("h").bitwiseAND(F.lit(_HASH)).alias("k"), "line").join(_sized(ids), "k")
-    texts = scratch.save(texts.groupBy("id").agg(F.first("line").alias("line")), "texts")
+    texts = scratch.save(texts.select("id", "line").distinct(), "texts")
     found = scratch.save(judged(pairs, texts), "judged")
     comps = scratch.save(connected_components(_links(found)), "components")
     held = scratch.save(open_lines(found, comps), "open")
@@ -278,18 +291,13 @@ def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, t, gone): the numbers of the lines that a document loses; documents that lose none are absent."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "lines", tidy=True)
-    long = _lines(docs).where(F.length("line") > WORDED_CHARS)
-    seen = minima(long.select("h", F.sort_array(grams(F.concat(F.lit(" "), "line"), _AT_WORDS)).alias("s")), ["h"])
-    firsts = [F.first(b).alias(b) for b in _BANDS]  # columns of their own keep the grouping a hash aggregation
-    named = lambda df: df.withColumn("id", line_id(F.col("h"), F.col("n")))
-    reps = named(scratch.save(seen.groupBy("h").agg(F.count("*").alias("n"), *firsts), "reps"))
     worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
     least = (F.length("line") >= MIN_CHARS) | worded if short else None
-    brief = scratch.save(_lines(docs, least).where(wordless(F.col("line"))).groupBy("h", "line").agg(F.count("*").alias("n")), "brief")
-    tiny, brief = brief.where(F.length("line") < MIN_CHARS), named(brief.where(F.length("line") >= MIN_CHARS))
-    comps = _linked(docs, reps, brief, scratch)
+    seen = scratch.save(signed(_lines(docs, least)), "seen").withColumn("id", line_id(F.col("h"), F.col("n")))
+    tiny, full = seen.where(F.length("line") < MIN_CHARS), seen.where(F.col("line").isNull() | (F.length("line") >= MIN_CHARS))
+    comps = _linked(docs, full, scratch)
 
-    reps = reps.select("h", "id", "n").unionAll(brief.where(F.length("line") <= WORDED_CHARS).select("h", "id", "n"))
+    reps = full.select("h", "id", "n")
     grouped = reps.join(_sized(comps.withColumnRenamed("node", "id")), "id", "left").where("n > 1 or component is not null")
     grouped = grouped.select("h", F.coalesce("component", "id").alias("c"))
     grouped = grouped if short else scratch.save(grouped, "grouped")

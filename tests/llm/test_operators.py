@@ -650,6 +650,37 @@ def test_line_dedup_removes_exact_repeats_of_short_lines(spark):
     assert got == {None: "今日は天気がいい", 1: " \nHome page\n" + prose(1, 20), 2: " \nHome pages", 3: None}
 
 
+def test_line_signatures_take_one_pass(spark):
+    """Lines of every kind are signed by one scan and one shuffle; only those that need all their shingles keep a text."""
+    long, wide, flat = prose(7, 120), "word " * 5 + "x" * 400, "🙂日é" * 20
+    rows = [(1, "\n".join([long, "a line of some forty characters, no more", flat])), (2, long + "\n" + wide)]
+    lines = line_dedup._lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    signed = line_dedup.signed(lines)
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan ExistingRDD") == 1 and "SortAggregate" not in plan
+    got = {(r["line"], r["n"], all(r[f"b{j}"] is None for j in range(line_dedup.BANDS))) for r in signed.collect()}
+    assert got == {(None, 2, False), (rows[0][1].split("\n")[1], 1, True), (flat, 1, True), (wide, 1, False)}
+    for line, n in spark.createDataFrame([(x,) for x in (long, wide, flat)], "line string").select("line", F.size(line_dedup.grams(F.col("line")))).collect():
+        assert n == len({line[k : k + line_dedup.SHINGLE] for k in range(len(line) - line_dedup.SHINGLE + 1)})
+
+
+def test_line_parts_hold_a_band_in_common(spark):
+    """Two sets have a band in common for each part of the hashes in which they are equal and not empty."""
+    rng = np.random.default_rng(23)
+    some = lambda n: [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)]
+    for low, _, parts in line_dedup.parted()[4:]:
+        rows, want, starts = [], [], line_dedup.starts_of(parts)
+        for _ in range(20):
+            same = some(low - (parts - 1) // 2)
+            a, b = (sorted(same + some((parts - 1) // 2)) for _ in "ab")
+            rows.append((len(rows), a, b))
+            cut = [[tuple(x for x in v if s <= x < e) for s, e in zip(starts, [*starts[1:], 1 << 63])] for v in (a, b)]
+            want.append(sum(x == y != () for x, y in zip(*cut)))
+        df = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>")
+        got = df.select("k", *[F.filter(line_dedup._dealt(F.col(x), low, parts), lambda v: v.isNotNull()).alias(x) for x in "ab"]).orderBy("k").collect()
+        assert [len(set(r["a"]) & set(r["b"])) for r in got] == want and sum(want) > 20
+
+
 def test_surrogates_take_whole_secrets_and_all_digits():
     key, jwt = "k9" * 450, "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM_x-y"
     for text, value in ((f"token={key} end", key), (f'token = "{jwt}"', jwt), (f"token: {jwt}.", jwt), ("password: Tr0ub!dor&3xyzabc", "Tr0ub!dor&3xyzabc"), ("password='two words, here'", "two words, here")):
