@@ -26,13 +26,14 @@ def hamming1_edges(nodes: DataFrame, length: int) -> DataFrame:
     """(src, dst) node ids at distance 1 in one scope with n_src >= 2 n_dst - 1, by equi-join on masked keys.
 
     ``nodes``: id, scope_key, seq, n. Two sequences share a masked key exactly if they differ at
-    most there, so no verification follows and a key holds at most one row a letter.
+    most there, so no verification follows and a key holds at most one row a letter. The keys are
+    ``length`` rows a node, which estimates from the table's size leave out: they are merged, never broadcast.
     """
     keyed = nodes.select("id", "scope_key", "n", F.explode(masked_keys(F.col("seq"), length)).alias("k"))
     keyed = keyed.select("id", "n", F.xxhash64("scope_key").alias("s"), "scope_key", F.col("k.pos").alias("pos"), F.col("k.rest").alias("rest"))
     a, b = keyed.alias("a"), keyed.alias("b")
     same = (F.col("a.s") == F.col("b.s")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.scope_key") == F.col("b.scope_key"))
-    joined = a.join(b, same & (F.col("a.id") != F.col("b.id")) & (F.col("a.n") >= 2 * F.col("b.n") - 1))
+    joined = a.join(b.hint("merge"), same & (F.col("a.id") != F.col("b.id")) & (F.col("a.n") >= 2 * F.col("b.n") - 1))
     return joined.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("b.n").alias("n_dst"))
 
 

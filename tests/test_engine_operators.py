@@ -528,3 +528,12 @@ def test_streamed_counts_equal_batch(spark, sf, tmp_path):
     want = sequencing.q_demultiplex(spark, sf).groupBy("sample", "neuron", "umi").agg(F.count("*").alias("n"))
     assert len(list((tmp_path / "counts").glob("batch=*"))) == 3
     assert sorted(map(tuple, ingest.molecule_counts_so_far(spark, str(tmp_path / "counts")).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_exploded_keys_are_never_broadcast(spark, tmp_path):
+    """A key table is many rows a node, which the size of the nodes' file does not show."""
+    spark.createDataFrame([("a", "s", "ACGT", 5), ("b", "s", "ACGA", 2), ("c", "t", "ACGA", 2)], "id string, scope_key string, seq string, n bigint").write.parquet(str(tmp_path / "nodes"))
+    edges = cluster.hamming1_edges(spark.read.parquet(str(tmp_path / "nodes")), 4)
+    assert [tuple(r) for r in edges.collect()] == [("a", "b", 2)]
+    plan = edges._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
