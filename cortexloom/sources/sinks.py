@@ -53,14 +53,14 @@ def write_dense_matrices(bc: DataFrame, source_samples: list[int], path: str, ov
 def write_paired_fastq(pairs: DataFrame, folder: str, acq_id: str) -> None:
     """(read_no, r1, r2) as ``{acq_id}_R1.fastq.gz`` and ``{acq_id}_R2.fastq.gz``, in the order of ``read_no``; qualities are made up.
 
-    One file a mate, as sequencers give it, so one task writes each.
+    Both files are sorted by the whole pair, so mates stay together where ``read_no`` is shared. One file a mate, as sequencers give it, so one task writes each.
     """
     jvm = pairs.sparkSession.sparkContext._jvm
     for mate in ("r1", "r2"):
         sequence = F.col(mate)
         record = F.concat_ws("\n", F.concat(F.lit(f"@{acq_id}:"), F.col("read_no").cast("string")), sequence, F.lit("+"), F.repeat(F.lit("I"), F.length(sequence)))
         part = f"{folder}/.{uuid.uuid4().hex}"
-        pairs.repartition(1).sortWithinPartitions("read_no").select(record.alias("value")).write.option("compression", "gzip").text(part)
+        pairs.repartition(1).sortWithinPartitions("read_no", "r1", "r2").select(record.alias("value")).write.option("compression", "gzip").text(part)
         at = jvm.org.apache.hadoop.fs.Path(part)
         files = at.getFileSystem(pairs.sparkSession.sparkContext._jsc.hadoopConfiguration())
         (written,) = [f.getPath() for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{part}/part-*"))]

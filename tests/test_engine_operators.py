@@ -537,3 +537,11 @@ def test_exploded_keys_are_never_broadcast(spark, tmp_path):
     assert [tuple(r) for r in edges.collect()] == [("a", "b", 2)]
     plan = edges._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_mates_of_shared_read_numbers_stay_together(spark, tmp_path):
+    pairs = [(i % 3, f"A{i * 7919 % 1000:03d}", f"C{i:03d}") for i in range(600)]
+    df = spark.createDataFrame(pairs, "read_no bigint, r1 string, r2 string").repartition(5, "r2")
+    sinks.write_paired_fastq(df, str(tmp_path), "run")
+    got = [(r["r1"], r["r2"]) for r in fastq.read_paired_fastq(spark, str(tmp_path), "run").collect()]
+    assert sorted(got) == sorted(p[1:] for p in pairs)
