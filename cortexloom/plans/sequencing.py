@@ -136,12 +136,14 @@ def q_expected_duplicates(spark, d):
 
 def q_runs_through_files(spark, d):
     """Two sequencing runs and a tube map as files: written, read, paired, united, demultiplexed, counted, and the counts written and read again."""
-    folder, pairs = Scratch(spark, "runs").root, fixtures.reads(spark, d)
+    scratch = Scratch(spark, "runs")
+    folder, pairs = scratch.root, scratch.save(fixtures.reads(spark, d), "pairs")
     for run, odd in (("run_a", 0), ("run_b", 1)):
         sinks.write_paired_fastq(pairs.where(f"read_no % 2 = {odd}"), f"{folder}/fastq", run)
     spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey AS sample", "(n_nationkey * 7) % 11 AS tube").write.csv(f"{folder}/tubes", header=True)
     raw = fastq.union_runs(*[fastq.read_paired_fastq(spark, f"{folder}/fastq", run) for run in ("run_a", "run_b")])
-    sampled = reads.demultiplex(reads.prepare_reads(raw), whitelist())
+    prepared = scratch.save(reads.prepare_reads(raw).select("neuron", "tag"), "prepared")
+    sampled = reads.demultiplex(prepared, whitelist())
     counted = sampled.groupBy("sample", "neuron").agg(F.count("*").alias("counts"))
     p = MoleculeParams()
     sinks.write_counts(reads.classify(counted, p.spike_pattern, p.neuron_pattern).select("kind", "sample", F.col("neuron").alias("barcode"), "counts"), f"{folder}/counts")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,10 +14,42 @@ from pyspark.sql import types as T
 from cortexloom.functions.sequences import list_literal
 
 
-def _mate(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(read_no, sequence) of one FASTQ file; a gz file is one partition, so line ids are line numbers."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    return lines.where("line % 4 = 1").select(F.expr("line div 4").alias("read_no"), F.trim("value").alias(name))
+#: Read numbers of a run's later parts begin at multiples of this.
+PART = 1 << 40
+
+
+def _mate(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
+    """(read_no, sequence) of a mate's files, in the order of its parts.
+
+    A gz file is read by one task, from its first line to its last, so lines are counted in the Arrow batches as they come.
+    A task may read several files, one after the other.
+    """
+    part = {p.rsplit("/", 1)[1]: k for k, p in enumerate(paths)}
+
+    def second_lines(batches):
+        now, line = None, 0
+        for b in batches:
+            files, values, at = b.column(0), b.column(1), 0
+            while at < b.num_rows:
+                if (file := files[at].as_py()) != now:
+                    now, line = file, 0
+                rest = files.slice(at)
+                n = len(rest) if rest[-1].as_py() == now else pc.index(pc.not_equal(rest, now), True).as_py()
+                take = np.arange(at + (1 - line) % 4, at + n, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(part[now] * PART + (line + take - at) // 4), values.take(pa.array(take))], ["read_no", name])
+                at, line = at + n, line + n
+
+    lines = spark.read.text(paths).select("_metadata.file_name", "value")
+    return lines.mapInArrow(second_lines, f"read_no bigint, {name} string").withColumn(name, F.trim(name))
+
+
+def _parts(files: list[str]) -> dict[str, str]:
+    """Files by the number of their part; more than one only if their names differ in that number alone."""
+    stems = {re.sub(r"_\d+(?=\.fastq\.gz$)", "", f) for f in files}
+    numbers = [re.search(r"(?:_(\d+))?\.fastq\.gz$", f)[1] or "" for f in files]
+    if len(files) > 1 and (len(stems) > 1 or "" in numbers):
+        return {}
+    return dict(zip(numbers, files))
 
 
 def _files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
@@ -25,20 +62,24 @@ def _files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
 def read_paired_fastq(spark: SparkSession, folder: str, acq_id: str | list[str], partitions: int | None = None) -> DataFrame:
     """(acq_id, read_no, r1, r2) of one or more sequencing runs.
 
-    Each run must have exactly one file named R1 and one named R2 among ``{acq_id}*.fastq.gz``;
-    else ValueError. Mates are paired by their place in the file; the shorter file decides.
+    Each run must have exactly one file named R1 and one named R2 among ``{acq_id}*.fastq.gz``, or numbered parts of
+    one (``.._001.fastq.gz`` and so on), the same for both mates; else ValueError. Mates are paired by their place in the file;
+    the shorter file decides.
     """
     runs = None
     for acq in [acq_id] if isinstance(acq_id, str) else acq_id:
         mates = {}
         for mate in ("R1", "R2"):
             found = [f for f in _files(spark, folder, f"{acq}*.fastq.gz") if mate in f.rsplit("/", 1)[1]]
-            if len(found) != 1:
-                raise ValueError(f"{acq}: {len(found)} files with {mate} in {folder}, expected one")
-            mates[mate] = found[0]
-        one = _mate(spark, mates["R1"], "r1").join(_mate(spark, mates["R2"], "r2"), "read_no")
-        one = one.select(F.lit(acq).alias("acq_id"), "read_no", "r1", "r2")
-        runs = one if runs is None else runs.unionByName(one)
+            mates[mate] = _parts(found)
+            if not mates[mate]:
+                raise ValueError(f"{acq}: {len(found)} files with {mate} in {folder}, expected one or its parts")
+        if len(mates["R1"]) > 1 or len(mates["R2"]) > 1:
+            if alone := sorted(mates["R1"].keys() ^ mates["R2"].keys()):
+                raise ValueError(f"{acq}: parts {', '.join(alone)} of R1 or R2 have no other mate in {folder}")
+        one = [_mate(spark, [mates[m][k] for k in sorted(mates[m], key=lambda k: int(k or 0))], m.lower()) for m in ("R1", "R2")]
+        both = one[0].join(one[1].hint("merge"), "read_no").select(F.lit(acq).alias("acq_id"), "read_no", "r1", "r2")
+        runs = both if runs is None else runs.unionByName(both)
     if runs is None:
         raise ValueError("no sequencing run is given")
     return runs.repartition(partitions) if partitions else runs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,22 +51,34 @@ def write_dense_matrices(bc: DataFrame, source_samples: list[int], path: str, ov
     left.write.mode(_mode(overwrite)).parquet(f"{path}/without_source")
 
 
-def write_paired_fastq(pairs: DataFrame, folder: str, acq_id: str) -> None:
+#: Reads of a FASTQ file, as sequencers' software cuts them.
+FASTQ_READS = 4_000_000
+
+
+def write_paired_fastq(pairs: DataFrame, folder: str, acq_id: str, file_reads: int = FASTQ_READS) -> None:
     """(read_no, r1, r2) as ``{acq_id}_R1.fastq.gz`` and ``{acq_id}_R2.fastq.gz``, in the order of ``read_no``; qualities are made up.
 
-    Both files are sorted by the whole pair, so mates stay together where ``read_no`` is shared. One file a mate, as sequencers give it, so one task writes each.
+    Runs of more than ``file_reads`` are cut into numbered parts, ``{acq_id}_R1_00001.fastq.gz`` and so on, of about so many reads each: a task
+    writes a part of both mates. Pairs are sorted as wholes, so mates stay together where ``read_no`` is shared. ``pairs`` is
+    read three times, so hand in a written table.
     """
     jvm = pairs.sparkSession.sparkContext._jvm
-    for mate in ("r1", "r2"):
-        sequence = F.col(mate)
-        record = F.concat_ws("\n", F.concat(F.lit(f"@{acq_id}:"), F.col("read_no").cast("string")), sequence, F.lit("+"), F.repeat(F.lit("I"), F.length(sequence)))
-        part = f"{folder}/.{uuid.uuid4().hex}"
-        pairs.repartition(1).sortWithinPartitions("read_no", "r1", "r2").select(record.alias("value")).write.option("compression", "gzip").text(part)
-        at = jvm.org.apache.hadoop.fs.Path(part)
-        files = at.getFileSystem(pairs.sparkSession.sparkContext._jsc.hadoopConfiguration())
-        (written,) = [f.getPath() for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{part}/part-*"))]
-        files.rename(written, jvm.org.apache.hadoop.fs.Path(f"{folder}/{acq_id}_{mate.upper()}.fastq.gz"))
-        files.delete(at, True)
+    key, part = ["read_no", "r1", "r2"], f"{folder}/.{uuid.uuid4().hex}"
+    parts = max(1, math.ceil(pairs.count() / file_reads))
+    own = pairs.select(*key).repartitionByRange(parts, *key) if parts > 1 else pairs.select(*key).repartition(1)
+    each = own.withColumn("mate", F.explode(F.array(F.lit("R1"), F.lit("R2"))))
+    sequence = F.when(F.col("mate") == "R1", F.col("r1")).otherwise(F.col("r2"))
+    record = F.concat_ws("\n", F.concat(F.lit(f"@{acq_id}:"), F.col("read_no").cast("string")), sequence, F.lit("+"), F.repeat(F.lit("I"), F.length(sequence)))
+    each.sortWithinPartitions("mate", *key).select("mate", record.alias("value")).write.partitionBy("mate").option("compression", "gzip").text(part)
+    at = jvm.org.apache.hadoop.fs.Path(part)
+    files = at.getFileSystem(pairs.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for mate in ("R1", "R2"):
+        if not files.exists(jvm.org.apache.hadoop.fs.Path(f"{part}/mate={mate}")):  # a run without reads
+            own.limit(0).select("r1").write.option("compression", "gzip").text(f"{part}/mate={mate}")
+        written = sorted((f.getPath() for f in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{part}/mate={mate}/part-*")) or []), key=lambda f: f.getName())
+        for k, f in enumerate(written, 1):
+            files.rename(f, jvm.org.apache.hadoop.fs.Path(f"{folder}/{acq_id}_{mate}{f'_{k:05d}' if len(written) > 1 else ''}.fastq.gz"))
+    files.delete(at, True)
 
 
 def collate_null_stats(spark: SparkSession, parts: str, target: str, name: str, overwrite: bool = True) -> str | None:

@@ -545,3 +545,24 @@ def test_mates_of_shared_read_numbers_stay_together(spark, tmp_path):
     sinks.write_paired_fastq(df, str(tmp_path), "run")
     got = [(r["r1"], r["r2"]) for r in fastq.read_paired_fastq(spark, str(tmp_path), "run").collect()]
     assert sorted(got) == sorted(p[1:] for p in pairs)
+
+
+def test_fastq_in_numbered_parts(spark, tmp_path):
+    pairs = [(i % 200, "ACGT"[i % 4] * (1 + i % 9), f"C{i:03d}") for i in range(700)]
+    df = spark.createDataFrame(pairs, "read_no bigint, r1 string, r2 string").repartition(5, "r2")
+    sinks.write_paired_fastq(df, str(tmp_path), "run", file_reads=100)
+    names = sorted(f.name for f in tmp_path.glob("run_*.gz"))
+    assert names[0] == "run_R1_00001.fastq.gz" and 10 <= len(names) <= 14 and len({n.replace("R2", "R1") for n in names}) * 2 == len(names)
+    lines = [line for n in names if "R1" in n for line in gzip.open(tmp_path / n, "rt").read().split("\n")[:-1]]
+    assert lines[::4] == [f"@run:{i}" for i in sorted(p[0] for p in pairs)] and set(lines[2::4]) == {"+"} and all(map(str.__eq__, map("I".__mul__, map(len, lines[1::4])), lines[3::4]))
+    got = fastq.read_paired_fastq(spark, str(tmp_path), "run").collect()
+    assert sorted((r["r1"], r["r2"]) for r in got) == sorted(p[1:] for p in pairs)
+    assert len({r["read_no"] for r in got}) == 700
+    (tmp_path / names[-1]).rename(tmp_path / "elsewhere")
+    with pytest.raises(ValueError, match="no other mate"):
+        fastq.read_paired_fastq(spark, str(tmp_path), "run")
+    sinks.write_paired_fastq(df.limit(0), str(tmp_path), "none")
+    assert fastq.read_paired_fastq(spark, str(tmp_path), "none").count() == 0
+    (tmp_path / "two_R1.fastq.gz").touch(), (tmp_path / "twofold_R1.fastq.gz").touch()
+    with pytest.raises(ValueError, match="2 files with R1"):
+        fastq.read_paired_fastq(spark, str(tmp_path), "two")
