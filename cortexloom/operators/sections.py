@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,18 +27,37 @@ def marker_points(sections: DataFrame) -> DataFrame:
 def delaunay_triangles(points: DataFrame) -> DataFrame:
     """(section, i, j, k) with i < j < k: triangles of source points that tile their hull, none with a point inside its circle.
 
-    Sections are Arrow groups; the points of one (its markers and corners) are triangulated one after the other with exact
-    predicates. Points without a position are left out; see ``delaunay.triangulate`` for points on a circle, a line, or twice.
+    Sections are dealt out whole and come one after the other in Arrow batches; the points of one (its markers and corners) are
+    triangulated one after the other with exact predicates. Points without a position are left out; see ``delaunay.triangulate``
+    for points on a circle, a line, or twice.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["sx", "sy"]).sort_values("i")
-        found = np.array(triangulate(pdf[["sx", "sy"]].to_numpy(float)), int).reshape(-1, 3)
-        ids = pdf["i"].to_numpy()
-        return pd.DataFrame({"section": pdf["section"].iloc[0] if len(found) else [], **{c: ids[found[:, k]] for k, c in enumerate("ijk")}})
-
-    kind = dict(points.dtypes)
-    return points.select("section", "i", "sx", "sy").groupBy("section").applyInPandas(run, f"section {kind['section']}, i {kind['i']}, j {kind['i']}, k {kind['i']}")
+    def run(batches):
+        held = []  # rows of the last section, which may go on in the next batch
+        for batch in itertools.chain(batches, [None]):
+            rows = [*held, batch] if batch is not None else held
+            if not rows:
+                continue
+            t = pa.Table.from_batches(rows).combine_chunks()
+            same = t["section"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(same)) + 1).tolist()]
+            if batch is not None:
+                held = t.slice(cuts[-1]).to_batches()
+            else:
+                cuts.append(len(t))
+            xy = np.stack([t[c].to_numpy() for c in ("sx", "sy")], axis=1).astype(float)
+            there = ~np.isnan(xy).any(axis=1)
+            found = [np.zeros((0, 3), int)]
+            for start, end in itertools.pairwise(cuts):
+                at = start + np.flatnonzero(there[start:end])
+                found.append(at[np.array(triangulate(xy[at]), int).reshape(-1, 3)])
+            rows = np.concatenate(found)
+            yield from t.select(["section"]).take(rows[:, 0]).append_column("i", t["i"].take(rows[:, 0])).append_column("j", t["i"].take(rows[:, 1])).append_column("k", t["i"].take(rows[:, 2])).to_batches()
+
+    kind, spark = dict(points.dtypes), points.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # else few bytes, which are much work, go to few tasks
+    dealt = points.select("section", "i", "sx", "sy").repartition(n, "section").sortWithinPartitions("section", "i")
+    return dealt.mapInArrow(run, f"section {kind['section']}, i {kind['i']}, j {kind['i']}, k {kind['i']}")
 
 
 def _corners(tri: DataFrame, points: DataFrame, forward: bool) -> DataFrame:
@@ -44,7 +65,7 @@ def _corners(tri: DataFrame, points: DataFrame, forward: bool) -> DataFrame:
     f, t = (("t", "s") if forward else ("s", "t"))
     out = tri
     for name, idx in (("a", "i"), ("b", "j"), ("c", "k")):
-        out = out.join(points.select("section", F.col("i").alias(idx), *[F.col(f"{side}{ax}").alias(f"{name}{kind}{ax}") for kind, side in (("f", f), ("t", t)) for ax in "xy"]), ["section", idx])
+        out = out.join(points.select("section", F.col("i").alias(idx), *[F.col(f"{side}{ax}").alias(f"{name}{kind}{ax}") for kind, side in (("f", f), ("t", t)) for ax in "xy"]).hint("merge"), ["section", idx])
     return out
 
 
@@ -53,12 +74,14 @@ def triangle_of(pixels: DataFrame, tri: DataFrame, points: DataFrame, tile: floa
 
     Triangles are exploded to the tiles of their bounding box, so a pixel meets only the triangles
     near it. Without ``forward`` source positions map to target ones. Pixels in no triangle are dropped.
+    Points, pixels and tiles are many rows a section, which estimates from the sections' size leave out: their joins are
+    merged, never broadcast.
     """
     full = _corners(tri, points, forward)
     least = lambda ax, g: F.floor(g(*[f"{n}f{ax}" for n in "abc"]) / tile).cast("int")
     tiles = full.withColumn("tx_", F.explode(F.sequence(least("x", F.least), least("x", F.greatest)))).withColumn("ty_", F.explode(F.sequence(least("y", F.least), least("y", F.greatest))))
     px = pixels.withColumn("tx_", F.floor(F.col("px") / tile).cast("int")).withColumn("ty_", F.floor(F.col("py") / tile).cast("int"))
-    joined = px.join(tiles, ["section", "tx_", "ty_"])
+    joined = px.join(tiles.hint("merge"), ["section", "tx_", "ty_"])
     c = F.col
     u, v = barycentric(c("px"), c("py"), c("afx"), c("afy"), c("bfx"), c("bfy"), c("cfx"), c("cfy"))
     hit = joined.withColumn("u", u).withColumn("v", v).where(inside(c("u"), c("v")))
@@ -69,6 +92,10 @@ def triangle_of(pixels: DataFrame, tri: DataFrame, points: DataFrame, tile: floa
 
 
 def section_pixels(sections: DataFrame) -> DataFrame:
+    """(section, width, px, py); a table of few splits is dealt out first, since a section is many pixels."""
+    cores = sections.sparkSession.sparkContext.defaultParallelism
+    if sections.rdd.getNumPartitions() < cores:
+        sections = sections.repartition(cores, "section")
     x, y = F.explode(F.sequence(F.lit(0), F.col("width") - 1)), F.explode(F.sequence(F.lit(0), F.col("height") - 1))
     return sections.select("section", "height", "width", x.alias("px")).select("section", "width", "px", y.alias("py"))
 
@@ -77,7 +104,7 @@ def warp_section_pixels(sections: DataFrame, tile: float = 64.0) -> DataFrame:
     """(section, px, py, xa, ya, za): atlas position in um of every pixel, warped by its section's markers."""
     points = marker_points(sections)
     mapped = triangle_of(section_pixels(sections).select("section", "px", "py"), delaunay_triangles(points), points, tile)
-    both = mapped.join(sections.select("section", "width", "height", "anchoring"), "section")
+    both = mapped.join(sections.select("section", "width", "height", "anchoring").hint("merge"), "section")
     xyz = atlas_coordinates(F.col("nx"), F.col("ny"), F.col("width"), F.col("height"), F.col("anchoring"))
     return both.select("section", "px", "py", *[c.alias(n) for c, n in zip(xyz, ("xa", "ya", "za"))])
 
@@ -96,9 +123,9 @@ def nearest_pixel_in_next_section(warped: DataFrame, widths: DataFrame, every: i
     to the first pixel in row order.
     """
     scratch = Scratch(warped.sparkSession, "nearest")
-    px = scratch.save(warped.join(widths.select("section", "width"), "section").withColumn("at", F.col("py") * F.col("width") + F.col("px")), "px")
+    px = scratch.save(warped.join(widths.select("section", "width").hint("merge"), "section").withColumn("at", F.col("py") * F.col("width") + F.col("px")), "px")
     following = px.select((F.col("section") - 1).alias("section"), F.col("at").alias("at2"), F.col("xa").alias("xa2"), F.col("ya").alias("ya2"), F.col("za").alias("za2"))
-    left = px.where(F.col("at") % every == 0).join(following.select("section").distinct(), "section", "left_semi")
+    left = px.where(F.col("at") % every == 0).join(following.select("section").distinct().hint("merge"), "section", "left_semi")
     done, g = None, grid_um
     for _ in range(max_rounds):
         cell = lambda c, g=g: F.floor(F.col(c) / g)
@@ -106,10 +133,10 @@ def nearest_pixel_in_next_section(warped: DataFrame, widths: DataFrame, every: i
         a = left.withColumn("o", around).withColumn("cz", cell("za") + F.col("o.i")).withColumn("cy", cell("ya") + F.col("o.j"))
         b = following.withColumn("cz", cell("za2")).withColumn("cy", cell("ya2"))
         d = F.sqrt(F.pow(F.col("za") - F.col("za2"), F.lit(2.0)) + F.pow(F.col("ya") - F.col("ya2"), F.lit(2.0)))
-        best = a.join(b, ["section", "cz", "cy"]).withColumn("d", d).groupBy("section", "px", "py").agg(F.min(F.struct("d", "at2", (F.col("xa2") - F.col("xa")).alias("dx"))).alias("m"))
+        best = a.join(b.hint("merge"), ["section", "cz", "cy"]).withColumn("d", d).groupBy("section", "px", "py").agg(F.min(F.struct("d", "at2", (F.col("xa2") - F.col("xa")).alias("dx"))).alias("m"))
         found = scratch.save(best.where(F.col("m.d") <= g).select("section", "px", "py", F.col("m.d").alias("distance"), F.col("m.dx").alias("dx")), "found")
         done = found if done is None else done.unionByName(found)
-        left = scratch.save(left.join(found, ["section", "px", "py"], "left_anti"), "left")
+        left = scratch.save(left.join(found.hint("merge"), ["section", "px", "py"], "left_anti"), "left")
         if left.isEmpty():
             return done
         g *= 2

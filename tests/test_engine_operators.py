@@ -566,3 +566,23 @@ def test_fastq_in_numbered_parts(spark, tmp_path):
     (tmp_path / "two_R1.fastq.gz").touch(), (tmp_path / "twofold_R1.fastq.gz").touch()
     with pytest.raises(ValueError, match="2 files with R1"):
         fastq.read_paired_fastq(spark, str(tmp_path), "two")
+
+
+def test_sections_are_triangulated_across_batches(spark):
+    corners = [(0.0, 0.0), (4.0, 0.0), (0.0, 3.0), (4.0, 3.0), (1.0, 1.0)]
+    rows = [(s, i, *(xy if s % 3 or i < 4 else (None, None))) for s in range(200) for i, xy in enumerate(corners)] + [(None, i, *xy) for i, xy in enumerate(corners[:3])]
+    df = spark.createDataFrame(rows, "section int, i int, sx double, sy double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sections.delaunay_triangles(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {s: delaunay.triangulate(np.array(corners[: 5 if s % 3 else 4])) for s in range(200)} | {None: [(0, 1, 2)]}
+    assert sorted(map(tuple, got), key=repr) == sorted(((s, *t) for s, ts in want.items() for t in ts), key=repr)
+
+
+def test_pixels_tiles_and_points_are_never_broadcast(spark, sf):
+    """One supplier row, of a few bytes, is 108 pixels and about 100 tiles of triangles."""
+    for name in ("warp_section_pixels", "warp_forward", "section_voxels"):
+        plan = brain.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
