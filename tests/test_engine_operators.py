@@ -586,3 +586,12 @@ def test_pixels_tiles_and_points_are_never_broadcast(spark, sf):
     for name in ("warp_section_pixels", "warp_forward", "section_voxels"):
         plan = brain.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_cells_of_pixels_are_never_broadcast(spark, sf, monkeypatch):
+    """A searched pixel is nine cells, and the pixels' compressed file is smaller than its rows."""
+    plans, save = [], sections.Scratch.save
+    monkeypatch.setattr(sections.Scratch, "save", lambda self, df, name="t", **o: plans.append((name, df._jdf.queryExecution().toString())) or save(self, df, name, **o))
+    brain.QUERIES["nearest_pixel"](spark, sf).count()
+    assert {n for n, _ in plans} == {"px", "found", "left"}
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for _, p in plans)
