@@ -21,6 +21,7 @@ class; their sizes do not depend on the input.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 import zlib
@@ -37,6 +38,7 @@ from cortexloom.plans.scratch import Scratch
 FEATURES, HEAD_CLASSES, TAIL_CLASSES, HEAD = 1 << 14, 15, 16, 512
 CLASSES = 1 + HEAD_CLASSES + TAIL_CLASSES  # class 0: the end of a text
 BLOCK_TOKENS, BATCH, CHUNKS, ADD = 1 << 18, 4096, 16, 0.1
+BATCH_BYTES = 4 << 20
 END = b""  # no word is empty
 
 _BLOCK = "block bigint, doc_ids array<bigint>, learn array<boolean>, lens array<int>, ids binary, vocab array<binary>, n array<bigint>"
@@ -109,6 +111,18 @@ def _pack(batches):
         yield row()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of about BATCH_BYTES inside: rows are texts or blocks of some MB, and by default 64 MB of them are held at once on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _deal(buckets: int):
     """Blocks to (bucket, block, at, tokens, n): the local vocabulary by token hash."""
 
@@ -288,8 +302,8 @@ def _score(shared):
         lens = np.array(block["lens"][0].as_py(), np.int64)
         ids, vocab = _unpacked(block["ids"][0].as_py(), lens), block["vocab"][0].values
         c = np.zeros(len(vocab), np.int64)
-        for at, n in zip(counts["at"], counts["c"]):
-            c[at.values.to_numpy()] = n.values.to_numpy()
+        at, n = (counts[x].combine_chunks().flatten().to_numpy() for x in ("at", "c"))  # a row a bucket, so many
+        c[at] = n
         cls, h = classes.local(vocab)
         base = np.log10((c + ADD) / (classes.n + ADD * (classes.v + 1)))
         inside = np.log10((c + ADD) / classes.below[cls])
@@ -314,10 +328,12 @@ def score(docs: DataFrame, learn: Column, rounds: int = 2) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), learn.alias("learn"), F.col("text").cast("string").alias("text"))
-    blocks = scratch.save(rows.mapInArrow(_pack, _BLOCK), "blocks", compression="zstd")
+    with small_batches(docs.sparkSession):
+        blocks = scratch.save(rows.mapInArrow(_pack, _BLOCK), "blocks", compression="zstd")
     buckets = max(256, blocks.count())
     dealt = blocks.select("block", "vocab", "n").mapInArrow(_deal(buckets), "bucket int, block bigint, at array<int>, tokens array<binary>, n array<bigint>")
-    counted = scratch.save(dealt.groupBy("bucket").applyInArrow(_count, _COUNTED), "counted", compression="zstd")
+    with small_batches(docs.sparkSession):
+        counted = scratch.save(dealt.groupBy("bucket").applyInArrow(_count, _COUNTED), "counted", compression="zstd")
     own = counted.where("block = -1")
     sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 * CLASSES)]
     total = np.array([x or 0 for x in own.agg(*sums).first()], np.int64)
@@ -325,7 +341,8 @@ def score(docs: DataFrame, learn: Column, rounds: int = 2) -> DataFrame:
     ends = best.where(F.length("tokens") == 0)
     best = best.where(F.length("tokens") > 0).orderBy(F.desc("counts"), "tokens").limit(HEAD).unionAll(ends)
     classes = Classes([(bytes(t), c) for t, c in best.collect()], total[:CLASSES], total[CLASSES:])  # HEAD + 1 rows
-    W = train(blocks, classes, rounds)
+    with small_batches(docs.sparkSession):
+        W = train(blocks, classes, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((classes, W))
     scored = (
         blocks.select("block", "doc_ids", "lens", "ids", "vocab").groupBy("block")

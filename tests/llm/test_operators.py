@@ -738,3 +738,23 @@ def test_surrogates_of_a_full_range_are_a_permutation(spark):
         new = [surrogates.permuted(b"k", "ipv4", x) for x in every]
         assert len(set(new)) == len(every) and all(a != b for a, b in zip(new, every))
         assert all(x.startswith(head.split("{")[0].removesuffix("0.")) for x in new)
+
+
+def test_lm_texts_come_in_small_batches(spark, monkeypatch):
+    pack = maxent_lm._pack
+
+    def watched(batches):
+        def small():
+            for b in batches:
+                assert b.nbytes <= 4 * maxent_lm.BATCH_BYTES
+                yield b
+
+        return pack(small())
+
+    monkeypatch.setattr(maxent_lm, "_pack", watched)
+    docs = spark.range(40).repartition(1).selectExpr("id AS doc_id", "repeat(concat(repeat('w', 999), id % 7, ' '), 1000) AS text")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    got = maxent_lm.score(docs, F.col("doc_id") % 10 != 0).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(40)) and {r["n_tokens"] for r in got} == {1001}
+    assert spark.conf.get(key) == before
